@@ -179,8 +179,11 @@ def encoded(docs: DataFrame, path: str, pattern: str, text_col: str = "text", id
     return docs.withColumn(ids_col, by_text(docs.sparkSession, make, "ids array<int>")(F.col(text_col))["ids"])
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): every whole text encoded, its ids decoded again. Ids stay in the task."""
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", packed: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): every whole text encoded, its ids decoded again.
+
+    packed: with a column tokens, the ids as little-endian 32-bit words, as training jobs read them; else ids stay in the task.
+    """
     codec = _codec(docs.sparkSession, path, pattern)
 
     def make():
@@ -189,9 +192,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
         def work(texts):
             ids = own.encode([t or "" for t in texts])
-            return {"n_tokens": list(map(len, ids)), "ids_sha256": [sha(",".join(map(str, x)).encode()) for x in ids], "decoded_sha256": [sha(own.decode(x)) for x in ids]}
+            out = {"n_tokens": list(map(len, ids)), "ids_sha256": [sha(",".join(map(str, x)).encode()) for x in ids], "decoded_sha256": [sha(own.decode(x)) for x in ids]}
+            return out | ({"tokens": [np.array(x, "<u4").tobytes() for x in ids]} if packed else {})
 
         return work
 
-    run = by_text(docs.sparkSession, make, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    run = by_text(docs.sparkSession, make, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", tokens binary" * packed)
     return docs.select(F.col(id_col).alias("doc_id"), run(F.col(text_col)).alias("r")).select("doc_id", "r.*")

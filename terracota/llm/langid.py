@@ -62,28 +62,24 @@ def forward(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
     n, k = scores.shape
     lanes = -(-n // LANE)
     pad = lanes * LANE - n
-    s = np.concatenate([scores, np.zeros((pad, k), scores.dtype)]).reshape(lanes, LANE, k)
-    new = np.concatenate([first, np.zeros(pad, bool)]).reshape(lanes, LANE)
-    jump = switch * (1 - np.eye(k, dtype=scores.dtype))
-    best = np.empty((LANE, lanes, k, k), scores.dtype)  # [word, lane, entry state, state]
-    now = np.broadcast_to(-jump, (lanes, k, k))
-    fresh = np.zeros(lanes, bool)  # a text has begun in the lane: the entry no longer matters
-    reset = np.empty((LANE, lanes), bool)
+    s = np.concatenate([scores, np.zeros((pad, k), scores.dtype)]).reshape(lanes, LANE, k).transpose(1, 2, 0).copy()  # [word, state, lane]
+    new = np.concatenate([first, np.zeros(pad, bool)]).reshape(lanes, LANE).T.copy()
+    best = np.empty((LANE, k, k, lanes), scores.dtype)  # [word, entry state, state, lane]
+    now = np.broadcast_to((switch * (np.eye(k) - 1)).astype(scores.dtype)[:, :, None], (k, k, lanes))
     for t in range(LANE):
-        move = now if t == 0 else np.maximum(now, now.max(2, keepdims=True) - switch)
-        now = np.where(new[:, t, None, None], 0, move) + s[:, t, None, :]
-        fresh = fresh | new[:, t]
-        best[t], reset[t] = now, fresh
-    out = np.empty((LANE, lanes, k), scores.dtype)
-    entry = np.zeros(k, scores.dtype)
-    entries = np.empty((lanes, k), scores.dtype)
+        move = now if t == 0 else np.maximum(now, now.max(1, keepdims=True) - scores.dtype.type(switch))
+        now = np.where(new[t], scores.dtype.type(0), move) + s[t] if new[t].any() else move + s[t]
+        best[t] = now
+    reset = np.logical_or.accumulate(new, 0)  # a text has begun in the lane: the entry no longer matters
+    entry, entries = np.zeros(k, scores.dtype), np.empty((k, lanes), scores.dtype)
+    ends, begun = best[-1].transpose(2, 0, 1).copy(), reset[-1]
     for lane in range(lanes):
-        entries[lane] = entry
-        last = best[-1, lane]
-        entry = last[0] if reset[-1, lane] else (entry[:, None] + last).max(0)
+        entries[:, lane] = entry
+        entry = ends[lane][0] if begun[lane] else (entry[:, None] + ends[lane]).max(0)
         entry = entry - entry.max()
-    out = np.where(reset[:, :, None], best[:, :, 0, :], (best + entries[None, :, :, None]).max(2))
-    return out.transpose(1, 0, 2).reshape(lanes * LANE, k)[:n]
+    out = (best + entries[:, None, :]).max(1)
+    out = np.where(reset[:, None, :], best[:, 0], out)
+    return out.transpose(2, 0, 1).reshape(lanes * LANE, k)[:n]
 
 
 def labels(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndarray:
