@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from terracota.llm.common import bounded_broadcast, by_text, written
 
-SHINGLE, RADIUS, BUCKET, SEED, SLICE = 4, 4, 256, 42, 1 << 16
+SHINGLE, RADIUS, BUCKET, SEED, SLICE, HOT = 4, 4, 256, 42, 1 << 16, 1000
 
 
 def fingerprint(text: str | None, k: int = SHINGLE) -> int:
@@ -109,13 +109,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs; component_id is the smallest id reachable over links."""
     fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct")
     roots = written(components(links(distinct.select("fp"), radius, bucket)), "roots")
     linked = roots.join(distinct, "fp")
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     found = linked.join(least, "root").select("fp", "component_id")
-    found = distinct.join(found, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return fps.join(found, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = written(distinct.join(found, "fp", "left").select("fp", "n", F.coalesce("component_id", "first_id").alias("component_id")), "found")
+    # at most HOT fingerprints can hold over 1 / HOT of the rows each: their rows meet a broadcast, the others a shuffle
+    share = fps.count() / HOT
+    hot = F.broadcast(found.where(F.col("n") > share).select("fp", "component_id"))
+    out = fps.join(hot, "fp").unionByName(fps.join(hot, "fp", "left_anti").join(found.where(F.col("n") <= share), "fp").select("fp", "doc_id", "component_id"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
