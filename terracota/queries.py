@@ -1,5 +1,397 @@
+"""Registered queries over the driver's tables, and the SQL that gives the same rows.
+
+The tables hold no adverts, so text and HTML are rendered from their columns and read back; the SQL returns the original columns.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terracota.functions import clean
+from terracota.functions.address import PARTS, split_address, split_address_typed, without_kind
+from terracota.operators import crawl_log, html, profile
+from terracota.operators.links import absolute, exploded, links
+from terracota.plans import collect
+from terracota.sources import snapshots
+
+SITE = "https://imoveis.example"
+TEMPLATE = SITE + "/busca/?pagina={pagina}"
+MONTHS = "janeiro fevereiro março abril maio junho julho agosto setembro outubro novembro dezembro".split()
+
 QUERIES, ORACLES = {}, {}
 
 
-def flagship(spark, sf_dir):
-    return spark.range(1)
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# rendering
+
+
+def dotted(n: Column) -> Column:
+    return F.translate(F.format_number(n, 0), ",", ".")
+
+
+def long_date(d: Column) -> Column:
+    month = F.element_at(F.array(*map(F.lit, MONTHS)), F.month(d))
+    return F.concat(F.lit("Anúncio criado em "), F.dayofmonth(d), F.lit(" de "), month, F.lit(" de "), F.year(d), F.lit(", atualizado há 12 horas."))
+
+
+def fee_text(amount: Column, key: Column) -> Column:
+    return F.when(key % 4 == 0, F.concat(F.lit("R$ "), dotted(amount), F.lit("/mês"))).when(key % 4 == 1, "Isento").when(key % 4 == 2, "Não informado")
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of an advert, from orders."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+    k = F.col("o_orderkey")
+    return o.select(
+        k.alias("key"), F.concat(F.lit(SITE + "/imovel/"), k, F.lit("/")).alias("url"), F.floor("o_totalprice").alias("price"), F.to_date("o_orderdate").alias("created"), F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("owner"),
+        (k % 400 + 20).alias("area"), (k % 5 + 1).alias("rooms"), (F.col("o_custkey") % 4 + 1).alias("baths"), (k % 3).alias("parking"),
+    )
+
+
+def advert_html() -> Column:
+    """A page of an advert: broken tags, entities, a strict IPTU element on every third key, two of them on the next, maps likewise."""
+    tag = lambda test_id, body: [F.lit(f'<div data-testid="{test_id}"> '), body, F.lit("<br></div>")]
+    label = lambda name, n: [F.lit(f"<div><p>{name}</p><div><p class=x>"), n, F.lit("</p></div></div>")]
+    k = F.col("key")
+    tax = F.concat(F.lit('<div class="value-item big"><span>IPTU</span><p class="value-item__value">R$ '), dotted(F.col("area")), F.lit("</p></div>"))
+    frame = F.concat(F.lit('<iframe data-testid="map-iframe" src="https://maps.example/?q='), k, F.lit('&amp;z=1"></iframe>'))
+    return F.concat(
+        F.lit('<html><head><script>var p="<p>m²</p>";</script></head><body><h2 class="text-neutral-130 line-clamp-2 t">Casa &amp; Jardim '), k, F.lit('</h2><b>bold<p class="font-secondary">sem medida</p><p class="font-secondary"> '), F.col("area"), F.lit(" m²\n</p>"),
+        *label("Banheiros", F.col("baths")), *label("Vagas", F.col("parking")), *label("Quartos", F.col("rooms")),
+        F.lit('<div class="value-item__value-highlight"><p>Venda</p><p class="value-item__value">R$&nbsp;'), dotted(F.col("price")), F.lit("</p></div>"),
+        *tag("condoFee", F.coalesce(fee_text(F.col("area"), k), F.lit(""))), *tag("location-address", F.concat(F.lit("Rua "), F.col("priority"), F.lit(", "), F.col("owner"), F.lit(" - Centro, Joinville - SC"))),
+        F.when(k % 3 == 0, tax).when(k % 3 == 1, F.concat(tax, tax)).otherwise(""), *tag("iptu", F.concat(F.lit("R$ "), dotted(F.col("rooms")))),
+        *tag("description-content", F.concat(F.lit("Boa &quot;casa&quot; "), k)), *tag("listing-created-date", long_date(F.col("created"))),
+        F.lit('<ul data-testid="amenities-list"><li itemprop="floorLevel"><span class="amenities-item-text">'), F.col("rooms"), F.lit(' andar</span></li><li itemprop="PETS_ALLOWED"><span class="amenities-item-text"> </span><li itemprop="owner"><span class="amenities-item-text">Aceita '), F.col("owner"), F.lit("</span></ul>"),
+        F.lit('<ul data-testid="carousel-photos"><li class="carousel-photos--item"><source type="image/webp" srcset="https://i.example/'), k, F.lit("/a.webp 360w, https://i.example/"), k, F.lit('/b.webp 1080w"><source type="image/jpeg" srcset="https://i.example/x.jpg"><source type="image/webp" srcset=""></ul>'),
+        F.when(k % 2 == 0, frame).otherwise(F.concat(frame, frame)),
+    )
+
+
+def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adverts with their page as html."""
+    return orders(spark, sf_dir).withColumn("html", advert_html())
+
+
+ADVERT_SQL = "SELECT o_orderkey AS key, o_custkey AS owner, CAST(floor(o_totalprice) AS BIGINT) AS price, CAST(o_orderdate AS DATE) AS created, o_orderpriority AS priority, o_orderkey % 400 + 20 AS area, o_orderkey % 5 + 1 AS rooms, o_custkey % 4 + 1 AS baths, o_orderkey % 3 AS parking FROM orders"
+
+
+# links and pages (E1-E3, P5, P7, S6)
+
+LINKS_SQL = """SELECT page_id, url, CAST(i - 1 AS BIGINT) AS pos, l[i] AS link FROM (SELECT page_id, url, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, url, regexp_extract_all(html, '<li><a href="([^"]*)"', 1) AS l FROM pages))"""
+
+
+@query(f"SELECT page_id, pos, link FROM ({LINKS_SQL})")
+def page_links(spark, sf_dir):
+    found = table(spark, sf_dir, "pages").select("page_id", links(F.col("html")).alias("links"))
+    return exploded(found, "links", ["page_id"]).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"SELECT page_id, pos, CASE WHEN link LIKE 'http%' THEN link ELSE regexp_extract(url, '^(https?://[^/?#]+)', 1) || link END AS link FROM ({LINKS_SQL})")
+def links_resolved(spark, sf_dir):
+    found = table(spark, sf_dir, "pages").select("page_id", "url", links(F.col("html")).alias("links"))
+    return exploded(found, "links", ["page_id", "url"]).select("page_id", F.col("pos").cast("long").alias("pos"), absolute(F.col("link"), F.col("url")).alias("link"))
+
+
+@query("""SELECT page_id, CAST(len(regexp_extract_all(html, '<li><a href="([^"]*)"', 1)) AS BIGINT) AS n_links FROM pages""")
+def links_per_page(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.size(links(F.col("html"))).cast("long").alias("n_links"))
+
+
+@query("""SELECT CAST(sum(len(regexp_extract_all(html, '<li><a href="([^"]*)"', 1))) AS BIGINT) AS n_links FROM pages""")
+def total_links(spark, sf_dir):
+    return table(spark, sf_dir, "pages").agg(F.sum(F.size(links(F.col("html")))).alias("n_links"))
+
+
+@query(f"SELECT i AS page, replace('{TEMPLATE}', '{{pagina}}', CAST(i AS VARCHAR)) AS url FROM (SELECT unnest(range(1, (SELECT count(*) + 1 FROM pages))) AS i)")
+def frontier(spark, sf_dir):
+    return snapshots.frontier(spark, TEMPLATE, table(spark, sf_dir, "pages").count())
+
+
+@query("SELECT p_partkey, CAST(CASE WHEN p_partkey % 10 = 0 THEN 0 ELSE p_partkey END AS INTEGER) AS total FROM part")
+def total_pages(spark, sf_dir):
+    last = F.when(F.col("p_partkey") % 10 == 0, "Próxima").otherwise(dotted(F.col("p_partkey")))
+    pages = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit('<nav><button class="olx-core-pagination__button">1</button><button class="b olx-core-pagination__button"> '), last, F.lit("</button>")).alias("html"))
+    return html.select_all(pages, {"t": html.LAST_PAGE}, ["p_partkey"]).select("p_partkey", html.total_pages(F.col("t")).alias("total"))
+
+
+# scalars (C1-C12)
+
+
+@query("SELECT o_orderkey, floor(o_totalprice) AS price FROM orders")
+def price(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", clean.money(F.concat(F.lit("R$ "), dotted(F.floor("o_totalprice")))).alias("price"))
+
+
+@query("SELECT p_partkey, CAST(p_size * 100 AS DOUBLE) + 0.5 AS area FROM part")
+def area(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", clean.area(F.concat(dotted(F.col("p_size") * 100), F.lit(",5 m²"))).alias("area"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 7 > 0 THEN p_size END AS rooms FROM part")
+def counts(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", clean.count(F.concat(F.lit("\n "), F.col("p_size"), F.when(F.col("p_partkey") % 7 == 0, " ou mais").otherwise(" "))).alias("rooms"))
+
+
+FEE_SQL = "CASE {k} % 4 WHEN 0 THEN 'informed' WHEN 1 THEN 'exempt' WHEN 2 THEN 'not_informed' ELSE 'absent' END AS status"
+
+
+@query(f"SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN floor(abs(c_acctbal)) WHEN 2 THEN NULL ELSE 0.0 END AS amount, {FEE_SQL.format(k='c_custkey')} FROM customer")
+def condo_fee(spark, sf_dir):
+    text = fee_text(F.floor(F.abs("c_acctbal")), F.col("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey", clean.condo_fee(text).alias("amount"), clean.fee_status(text).alias("status"))
+
+
+@query(f"SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN floor(abs(s_acctbal)) END AS amount, {FEE_SQL.format(k='s_suppkey')} FROM supplier")
+def iptu(spark, sf_dir):
+    text = fee_text(F.floor(F.abs("s_acctbal")), F.col("s_suppkey"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", clean.property_tax(text).alias("amount"), clean.fee_status(text).alias("status"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS created, strftime(o_orderdate, '%d/%m/%Y') AS created_text FROM orders")
+def publish_date(spark, sf_dir):
+    text = long_date(F.to_date("o_orderdate"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", clean.publish_date(text).alias("created"), clean.publish_date_text(text).alias("created_text"))
+
+
+def _addresses(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    k, place = F.col("c_custkey"), F.concat("n_name", F.lit(" - sc"))
+    house = F.concat(k, F.lit(" - Bairro "), F.col("n_name"), F.lit(", "), place)
+    text = F.when(k % 5 == 1, place).when(k % 5 == 2, F.concat("c_name", F.lit(", "), place)).when(k % 5 == 3, F.concat(F.lit("Rua "), F.col("c_name"), F.lit(", "), house)).when(k % 5 == 4, F.concat(F.lit("Rua "), F.col("c_name"), F.lit(", Bloco 2, "), house))
+    return c.select("c_custkey", text.alias("endereco"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 3 THEN 'Rua ' || c_name WHEN 4 THEN 'Rua ' || c_name || ', Bloco 2' ELSE 's/r' END AS rua,
+CASE WHEN c_custkey % 5 IN (3, 4) THEN CAST(c_custkey AS VARCHAR) ELSE 's/n' END AS numero,
+CASE c_custkey % 5 WHEN 2 THEN c_name WHEN 3 THEN 'Bairro ' || n_name WHEN 4 THEN 'Bairro ' || n_name ELSE 's/b' END AS bairro,
+CASE WHEN c_custkey % 5 = 0 THEN 's/c' ELSE n_name END AS cidade, CASE WHEN c_custkey % 5 = 0 THEN 's/e' ELSE 'sc' END AS estado
+FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def address_a(spark, sf_dir):
+    return profile.with_struct(_addresses(spark, sf_dir), split_address("endereco")).drop("endereco")
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN lower(n_name) || ' - sc' ELSE lower(c_name) END AS rua,
+CASE WHEN c_custkey % 5 = 3 THEN 'bairro ' || lower(n_name) ELSE '' END AS bairro,
+CASE WHEN c_custkey % 5 = 0 THEN '' ELSE lower(n_name) END AS cidade, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'SC' END AS estado
+FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def address_b(spark, sf_dir):
+    return profile.with_struct(_addresses(spark, sf_dir), split_address_typed("endereco")).drop("endereco")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN 'travessa ' ELSE '' END || lower(c_name) AS rua FROM customer")
+def street_kind(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, ("Rua ", "Avenida ", "Estrada ", "Travessa "))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", without_kind(F.concat(kind, F.col("c_name"))).alias("rua"))
+
+
+@query(r"SELECT doc_id, regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g') AS folded FROM documents")
+def accent_fold(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", clean.fold("text").alias("folded"))
+
+
+# extraction (E4-E21, P8)
+
+
+@query(f"""SELECT '{SITE}/imovel/' || key || '/' AS url, 'Casa & Jardim ' || key AS titulo, area || ' m²' AS metragem, CAST(baths AS VARCHAR) AS banheiros, CAST(parking AS VARCHAR) AS vagas, CAST(rooms AS VARCHAR) AS quartos,
+'R$' || chr(160) || regexp_replace(regexp_replace(CAST(price AS VARCHAR), '(\\d)(\\d{{3}})$', '\\1.\\2'), '^(\\d+)(\\d{{3}}\\.)', '\\1.\\2') AS valor_venda,
+CASE key % 4 WHEN 0 THEN 'R$ ' || area || '/mês' WHEN 1 THEN 'Isento' WHEN 2 THEN 'Não informado' ELSE '' END AS condominio,
+'Rua ' || priority || ', ' || owner || ' - Centro, Joinville - SC' AS endereco, 'R$ ' || CASE WHEN key % 3 = 0 THEN area ELSE rooms END AS iptu, 'Boa "casa" ' || key AS descricao,
+rooms || ' andar;Aceita ' || owner AS caracteristicas, 'https://i.example/' || key || '/b.webp' AS fotos, CASE WHEN key % 2 = 0 THEN 'https://maps.example/?q=' || key || '&z=1' END AS link_maps, 'ok' AS extract_status FROM ({ADVERT_SQL})""")
+def listing_extract(spark, sf_dir):
+    out = html.extract_listings(rendered(spark, sf_dir))
+    return out.withColumns({c: F.array_join(c, ";") for c in ("caracteristicas", "fotos")}).drop("data_criacao")
+
+
+@query(f"SELECT '{SITE}/imovel/' || key || '/' AS url, CAST(area AS DOUBLE) AS area_m2, CAST(rooms AS INTEGER) AS quartos, CAST(price AS DOUBLE) AS preco, created AS publicado, 'Rua ' || priority AS rua, CAST(owner AS VARCHAR) AS numero, 'Centro' AS bairro, 'Joinville' AS cidade, 'SC' AS estado, CAST(CASE WHEN key % 3 = 0 THEN area ELSE rooms END AS DOUBLE) AS iptu_valor FROM ({ADVERT_SQL})")
+def listing_typed(spark, sf_dir):
+    return collect.clean_listings(html.extract_listings(rendered(spark, sf_dir))).select("url", "area_m2", "quartos", "preco", "publicado", *PARTS, "iptu_valor")
+
+
+@query(f"SELECT key, 'floorLevel' AS name, rooms || ' andar' AS value FROM ({ADVERT_SQL}) UNION ALL SELECT key, 'PETS_ALLOWED', '' FROM ({ADVERT_SQL}) UNION ALL SELECT key, 'owner', 'Aceita ' || owner FROM ({ADVERT_SQL})")
+def characteristics_map(spark, sf_dir):
+    return html.characteristics(rendered(spark, sf_dir), ["key"]).select("key", F.explode("caracteristicas").alias("name", "value"))
+
+
+def _srcsets(spark, sf_dir):
+    return html.select_all(rendered(spark, sf_dir), {"s": html.FIELDS["fotos"]}, ["key"])
+
+
+@query("SELECT o_orderkey AS key, 'https://i.example/' || o_orderkey || '/b.webp' AS photo FROM orders")
+def photos_best(spark, sf_dir):
+    return _srcsets(spark, sf_dir).select("key", F.explode(clean.photos("s")).alias("photo"))
+
+
+@query("SELECT o_orderkey AS key, 'https://i.example/' || o_orderkey || '/a.webp' AS photo FROM orders")
+def photos_first(spark, sf_dir):
+    return _srcsets(spark, sf_dir).select("key", F.explode(html.first_photos("s")).alias("photo"))
+
+
+@query("SELECT o_orderkey AS key, 1 AS n_photos FROM orders")
+def photo_count(spark, sf_dir):
+    return _srcsets(spark, sf_dir).select("key", clean.photo_count(clean.photos("s")).alias("n_photos"))
+
+
+@query("SELECT o_orderkey AS key, CASE WHEN o_orderkey % 7 > 0 THEN floor(o_totalprice) END AS price FROM orders")
+def bad_fields(spark, sf_dir):
+    pages = rendered(spark, sf_dir).withColumn("html", F.when(F.col("key") % 7 == 0, F.regexp_replace("html", "R\\$&nbsp;", "a partir de ")).otherwise(F.col("html")))
+    return html.extract_listings(pages, ["valor_venda"]).select(F.regexp_extract("url", r"(\d+)/$", 1).cast("long").alias("key"), clean.money("valor_venda").alias("price"))
+
+
+@query("SELECT o_orderkey AS key, CASE WHEN o_orderkey % 11 = 0 THEN 'no_page' ELSE 'ok' END AS extract_status, CASE WHEN o_orderkey % 11 > 0 THEN 'Casa & Jardim ' || o_orderkey END AS titulo FROM orders")
+def bad_rows(spark, sf_dir):
+    pages = rendered(spark, sf_dir).withColumn("html", F.when(F.col("key") % 11 > 0, F.col("html")))
+    return html.extract_listings(pages, ["titulo"]).select(F.regexp_extract("url", r"(\d+)/$", 1).cast("long").alias("key"), "extract_status", "titulo")
+
+
+@query(f"""SELECT key, '{{"key":' || key || ',"price":' || price || ',"map":' || CASE WHEN key % 2 = 0 THEN '"m"' ELSE 'null' END || '}}' AS record FROM ({ADVERT_SQL})""")
+def record_json(spark, sf_dir):
+    rows = orders(spark, sf_dir).select("key", "price", F.when(F.col("key") % 2 == 0, "m").alias("map"))
+    return rows.select("key", collect.as_json(rows).alias("record"))
+
+
+# profile (D1-D11, S2)
+
+GAPS = "SELECT event_id, ts, CASE WHEN user_id % 3 > 0 THEN user_id END AS user_id, CASE WHEN event_id % 11 > 0 THEN event_type END AS event_type, CASE WHEN event_id % 7 > 0 THEN value END AS value, CASE WHEN event_id % 5 > 0 THEN props END AS props FROM events"
+
+
+def _gaps(spark, sf_dir):
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    return e.select("event_id", "ts", F.when(F.col("user_id") % 3 > 0, F.col("user_id")).alias("user_id"), F.when(k % 11 > 0, F.col("event_type")).alias("event_type"), F.when(k % 7 > 0, F.col("value")).alias("value"), F.when(k % 5 > 0, F.col("props")).alias("props"))
+
+
+@query("SELECT event_id, CAST(ts AS DATE) AS snapshot_date FROM events WHERE CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events)")
+def snapshot_newest(spark, sf_dir):
+    return snapshots.newest(table(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("snapshot_date")))
+
+
+COLUMNS = ("event_id", "ts", "user_id", "event_type", "value", "props")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count({c}) AS n_null FROM ({GAPS})" for c in COLUMNS))
+def null_profile(spark, sf_dir):
+    return profile.null_profile(_gaps(spark, sf_dir))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS n_not_null, '{t}' AS type FROM ({GAPS})" for c, t in zip(COLUMNS, ("bigint", "TS", "bigint", "string", "double", "string"), strict=True)).replace("'TS'", "'timestamp'"))
+def column_info(spark, sf_dir):
+    info = profile.column_info(_gaps(spark, sf_dir))
+    return info.withColumn("type", F.regexp_replace("type", "timestamp_ntz", "timestamp"))
+
+
+@query("SELECT count(*) AS n_rows, CAST(6 AS BIGINT) AS n_columns FROM events")
+def shape(spark, sf_dir):
+    return profile.shape(_gaps(spark, sf_dir))
+
+
+@query(f"SELECT event_id FROM ({GAPS}) WHERE CAST(user_id IS NOT NULL AS INTEGER) + CAST(event_type IS NOT NULL AS INTEGER) + CAST(value IS NOT NULL AS INTEGER) + CAST(props IS NOT NULL AS INTEGER) >= 3")
+def sparse_rows(spark, sf_dir):
+    return profile.drop_sparse(_gaps(spark, sf_dir), 3, ["user_id", "event_type", "value", "props"]).select("event_id")
+
+
+@query(f"SELECT event_id FROM ({GAPS}) WHERE value IS NULL")
+def missing_price_urls(spark, sf_dir):
+    return profile.keys_missing(_gaps(spark, sf_dir), "value", "event_id")
+
+
+@query(f"SELECT event_id, user_id, event_type, value FROM ({GAPS}) WHERE props IS NULL")
+def missing_desc(spark, sf_dir):
+    return profile.missing(_gaps(spark, sf_dir), "props").drop("ts", "props")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 5 < 3")
+def no_street(spark, sf_dir):
+    return profile.keys_where(address_a(spark, sf_dir), "rua", "s/r", "c_custkey")
+
+
+@query("SELECT page_id, url FROM pages ORDER BY page_id LIMIT 5")
+def preview(spark, sf_dir):
+    return profile.preview(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id")
+
+
+# collection (P1-P10)
+
+
+def search_pages(spark, sf_dir) -> tuple[DataFrame, int]:
+    """Stored pages of a search, result pages and adverts, and the number of result pages; every seventh result page is empty, every thirteenth advert isn't stored."""
+    ads = rendered(spark, sf_dir).select("key", "url", "html")
+    total = ads.count() // 50 + 1
+    link = F.concat(F.lit('<a class="olx-core-surface x" href="'), F.when(F.col("key") % 2 == 0, F.col("url")).otherwise(F.replace("url", F.lit(SITE), F.lit(""))), F.lit('">ver</a>'))
+    results = ads.withColumn("page", F.col("key") % total + 1).groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", link.alias("a")))), lambda x: x["a"]), "").alias("as"))
+    body = F.when(F.col("page") % 7 > 0, F.col("as")).otherwise("nada")
+    results = results.select(F.replace(F.lit(TEMPLATE), F.lit("{pagina}"), F.col("page").cast("string")).alias("url"), F.concat(F.lit('<a class="olx-core-surface" href="/menu">x</a><div class="listings-wrapper">'), body, F.lit("</div>")).alias("html"))
+    return results.union(ads.where("key % 13 > 0").select("url", "html")), total
+
+
+COLLECT_SQL = "SELECT o_orderkey AS key, o_orderkey % (SELECT count(*) // 50 + 1 FROM orders) + 1 AS page FROM orders"
+
+
+@query(f"SELECT page, count(*) AS n_records, count(*) FILTER (WHERE key % 13 > 0) AS n_ok FROM ({COLLECT_SQL}) WHERE page % 7 > 0 GROUP BY page")
+def collect_counts(spark, sf_dir):
+    pages, total = search_pages(spark, sf_dir)
+    found = collect.collect_listings(pages, TEMPLATE, total)
+    return found.groupBy("page").agg(F.count("*").alias("n_records"), F.count_if(F.col("extract_status") == "ok").alias("n_ok"))
+
+
+@query(f"SELECT page, count(*) AS n_records FROM ({COLLECT_SQL}) WHERE page % 7 > 0 AND key % 13 > 0 GROUP BY page")
+def valid_records_per_page(spark, sf_dir):
+    pages, total = search_pages(spark, sf_dir)
+    return collect.records_per_page(profile.drop_sparse(collect.collect_listings(pages, TEMPLATE, total)))
+
+
+@query("SELECT key, titulo FROM (SELECT o_orderkey AS key, 'Casa & Jardim ' || o_orderkey AS titulo, o_custkey AS c FROM orders) WHERE c IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def given_urls(spark, sf_dir):
+    poor = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("owner"))
+    ads = rendered(spark, sf_dir)
+    urls = orders(spark, sf_dir).join(poor, "owner").select("url")
+    return collect.listings_of(ads.select("url", "html"), urls).select(F.regexp_extract("url", r"(\d+)/$", 1).cast("long").alias("key"), "titulo")
+
+
+# request log (K1-K4)
+
+
+def _requests(spark, sf_dir):
+    k = F.col("event_id")
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("unique_key"), F.col("event_type").alias("status"), F.col("value").cast("decimal(18,4)").alias("duration_ms"), (k % 9 > 0).alias("finished"), (k % 4).alias("retry_count"))
+
+
+@query("""SELECT status, count(*) AS n_total, count(*) FILTER (WHERE f) AS n_finished, count(*) FILTER (WHERE NOT f) AS n_failed, count(*) FILTER (WHERE r > 0) AS n_retried,
+CAST(min(d) FILTER (WHERE f) AS DOUBLE) AS min_ms, CAST(max(d) FILTER (WHERE f) AS DOUBLE) AS max_ms, CAST(sum(d) FILTER (WHERE f) AS DOUBLE) AS sum_ms
+FROM (SELECT event_type AS status, event_id % 9 > 0 AS f, event_id % 4 AS r, CAST(value AS DECIMAL(18,4)) AS d FROM events) GROUP BY status""")
+def crawl_summary(spark, sf_dir):
+    found = crawl_log.crawl_summary(_requests(spark, sf_dir), ["status"]).drop("avg_ms")
+    return found.withColumns({c: F.col(c).cast("double") for c in ("min_ms", "max_ms", "sum_ms")})
+
+
+@query("SELECT event_type AS status, count(*) AS n FROM events GROUP BY 1")
+def status_counts(spark, sf_dir):
+    return crawl_log.status_counts(_requests(spark, sf_dir))
+
+
+@query("SELECT event_id % 4 AS retry_count, count(*) AS n FROM events GROUP BY 1")
+def retry_hist(spark, sf_dir):
+    return crawl_log.retry_histogram(_requests(spark, sf_dir))
+
+
+@query("SELECT DISTINCT CAST(user_id AS VARCHAR) AS unique_key FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 97 = 0)")
+def pending(spark, sf_dir):
+    handled = table(spark, sf_dir, "events").where("event_id % 97 = 0").select(F.col("user_id").cast("string").alias("unique_key"))
+    return crawl_log.pending(_requests(spark, sf_dir), handled)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search pages to clean listings."""
+    pages, total = search_pages(spark, sf_dir)
+    return collect.clean_listings(collect.collect_listings(pages, TEMPLATE, total))
