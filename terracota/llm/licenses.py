@@ -1,7 +1,7 @@
 """Licence families of paragraphs: logistic regression over word n-grams, an unknown class, template comparison.
 
 A paragraph is a line. A bounded sample trains the classifier: the templates, up to PER_CLASS corpus paragraphs a family with
-a marker phrase, and NEGATIVES without any, those with the least hashes. Its terms are the words and word pairs of the
+a marker phrase, and NEGATIVES without any, those with the least hashes in as many documents. Its terms are the words and word pairs of the
 labelled paragraphs with a cue, a word that under RARE of the negatives have; a paragraph without any cue has no term, so the
 classifier calls it unknown without looking. The acceptance threshold is the greatest family probability among the sample's
 held-out negatives, within BOUNDS. A prediction stands only if the paragraph holds TEMPLATE_SHARE of the words
@@ -45,17 +45,28 @@ def pairs(tokens: str) -> Column:
     return F.zip_with(F.slice(tokens, F.lit(1), n), F.slice(tokens, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
 
 
-def _sample(paragraphs: DataFrame) -> DataFrame:
-    """(tokens, label, held) of the bounded training sample."""
-    spark = paragraphs.sparkSession
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, paragraph, tokens) of the paragraphs with a word in docs(doc_id, key, text)."""
+    lines = docs.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    return lines.select("doc_id", "key", "paragraph", words(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
+
+
+def _sample(docs: DataFrame) -> DataFrame:
+    """(tokens, label, held) of the bounded training sample, from docs(doc_id, key, text).
+
+    Marker phrases are sought in whole texts first, so that only documents with one are cut into paragraphs; the
+    negatives are the paragraphs with the least hashes in about as many documents, chosen by hash.
+    """
+    spark = docs.sparkSession
     joined = F.concat(F.lit(" "), F.concat_ws(" ", "tokens"), F.lit(" "))
-    marked = paragraphs.withColumn("label", F.coalesce(*(F.when(joined.contains(f" {m} "), i) for i, (m, _) in enumerate(FAMILIES.values(), 1)), F.lit(0)))
-    marked = marked.withColumn("h", F.xxhash64("tokens"))
-    none = marked.where("label = 0").orderBy("h").limit(NEGATIVES)
-    some = marked.where("label > 0").orderBy("h").limit(PER_CLASS * len(FAMILIES))
+    label = F.coalesce(*(F.when(joined.contains(f" {m} "), i) for i, (m, _) in enumerate(FAMILIES.values(), 1)), F.lit(0))
+    anywhere = "|".join(r"[^\p{L}\p{N}]+".join(m.split()) for m, _ in FAMILIES.values())
+    marked = lambda d: _lines(d).select("tokens", label.alias("label"), F.xxhash64("tokens").alias("h"))
+    some = marked(docs.where(F.lower("text").rlike(anywhere))).where("label > 0").orderBy("h").limit(PER_CLASS * len(FAMILIES))
+    share = NEGATIVES / max(1, docs.count())
+    none = marked(docs.where(F.pmod("key", F.lit(1_000_000)) < share * 1_000_000)).where("label = 0").orderBy("h").limit(NEGATIVES)
     given = spark.createDataFrame([(t, i) for i, (_, ts) in enumerate(FAMILIES.values(), 1) for t in ts], "text string, label int").select(words(F.col("text")).alias("tokens"), "label", F.lit(False).alias("held"))
-    found = none.unionByName(some).select("tokens", "label", (F.pmod("h", F.lit(5)) == 0).alias("held"))
-    return found.unionByName(given)
+    return none.unionByName(some).select("tokens", "label", (F.pmod("h", F.lit(5)) == 0).alias("held")).unionByName(given)
 
 
 class Classifier:
@@ -67,7 +78,7 @@ class Classifier:
         negatives = max(1, train.where("label = 0").count())
         common = train.where("label = 0").select(F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").count().where(F.col("count") > RARE * negatives).select("t")
         named = train.where("label > 0").withColumn("pairs", pairs("tokens"))
-        cues = named.select(F.explode(F.array_distinct("tokens")).alias("t")).join(common, "t", "left_anti").groupBy("t").count().orderBy(F.desc("count"), "t").limit(TERMS)
+        cues = named.select(F.explode(F.array_distinct("tokens")).alias("t")).join(bounded_broadcast(common), "t", "left_anti").groupBy("t").count().orderBy(F.desc("count"), "t").limit(TERMS)
         self.cues = sorted(r["t"] for r in cues.collect())  # at most TERMS
         cued = F.array(*map(F.lit, self.cues))
         two = named.select(F.explode(F.array_distinct("pairs")).alias("t")).where(F.arrays_overlap(F.split("t", " "), cued)).groupBy("t").count().orderBy(F.desc("count"), "t").limit(TERMS)
@@ -98,10 +109,9 @@ def confirmed() -> Column:
 
 def license_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, key, paragraph, family, probability) of the paragraphs with a confirmed licence; key tells rows with equal ids apart."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.posexplode(F.split(text_col, "\n")).alias("paragraph", "line"))
-    lines = lines.select("doc_id", "key", "paragraph", words(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
-    classifier = Classifier(_sample(lines.select("tokens")))
-    found = classifier.scored(lines).where(F.col("probability") >= classifier.least)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    classifier = Classifier(_sample(rows))
+    found = classifier.scored(_lines(rows)).where(F.col("probability") >= classifier.least)
     return found.where(confirmed()).select("doc_id", "key", "paragraph", "family", "probability")
 
 
