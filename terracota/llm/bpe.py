@@ -30,7 +30,7 @@ BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: Blanks but for the last before a word, or a word with the blank before it.
 CHUNK = re.compile(f"[{BLANK}]+(?![^{BLANK}])|[{BLANK}]?[^{BLANK}]+|[{BLANK}]")
 #: Chunks, and words, that a worker remembers before it starts afresh, and the longest ones worth remembering.
-MEMO, MEMO_CHARS = 500_000, 64
+MEMO, MEMO_CHARS = 400_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
