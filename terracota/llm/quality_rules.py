@@ -3,8 +3,8 @@
 Each text gives five statistics; their transforms (logs and square-root ratios) form a vector. For each
 (lang, source) the estimate is the mean and covariance of the share CORE of vectors that are nearest by their own Mahalanobis
 distance, found by concentration steps from a robust start (median, and median deviation of each coordinate).
-Every step is one aggregate over all rows: distances under the present estimates, a histogram of their logs
-for the CORE quantile, then sums of the vectors below it. The estimates are scaled for consistency and reweighted
+Every step reads all rows once: distances under the present estimates, sums of the vectors by bin of the distances' logs,
+then those of the bins below the CORE quantile. The estimates are scaled for consistency and reweighted
 once. Groups under LEAST rows take their language's estimate, and languages under LEAST rows that of all rows.
 A row is rejected if its squared distance is beyond the chi-square quantile of 1 - REJECT, times SLACK for the tails that real
 statistics have. RIDGE keeps coordinates apart that are constant in most rows, such as repeated lines.
@@ -65,10 +65,19 @@ def _sums(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.array(*(F.sum(f"x{i}") for i in range(D))).alias("s"), F.array(*(F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in products)).alias("p"))
 
 
-def _estimate(rows: DataFrame, by: list[str], scale: float) -> dict:
+def _nearest(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Sums of the share CORE of each group's rows(by..., x..., d2) that are nearest: sums by distance bin, then the bins below the quantile."""
+    bins = _sums(rows.withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) / BIN)), [*by, "bin"])
+    before = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy(*by))).where(F.col("below") < F.col("all") * CORE)
+    added = [F.array(*(F.sum(F.get(k, i)) for i in range(m))).alias(k) for k, m in (("s", D), ("p", D * (D + 1) // 2))]
+    return bins.groupBy(*by).agg(F.sum("n").alias("n"), *added)
+
+
+def _estimate(sums: DataFrame, by: list[str], scale: float) -> dict:
     """Group -> (n, mean, covariance) from sums: a row for each group, a few hundred bytes each."""
     out = {}
-    for r in _sums(rows, by).collect():
+    for r in sums.collect():
         mean = np.array(r["s"]) / r["n"]
         p = np.zeros((D, D))
         p[np.tril_indices(D)] = r["p"]
@@ -98,16 +107,9 @@ def fit(rows: DataFrame, by: list[str], steps: int = STEPS) -> dict:
     for step in range(steps + 1):
         near = _join(rows, fits, by).withColumn("d2", _distance([F.col(f"x{i}") for i in range(D)], F.col("root"), F.col("mean")))
         if step == steps:
-            near, scale = near.where(F.col("d2") <= CHI_CLEAN), 1.0
+            fits |= _estimate(_sums(near.where(F.col("d2") <= CHI_CLEAN), by), by, 1.0)
         else:
-            near = near.withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) / BIN))
-            bins = near.groupBy(*by, "bin").agg(F.count("*").alias("c"))
-            w = Window.partitionBy(*by).orderBy("bin")
-            cut = bins.withColumn("below", F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("c").over(Window.partitionBy(*by))).where(F.col("below") < F.col("all") * CORE).groupBy(*by).agg(F.max("bin").alias("cut"))
-            cut = bounded_broadcast(cut.select(*(F.col(k).alias(f"_{k}") for k in by), "cut"), len(fits))
-            near = near.join(cut, reduce(lambda a, b: a & b, (near[k].eqNullSafe(F.col(f"_{k}")) for k in by))).where("bin <= cut")
-            scale = consistent
-        fits |= _estimate(near, by, scale)
+            fits |= _estimate(_nearest(near, by), by, consistent)
     return fits
 
 
