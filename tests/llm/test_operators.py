@@ -195,6 +195,11 @@ def test_licenses(docs, texts):
         assert r["families"] == ",".join(k for k, m in marks.items() if m in texts[r["doc_id"]].lower())
 
 
+def test_licenses_odd_inputs(odd):
+    for df in (odd, odd.limit(0)):
+        assert len(licenses.license_scan(df).collect()) == df.count()
+
+
 def test_pipeline(spark, docs):
     own = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
