@@ -46,9 +46,12 @@ def pairs(tokens: str) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, paragraph, tokens) of the paragraphs with a word in docs(doc_id, key, text)."""
-    lines = docs.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    return lines.select("doc_id", "key", "paragraph", words(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
+    """(doc_id, key, paragraph, tokens) of the paragraphs with a word in docs(doc_id, key, text).
+
+    Words are cut inside the generator, so that filters above it use them and don't cut them again.
+    """
+    lines = F.transform(F.split("text", "\n"), words)
+    return docs.select("doc_id", "key", F.posexplode(lines).alias("paragraph", "tokens")).where(F.size("tokens") > 0)
 
 
 def _sample(docs: DataFrame) -> DataFrame:
@@ -73,7 +76,7 @@ class Classifier:
     """Trained on a sample; predictions are columns of Spark's own transformers."""
 
     def __init__(self, sample: DataFrame):
-        sample = written(sample, "license-sample")
+        sample = written(sample, "license-sample").coalesce(1)  # bounded rows: one task for each step of the fit
         train = sample.where(~F.col("held"))
         negatives = max(1, train.where("label = 0").count())
         common = train.where("label = 0").select(F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").count().where(F.col("count") > RARE * negatives).select("t")
