@@ -1,18 +1,22 @@
 """Licence families of paragraphs: logistic regression over word n-grams, an unknown class, template comparison.
 
-A paragraph is a line. A bounded sample trains the classifier: the templates, up to PER_CLASS corpus paragraphs a family with
-a marker phrase, and NEGATIVES without any, those with the least hashes in as many documents. Its terms are the words and word pairs of the
-labelled paragraphs with a cue, a word that under RARE of the negatives have; a paragraph without any cue has no term, so the
-classifier calls it unknown without looking. The acceptance threshold is the greatest family probability among the sample's
-held-out negatives, within BOUNDS. A prediction stands only if the paragraph holds TEMPLATE_SHARE of the words
-of one of the family's templates.
+A paragraph is a run of lines that hold a letter or digit, so hard-wrapped texts and comment blocks are read whole; long ones are
+read in windows of WINDOW words that overlap by half. Every family has phrases, one of which each of its texts holds: only documents
+with one are cut into windows. It has also a test for the words that tell it from its versions and variants.
+A bounded sample trains the classifier: the templates, corpus lines that pass a family's test, up to PER_CLASS times the
+families in all, and NEGATIVES lines without any, those with the least hashes in as many documents. Its terms are the words and
+word pairs of the labelled rows with a cue, a word that under RARE of the negatives have. The acceptance threshold is the greatest
+probability of any family among the sample's held-out negatives, within BOUNDS. An accepted window has each family whose
+test it passes and one of whose templates it holds: TEMPLATE_SHARE of the words, within SPREAD times the template's length.
 
 Cases: null and empty texts have no paragraphs; rows that repeat are answered row by row; a corpus without any licence is
-trained on the templates alone. Texts are never cut, and only paragraphs with a cue leave the scan.
+trained on the templates alone. Texts are never cut, and only windows of documents with a phrase leave the scan.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
@@ -23,17 +27,61 @@ from pyspark.sql import functions as F
 
 from terracota.llm.common import bounded_broadcast, written
 
-PER_CLASS, NEGATIVES, RARE, TERMS, BOUNDS, TEMPLATE_SHARE = 300, 3000, 0.01, 2000, (0.5, 0.9), 0.8
-#: Families with their marker phrase and templates, in the wording that the licences' publishers give. Fixed values.
+PER_CLASS, NEGATIVES, RARE, TERMS, BOUNDS, TEMPLATE_SHARE, WINDOW, SPREAD = 300, 3000, 0.01, 2000, (0.5, 0.9), 0.8, 200, 1.5
+
+
+def _gnu(name: str, version: str) -> str:
+    """Test for a GNU licence: the first version named after it, or the one named just before it."""
+    return rf" gnu {name}public license (?:(?!version|v\d)\S+ ){{0,16}}(?:version |v ?){version} | version {version} of the gnu {name}public license "
+
+
+_NOTICE = "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1}Public License as published by the Free Software Foundation, "
+_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."
+_DEAL = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so'
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_CC, _SHARE, _NO = "This work is licensed under a Creative Commons {0} 4.0 International License.", "(?:sa|share ?alike)", r"(?:nd|no ?deriv\w*)"
+_NC = "(?:by nc|attribution non ?commercial)"
+
+
+def _gnu_texts(name: str, what: str, version: str, title: str) -> list[str]:
+    notice = _NOTICE.format(what, name)
+    return [f"This work is licensed under the GNU {name}Public License, version {version}.", f"{notice}version {version}.", f"{notice}either version {version} of the License, or (at your option) any later version.", f"GNU {name}Public License Version {version}, {title}"]
+
+
+def _cc_texts(short: str, long: str) -> list[str]:
+    return [f"Licensed under CC {short} 4.0.", _CC.format(short), _CC.format(long)]
+
+
+#: Families: phrases (one of them is in each text that passes the test), test over the words with a blank on either side, templates
+#: in the wording of the publishers' notices, titles and first paragraphs or of one-line statements. Fixed values.
 FAMILIES = {
-    "apache-2.0": ("apache license", ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."]),
-    "bsd": ("redistribution and use in source", ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"]),
-    "cc-by-nc": ("by nc", ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons BY-NC 4.0 International License."]),
-    "gpl-3.0": ("gnu general public license", ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3."]),
-    "mit": ("mit license", ["Released under the MIT License.", "MIT License: Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."]),
-    "mpl-2.0": ("mozilla public license", ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."]),
+    "agpl-3.0": (["gnu affero general public license"], _gnu("affero general ", "3"), _gnu_texts("Affero General ", "program", "3", "19 November 2007")),
+    "apache-2.0": (["apache license"], r" apache license (?:version |v )?v?2 ", ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Apache License Version 2.0, January 2004"]),
+    "bsd": (["redistribution and use in source and binary forms", "bsd license", "bsd 2", "bsd 3"], r" redistribution and use in source and binary forms with or without modification | (?:2|3|two|three) clause bsd license | bsd [23] clause license | (?:new|modified|simplified|revised) bsd license ", ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License.", "Released under the 2-Clause BSD License.", "Released under the new BSD License."]),
+    "bsl-1.0": (["permission is hereby granted free of charge to any person or organization", "boost software license"], r" any person or organization obtaining a copy of the software and accompanying documentation covered by this license | boost software license version 1 ", ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "Distributed under the Boost Software License, Version 1.0."]),
+    "cc-by": (["cc by", "creative commons by", "creative commons attribution"], r" (?:cc|creative commons) (?:by|attribution) (?!nc |non|sa |share|nd |no ?deriv)", _cc_texts("BY", "Attribution")),
+    "cc-by-nc": (["by nc", "attribution non", "attribution noncommercial"], rf" {_NC} (?!{_SHARE} |{_NO} )", _cc_texts("BY-NC", "Attribution-NonCommercial")),
+    "cc-by-nc-nd": (["by nc", "attribution non", "attribution noncommercial"], rf" {_NC} {_NO} ", _cc_texts("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")),
+    "cc-by-nc-sa": (["by nc", "attribution non", "attribution noncommercial"], rf" {_NC} {_SHARE} ", _cc_texts("BY-NC-SA", "Attribution-NonCommercial-ShareAlike")),
+    "cc-by-nd": (["by nd", "attribution no"], rf" (?:by|attribution) {_NO} ", _cc_texts("BY-ND", "Attribution-NoDerivatives")),
+    "cc-by-sa": (["by sa", "attribution share"], rf" (?:by|attribution) {_SHARE} ", _cc_texts("BY-SA", "Attribution-ShareAlike")),
+    "cc0-1.0": (["cc0", "waived all copyright"], r" cc0 | waived all copyright and related or neighboring rights ", ["Licensed under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."]),
+    "epl-2.0": (["eclipse public license"], r" eclipse public license (?:version |v )?v?2 ", ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "Licensed under the Eclipse Public License, version 2.0."]),
+    "gpl-2.0": (["gnu general public license"], _gnu("general ", "2"), _gnu_texts("General ", "program", "2", "June 1991")),
+    "gpl-3.0": (["gnu general public license"], _gnu("general ", "3"), _gnu_texts("General ", "program", "3", "29 June 2007")),
+    "isc": (["permission to use copy modify", "isc license"], r" isc license | permission to use copy modify (?:and )?(?:or )?distribute this software for any purpose with or without fee is hereby granted provided ", [f"{_ISC}, provided that the above copyright notice and this permission notice appear in all copies.", "Released under the ISC License."]),
+    "0bsd": (["permission to use copy modify"], r" permission to use copy modify (?:and )?(?:or )?distribute this software for any purpose with or without fee is hereby granted (?!provided )", [f"{_ISC}."]),
+    "lgpl-2.1": (["gnu lesser general public license"], _gnu("lesser general ", "2 1"), _gnu_texts("Lesser General ", "library", "2.1", "February 1999")),
+    "lgpl-3.0": (["gnu lesser general public license"], _gnu("lesser general ", "3"), _gnu_texts("Lesser General ", "library", "3", "29 June 2007")),
+    "mit": (["mit license", "permission is hereby granted free of charge"], r" mit license | permission is hereby granted free of charge to any person obtaining a copy of this software (?!.* furnished to do so (?!subject ))", ["Released under the MIT License.", f"MIT License: {_GRANT}", f"{_DEAL}, subject to the following conditions:"]),
+    "mit-0": (["mit no attribution", "permission is hereby granted free of charge"], r" mit no attribution | permission is hereby granted free of charge .* furnished to do so (?!subject )", [f"{_DEAL}.", "Released under the MIT No Attribution License."]),
+    "mpl-2.0": (["mozilla public license"], r" mozilla public license (?:version |v )?v?2 ", ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0"]),
+    "unlicense": (["free and unencumbered software"], r" free and unencumbered software released into the public domain ", ["This is free and unencumbered software released into the public domain."]),
 }
-NAMES = ["unknown", *FAMILIES]
+#: Each phrase has one of these words, or is "by" after cc or before nc, nd or sa.
+SOUGHT = ("license", "redistribution", "bsd", "permission", "attribution", "creative", "cc0", "waived", "unencumbered")
+#: Lines without a letter or digit part the paragraphs.
+PARTED = r"\n[^\p{L}\p{N}]*\n"
 
 
 def words(text: Column) -> Column:
@@ -46,29 +94,45 @@ def pairs(tokens: str) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, paragraph, tokens) of the paragraphs with a word in docs(doc_id, key, text).
+    """(key, tokens) of the lines with a word in docs(key, text). Words are cut inside the generator, so that filters above it don't cut them again."""
+    return docs.select("key", F.explode(F.transform(F.split("text", "\n"), words)).alias("tokens")).where(F.size("tokens") > 0)
+
+
+def _joined() -> Column:
+    return F.concat(F.lit(" "), F.concat_ws(" ", "tokens"), F.lit(" "))
+
+
+def _phrased() -> Column:
+    """True if the text has a family's phrase. A word of each phrase is sought first, as that is cheaper than the phrases' regular expression."""
+    gap = r"[^\p{L}\p{N}]+"
+    every = "|".join(sorted({gap.join(p.split()) for ps, _, _ in FAMILIES.values() for p in ps}))
+    some = lambda x: reduce(lambda a, b: a | b, (x.contains(w) for w in SOUGHT)) | x.rlike(f"by{gap}n[cd]|by{gap}sa|cc{gap}by")
+    return F.exists(F.array(F.lower("text")), lambda x: some(x) & x.rlike(every))
 
-    Words are cut inside the generator, so that filters above it use them and don't cut them again.
+
+def _windows(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, paragraph, tokens) of the windows that pass a family's test in docs(doc_id, key, text).
+
+    Phrases are sought in whole texts first. Half a window is longer than any template, so each template lies in one whole.
     """
-    lines = F.transform(F.split("text", "\n"), words)
-    return docs.select("doc_id", "key", F.posexplode(lines).alias("paragraph", "tokens")).where(F.size("tokens") > 0)
+    blocks = docs.where(_phrased()).select("doc_id", "key", F.posexplode(F.transform(F.split("text", PARTED), words)).alias("paragraph", "all")).where(F.size("all") > 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("all") - WINDOW // 2), F.lit(WINDOW // 2))
+    cut = blocks.select("doc_id", "key", "paragraph", F.explode(F.transform(starts, lambda i: F.slice("all", i, F.lit(WINDOW)))).alias("tokens"))
+    return cut.where(_joined().rlike("|".join(test for _, test, _ in FAMILIES.values())))
 
 
 def _sample(docs: DataFrame) -> DataFrame:
     """(tokens, label, held) of the bounded training sample, from docs(doc_id, key, text).
 
-    Marker phrases are sought in whole texts first, so that only documents with one are cut into paragraphs; the
-    negatives are the paragraphs with the least hashes in about as many documents, chosen by hash.
+    The negatives are the lines with the least hashes in about as many documents, chosen by hash.
     """
     spark = docs.sparkSession
-    joined = F.concat(F.lit(" "), F.concat_ws(" ", "tokens"), F.lit(" "))
-    label = F.coalesce(*(F.when(joined.contains(f" {m} "), i) for i, (m, _) in enumerate(FAMILIES.values(), 1)), F.lit(0))
-    anywhere = "|".join(r"[^\p{L}\p{N}]+".join(m.split()) for m, _ in FAMILIES.values())
-    marked = lambda d: _lines(d).select("tokens", label.alias("label"), F.xxhash64("tokens").alias("h"))
-    some = marked(docs.where(F.lower("text").rlike(anywhere))).where("label > 0").orderBy("h").limit(PER_CLASS * len(FAMILIES))
+    label = F.coalesce(*(F.when(_joined().rlike(test), i) for i, (_, test, _) in enumerate(FAMILIES.values(), 1)), F.lit(0))
+    marked = lambda d: d.select("tokens", label.alias("label"), F.xxhash64("tokens").alias("h"))
+    some = marked(_lines(docs.where(_phrased()))).where("label > 0").orderBy("h").limit(PER_CLASS * len(FAMILIES))
     share = NEGATIVES / max(1, docs.count())
-    none = marked(docs.where(F.pmod("key", F.lit(1_000_000)) < share * 1_000_000)).where("label = 0").orderBy("h").limit(NEGATIVES)
-    given = spark.createDataFrame([(t, i) for i, (_, ts) in enumerate(FAMILIES.values(), 1) for t in ts], "text string, label int").select(words(F.col("text")).alias("tokens"), "label", F.lit(False).alias("held"))
+    none = marked(_lines(docs.where(F.pmod("key", F.lit(1_000_000)) < share * 1_000_000))).where("label = 0").orderBy("h").limit(NEGATIVES)
+    given = spark.createDataFrame([(t, i) for i, (_, _, ts) in enumerate(FAMILIES.values(), 1) for t in ts], "text string, label int").select(words(F.col("text")).alias("tokens"), "label", F.lit(False).alias("held"))
     return none.unionByName(some).select("tokens", "label", (F.pmod("h", F.lit(5)) == 0).alias("held")).unionByName(given)
 
 
@@ -96,32 +160,39 @@ class Classifier:
         return rows.withColumn("terms", F.concat("tokens", pairs("tokens")))
 
     def scored(self, rows: DataFrame) -> DataFrame:
-        """rows(tokens) with a cue, with the likeliest family and its probability."""
+        """rows(tokens) with a cue, with the probability that they have any family."""
         rows = rows.where(F.arrays_overlap("tokens", F.array(*map(F.lit, self.cues))))
         out = self.model.transform(self.terms.transform(self._terms(rows))).withColumn("ps", vector_to_array("p"))
-        known = F.slice("ps", 2, len(NAMES) - 1)
-        out = out.withColumn("probability", F.array_max(known)).withColumn("family", F.get(F.array(*map(F.lit, NAMES)), F.array_position(known, F.col("probability")).cast("int")))
-        return out.drop("terms", "features", "raw", "p", "ps", "best")
+        return out.withColumn("probability", F.lit(1.0) - F.get("ps", F.lit(0))).drop("terms", "features", "raw", "p", "ps", "best")
+
+
+def _holds(template: str) -> Column:
+    """True if enough of the template's words stand close together in tokens."""
+    t = re.findall(r"[^\W_]+", template.lower())
+    least, width = math.ceil(TEMPLATE_SHARE * len(set(t))), math.ceil(SPREAD * len(t))
+    own, starts = F.array(*map(F.lit, sorted(set(t)))), F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("tokens") - width + 1))
+    near = F.exists(starts, lambda i: F.size(F.array_intersect(F.slice("tokens", i, F.lit(width)), own)) >= least)
+    return (F.size(F.array_intersect("tokens", own)) >= least) & near
 
 
 def confirmed() -> Column:
-    """True if the paragraph holds enough of the words of a template of its family."""
-    one = lambda t: F.size(F.array_intersect("tokens", t)) >= TEMPLATE_SHARE * F.size(F.array_distinct(t))
-    return reduce(lambda a, b: a | b, ((F.col("family") == k) & one(words(F.lit(t))) for k, (_, ts) in FAMILIES.items() for t in ts))
+    """Array of the families whose test and one of whose templates the window passes."""
+    one = lambda test, ts: _joined().rlike(test) & reduce(lambda a, b: a | b, map(_holds, ts))
+    return F.filter(F.array(*(F.when(one(test, ts), k) for k, (_, test, ts) in FAMILIES.items())), lambda k: k.isNotNull())
 
 
 def license_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, paragraph, family, probability) of the paragraphs with a confirmed licence; key tells rows with equal ids apart."""
+    """(doc_id, key, paragraph, family, probability) of the windows with a confirmed licence, a row a family; key tells rows with equal ids apart."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     classifier = Classifier(_sample(rows))
-    found = classifier.scored(_lines(rows)).where(F.col("probability") >= classifier.least)
-    return found.where(confirmed()).select("doc_id", "key", "paragraph", "family", "probability")
+    found = classifier.scored(_windows(rows)).where(F.col("probability") >= classifier.least)
+    return found.select("doc_id", "key", "paragraph", F.explode(confirmed()).alias("family"), "probability")
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_paragraphs, n_license, families, probability) for each row of docs; families are sorted and comma-joined."""
     found = license_paragraphs(docs, id_col, text_col).groupBy(F.col("key").alias("k")).agg(F.count_distinct("paragraph").alias("n_license"), F.concat_ws(",", F.array_sort(F.collect_set("family"))).alias("families"), F.round(F.max("probability"), 6).alias("probability"))
     found = written(found, "licenses")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.size(F.filter(F.split(F.coalesce(text_col, F.lit("")), "\n"), lambda x: F.trim(x) != "")).cast("long").alias("n_paragraphs"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.size(F.filter(F.split(F.coalesce(text_col, F.lit("")), PARTED), lambda x: x.rlike(r"[\p{L}\p{N}]"))).cast("long").alias("n_paragraphs"))
     out = rows.join(bounded_broadcast(found), F.col("key") == F.col("k"), "left")
     return out.select("doc_id", "n_paragraphs", F.coalesce("n_license", F.lit(0)).alias("n_license"), F.coalesce("families", F.lit("")).alias("families"), "probability")

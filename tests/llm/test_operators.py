@@ -195,6 +195,44 @@ def test_licenses(docs, texts):
         assert r["families"] == ",".join(k for k, m in marks.items() if m in texts[r["doc_id"]].lower())
 
 
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:""",
+    "bsd": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:""",
+    "apache-2.0": """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+#
+# You may obtain a copy of the License at""",
+    "gpl-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "mpl-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this""",
+}
+
+
+def test_licenses_wrapped_and_variants(spark, docs):
+    old, mit = WRAPPED["gpl-3.0"], WRAPPED["mit"]
+    given = [(t, k) for k, t in WRAPPED.items()] + [(f"word of prose here\n{t}\nmore prose", k) for k, t in WRAPPED.items()]
+    given += [(("plain prose goes on " * 40 + "\n") * 3 + mit, "mit"), (mit + "\n\n" + WRAPPED["bsd"], "bsd,mit"), (mit.replace(", subject to the following conditions:", "."), "mit-0")]
+    given += [(old.replace("version 3", "version 2"), "gpl-2.0"), (old.replace("GNU General", "GNU Lesser General").replace("program", "library"), "lgpl-3.0"), (old.replace("GNU General", "GNU Affero General"), "agpl-3.0")]
+    given += [("Licensed under CC BY 4.0.", "cc-by"), ("Licensed under CC BY-SA 4.0.", "cc-by-sa"), ("Licensed under CC BY-NC-SA 4.0.", "cc-by-nc-sa"), ("Licensed under CC BY-NC-ND 4.0.", "cc-by-nc-nd"), ("Licensed under CC BY-NC 4.0.", "cc-by-nc")]
+    given += [("This work is licensed under the GNU General Public License, version 2.", "gpl-2.0"), ("Licensed under the Apache License, Version 1.1.", ""), ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", ""), ("The MIT License is a short one.", "")]
+    df = spark.createDataFrame([(-i, t) for i, (t, _) in enumerate(given, 1)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in licenses.license_scan(docs.select("doc_id", "text").union(df)).where("doc_id < 0").collect()}
+    assert [found[-i]["families"] for i in range(1, len(given) + 1)] == [k for _, k in given]
+    assert found[-3]["n_paragraphs"] == 2 and found[-12]["n_license"] == 2
+    assert max(len(re.findall(r"[^\W_]+", t)) for _, _, ts in licenses.FAMILIES.values() for t in ts) <= licenses.WINDOW // 2
+    assert all(any(w in p for w in licenses.SOUGHT) or re.search("by n[cd]|by sa|cc by", p) for ps, _, _ in licenses.FAMILIES.values() for p in ps)
+    assert all(re.search(test, f" {' '.join(re.findall(r'[^\W_]+', t.lower()))} ") for _, test, ts in licenses.FAMILIES.values() for t in ts)
+
+
 def test_licenses_odd_inputs(odd):
     for df in (odd, odd.limit(0)):
         assert len(licenses.license_scan(df).collect()) == df.count()
