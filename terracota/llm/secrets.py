@@ -37,15 +37,25 @@ class Rule:
     pattern: str
     least: int = 0  # bytes that the part after prefix must have
     prefix: str = ""  # cut off before least is applied
+    whole: str = ""  # what a match goes on to, if it is more than pattern, which begins it; the search needs pattern alone
 
 
+#: A private key: its header, and all up to its END line if no other five dashes come before that; else (a key whose end is
+#: missing) the base64 after the header in runs of 16 and more and a shorter last one, over line ends (also written-out ones, with
+#: quotes' marks or indents) or blanks.
+_KEY = r"[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+_BREAK = r"(?:\x20|\t|\r|\n|\\r|\\n)[\x20\t\r\n>#*|]*"
+HEADER = rf"-----BEGIN {_KEY}"
+WHOLE = rf"{HEADER}(?:(?:[\x00-,.-\xFE]|-{{1,4}}[\x00-,.-\xFE])*-----END {_KEY}|(?:(?:{_BREAK})?[A-Za-z0-9+/=]{{16,}})+(?:{_BREAK}[A-Za-z0-9+/]{{1,15}}={{1,2}})?)?"
+
 #: The three base kinds of the contract first; those after it are the method's own. Fixed values.
 RULES = (
     Rule("assign", r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", 6, r"""[A-Za-z_]+["']?\x20*[:=]\x20*["']?"""),
     Rule("access", r"AKIA[A-Z0-9]+", 20),
     Rule("hex", r"[0-9a-f]{24,}", 24),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("github", r"gh[opsu]_[A-Za-z0-9]+", 40),
+    Rule("pem", HEADER, whole=WHOLE),
+    Rule("github", r"gh[oprsu]_[A-Za-z0-9]+", 40),
+    Rule("github", r"github_pat_[A-Za-z0-9_]+", 93),
 )
 
 
@@ -154,7 +164,7 @@ class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
         self.all = Automaton([r.pattern for r in rules], True)
-        self.ahead = [Automaton([r.pattern], False) for r in rules]
+        self.ahead = [Automaton([r.whole or r.pattern], False) for r in rules]
         self.back = [Automaton([r.pattern], False, True) for r in rules]
         self.hit = np.array([bool(a) for a in self.all.accepts])
 
