@@ -6,7 +6,8 @@ score of KEEP. A word of the kind's context within NEAR characters before the sp
 a national number alone is no finding, and one after "ssn" is. Spans don't overlap within a kind. Offsets are code
 points, ends exclusive.
 
-Cases: null texts are empty; every pattern is linear in the text, as none can begin again inside a run that it has read.
+Cases: null texts are empty; every pattern is linear in the text, as none can begin again inside a run that it has read,
+but for IBANs, of at most 34 characters and blanks between.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of an IBAN by country, of the registry. Fixed values.
+LENGTHS = {c: int(g[:2]) for g in "15 NO;16 BE;18 DK FI FK FO GL NL SD;19 MK SI;20 AT BA EE KZ LT LU MN XK;21 CH HR LI LV;22 BG BH CR DE GB GE IE ME RS VA;23 AE GI IL IQ OM SO TL;24 AD CZ ES MD PK RO SA SE SK TN VG;25 LY PT ST;26 IS TR;27 BI DJ FR GR IT MC MR SM;28 AL AZ BY CY DO GT HN HU LB NI PL SV;29 BR EG PS QA UA;30 JO KW MU YE;31 MT SC;32 LC;33 RU".split(";") for c in g[3:].split()}
+EXACT = {n: re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in set(LENGTHS.values())}
 NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 DIGIT = re.compile(r"[0-9]")
 #: Score before context, and the context words, of each kind; base kinds in the contract's order. Fixed values.
@@ -54,6 +58,17 @@ def _emails(t: str) -> Iterator[tuple[int, int]]:
         at = t.find("@", at + 1)
 
 
+def _ibans(t: str) -> Iterator[tuple[int, int]]:
+    """IBANs of their country's length; of other countries, or if that fails, all that looks like one. After no finding the next character is tried."""
+    at = 0
+    while m := IBAN.search(t, at):
+        options = (EXACT[LENGTHS[m[0][:2]]].match(t, m.start()) if m[0][:2] in LENGTHS else None, m)
+        own = next((o for o in options if o and mod97(o[0])), None)
+        at = own.end() if own else m.start() + 1
+        if own:
+            yield own.span()
+
+
 def _kinds(t: str) -> Iterator[tuple[str, int, int]]:
     for s, e in _emails(t):
         yield "email", s, e
@@ -68,9 +83,8 @@ def _kinds(t: str) -> Iterator[tuple[str, int, int]]:
     for m in PHONE.finditer(t) if "+" in t else ():
         if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
             yield "phone", *m.span()
-    for m in IBAN.finditer(t):
-        if mod97(m[0]):
-            yield "iban", *m.span()
+    for s, e in _ibans(t):
+        yield "iban", s, e
     for m in NATIONAL.finditer(t):
         yield "national", *m.span()
 

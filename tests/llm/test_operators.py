@@ -133,6 +133,16 @@ def test_personal_data(texts):
     assert pii.find("code 123-45-6789 GB83WEST12345698765432") == []
 
 
+def test_ibans_before_upper_case_and_numbers():
+    valid = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO9386011117947", "FR14 2004 1010 0505 0001 3M02 606", "MT84MALT011000012345MTLCAST001S", "NL91ABNA0417164300"]
+    for iban in valid:
+        for before, after in (("IBAN ", " BIC COBADEFFXXX"), ("", " EUR 100"), ("REF AB12 ", " 2024 INV 7"), ("iban ", ", please"), ("", "")):
+            assert [(before + iban + after)[s:e] for s, e, k, _ in pii.find(before + iban + after) if k == "iban"] == [iban]
+    assert [k for _, _, k, _ in pii.find(" ".join(valid)) if k == "iban"] == ["iban"] * len(valid)
+    assert not [x for x in pii.find("DE88370400440532013000 BIC COBADEFFXXX") if x[2] == "iban"]
+    assert pii.LENGTHS["DE"] == 22 and pii.LENGTHS["RU"] == 33 and pii.LENGTHS["GB"] == 22
+
+
 def test_bpe(docs, texts):
     ranks = bpe.read_ranks(PATH)
     hashed = bpe.PerfectHash(ranks)
