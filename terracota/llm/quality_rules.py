@@ -5,7 +5,8 @@ Each text gives five statistics; their transforms (logs and square-root ratios)
 distance, found by concentration steps from a robust start (median, and median deviation of each coordinate).
 Every step reads all rows once: distances under the present estimates, sums of the vectors by bin of the distances' logs,
 then those of the bins below the CORE quantile. The estimates are scaled for consistency and reweighted
-once. Groups under LEAST rows take their language's estimate, and languages under LEAST rows that of all rows.
+once. Estimates are fitted on the rows that pass the base rule. Groups with under LEAST such rows take their language's estimate, and
+languages with under LEAST such rows that of all.
 A row is rejected if its squared distance is beyond the chi-square quantile of 1 - REJECT, times SLACK for the tails that real
 statistics have. RIDGE keeps coordinates apart that are constant in most rows, such as repeated lines.
 
@@ -118,7 +119,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), statistics(docs, text_col).alias("r")).select("doc_id", "lang", "source", "r.*")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     rows = written(found.withColumn("base_failed", failed).withColumns({f"x{i}": v for i, v in enumerate(vector())}), "statistics")
-    sizes = {(r["lang"], r["source"]): r["n"] for r in rows.groupBy("lang", "source").agg(F.count("*").alias("n")).collect()}
+    sizes = {(r["lang"], r["source"]): r["n"] for r in rows.groupBy("lang", "source").agg(F.count_if(~F.col("base_failed")).alias("n")).collect()}
     langs: dict = {}
     for (lang, _), n in sizes.items():
         langs[lang] = langs.get(lang, 0) + n

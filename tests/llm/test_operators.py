@@ -183,6 +183,17 @@ def test_quality_rules(spark):
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.1 * len(bad)
 
 
+def test_quality_rules_few_good_rows_in_a_large_group(spark):
+    rng = random.Random(7)
+    text = lambda n: "\n".join(" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(10)) for _ in range(n // 10))
+    rows = [(i, text(int(60 * 10 ** rng.uniform(0, 2))), "en", "wide") for i in range(300)] + [(1000 + i, "too short", "en", "hot") for i in range(300)]
+    rows += [(2000 + i, text(60), "en", "hot") for i in range(5)] + [(3000, text(3000), "en", "hot")]
+    rows += [(4000 + i, "too short", "xx", "hot") for i in range(300)] + [(5000 + i, text(60), "xx", "hot") for i in range(5)] + [(6000, text(3000), "xx", "hot")]
+    out = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(out) == len(rows) and all(out[i]["base_failed"] and not out[i]["kept"] for i in (1000, 4000))
+    assert out[3000]["kept"] and out[6000]["kept"]
+
+
 def test_learned_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality_fm.quality_scores(docs, labels).where("held_out").join(labels, "doc_id").collect()
