@@ -52,4 +52,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_secret_scan, op4_license_scan, op5_quality_classifier, op6_url_filter, op7_personal_data, op8_byte_bpe, op9_language_id, op10_simhash)} | {"pipeline": corpus_pipeline.run}
 
-ORACLES = {"op2_decontamination": decontaminate.ORACLE}
+ORACLES = {"op2_decontamination": decontaminate.ORACLE, "op6_url_filter": url_model.ORACLE}
