@@ -2,12 +2,14 @@
 
 E-mail addresses, IP addresses, card and phone numbers are kept as they match and check (parts at most 255, Luhn, digit counts).
 The method's own kinds are IBANs that pass mod 97 and national numbers of the form 3-2-4 digits; they are kept from a
-score of KEEP. A word of the kind's context within NEAR characters before the span adds to its score, so
+score of KEEP. A whole word of the kind's context within NEAR characters before the span adds to its score, so
 a national number alone is no finding, and one after "ssn" is. Spans don't overlap within a kind. Offsets are code
 points, ends exclusive.
 
-Cases: null texts are empty; every pattern is linear in the text, as none can begin again inside a run that it has read,
-but for IBANs, of at most 34 characters and blanks between.
+Cases: null and empty texts have no findings and a score of 0; every pattern is linear in the text, however long, as none can begin
+again inside a run that it has read, but for IBANs, of at most 34 characters and blanks between; findings that tie in their start come
+in the order of KINDS; rows that repeat are answered row by row; an empty table gives an empty result; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -31,9 +33,9 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![
 LENGTHS = {c: int(g[:2]) for g in "15 NO;16 BE;18 DK FI FK FO GL NL SD;19 MK SI;20 AT BA EE KZ LT LU MN XK;21 CH HR LI LV;22 BG BH CR DE GB GE IE ME RS VA;23 AE GI IL IQ OM SO TL;24 AD CZ ES MD PK RO SA SE SK TN VG;25 LY PT ST;26 IS TR;27 BI DJ FR GR IT MC MR SM;28 AL AZ BY CY DO GT HN HU LB NI PL SV;29 BR EG PS QA UA;30 JO KW MU YE;31 MT SC;32 LC;33 RU".split(";") for c in g[3:].split()}
 EXACT = {n: re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in set(LENGTHS.values())}
 NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-DIGIT = re.compile(r"[0-9]")
+DIGIT, WORD, LETTERS = re.compile(r"[0-9]"), re.compile(r"[a-z]+"), "abcdefghijklmnopqrstuvwxyz"
 #: Score before context, and the context words, of each kind; base kinds in the contract's order. Fixed values.
-KINDS = {"email": (0.8, "mail email contact write"), "ip": (0.5, "ip address host server"), "card": (0.7, "card visa credit payment"), "phone": (0.6, "phone call tel mobile fax"), "iban": (0.8, "iban account bank"), "national": (0.3, "ssn social security national")}
+KINDS = {k: (score, frozenset(words.split())) for k, score, words in (("email", 0.8, "mail email contact write"), ("ip", 0.5, "ip address host server"), ("card", 0.7, "card visa credit payment"), ("phone", 0.6, "phone call tel mobile fax"), ("iban", 0.8, "iban account bank"), ("national", 0.3, "ssn social security national"))}
 BASE, KEEP, BONUS, NEAR = ("email", "ip", "card", "phone"), 0.5, 0.3, 40
 
 
@@ -95,7 +97,9 @@ def find(text: str | None) -> list[tuple[int, int, str, float]]:
     for kind, s, e in _kinds(text or ""):
         score, words = KINDS[kind]
         near = text[max(0, s - NEAR) : s].lower()
-        score = min(1.0, score + BONUS * any(w in near for w in words.split()))
+        if len(near) == NEAR and s > NEAR and text[s - NEAR - 1].isalnum():
+            near = near.lstrip(LETTERS)  # its first word is cut
+        score = min(1.0, score + BONUS * (not words.isdisjoint(WORD.findall(near))))
         if kind in BASE or score >= KEEP:
             out.append((s, e, kind, score))
     order = list(KINDS)
