@@ -8,24 +8,29 @@ are, and the word says nothing. The best path pays SWITCH for each
 change of language. Its labels are read off as max-marginals (forward best plus backward best), which are the
 labels of the best path wherever that is unique.
 
-Cases: null texts and texts without a letter are `und` with score 0; without any labelled row everything is `und`;
-ties go to the language first by name; a document's words are handled in chunks, so long texts need no more memory than a batch.
+Cases: null and empty texts and texts without a letter are `und` with score 0; without any labelled row everything is `und`;
+ties go to the language first by name; a very long text's words become numbers, 4 bytes each, and the path is found in chunks of
+CHUNK words, in time and memory linear in the languages; rows that repeat get equal answers; an empty table gives an empty result;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terracota.llm.common import by_text, held_out
+from terracota.llm.common import by_text, held_out, shared
 
 SAMPLE, BUCKETS, ORDERS, SMOOTH = 1500, 1 << 16, (1, 2, 3, 4), 0.5
-SWITCH, FLOOR, SCRIPT_SHARE, LANE, MEMO = 12.0, -40.0, 0.01, 128, 150_000
-WORD = re.compile(r"[^\W\d_]+")
+SWITCH, FLOOR, SCRIPT_SHARE, LANE, CHUNK, LONG, MEMO = 12.0, -40.0, 0.01, 128, 200_000, 1_000_000, 150_000
+#: Runs of letters: \w without digits, _ and what else is a number, such as ² and ½.
+NUMBERS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha())
+WORD = re.compile(rf"[^\W\d_{NUMBERS}]+")
 #: First code points of script ranges, as Unicode has them, and the names. Fixed values.
 SCRIPTS = ((0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "devanagari"), (0x980, "indic"), (0xE00, "thai"), (0xE80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x2C60, "latin"), (0x2C80, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB10, "other"), (0x20000, "han"), (0x32000, "other"))
 STARTS, NAMES = np.array([s for s, _ in SCRIPTS]), sorted({n for _, n in SCRIPTS})
@@ -54,46 +59,79 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(bucket).astype(np.int64), script
 
 
-def forward(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
-    """Best score of a path that ends in each state at each word. scores (n, states); first: words that begin a text.
+def _run(scores: np.ndarray, first: np.ndarray, entry: np.ndarray, switch: float) -> np.ndarray:
+    """Best score of a path that ends in each state at each word, less the greatest of them. scores (n, states); first: words that begin a text.
 
-    Lanes of LANE words run side by side from every entry state; then their entry scores are chained, and added.
+    entry: those of the word before. Lanes of LANE words run side by side from all states alike; where the lane before ends otherwise,
+    a lane is run again from there until both runs agree, which is soon, as old words don't matter for long. Time and memory are
+    linear in the words and in the states.
     """
     n, k = scores.shape
     lanes = -(-n // LANE)
-    pad = lanes * LANE - n
-    s = np.concatenate([scores, np.zeros((pad, k), scores.dtype)]).reshape(lanes, LANE, k).transpose(1, 2, 0).copy()  # [word, state, lane]
-    new = np.concatenate([first, np.zeros(pad, bool)]).reshape(lanes, LANE).T.copy()
-    best = np.empty((LANE, k, k, lanes), scores.dtype)  # [word, entry state, state, lane]
-    now = np.broadcast_to((switch * (np.eye(k) - 1)).astype(scores.dtype)[:, :, None], (k, k, lanes))
+    s = np.zeros((lanes * LANE, k), scores.dtype)
+    s[:n] = scores
+    s = np.ascontiguousarray(s.reshape(lanes, LANE, k).transpose(1, 0, 2))  # [word, lane, state]
+    new = np.zeros(lanes * LANE, bool)
+    new[:n] = first
+    new = np.ascontiguousarray(new.reshape(lanes, LANE).T)
+    any_new, low = new.any(1), scores.dtype.type(-switch)
+
+    def step(t, now, own):
+        now = np.maximum(now, low)
+        if any_new[t]:
+            now[new[t, own]] = 0
+        now += s[t, own]
+        now -= now.max(1, keepdims=True)
+        return now
+
+    out, entered = np.empty_like(s), np.zeros((lanes, k), scores.dtype)
+    entered[0] = entry
+    now, every = entered, slice(None)
     for t in range(LANE):
-        move = now if t == 0 else np.maximum(now, now.max(1, keepdims=True) - scores.dtype.type(switch))
-        now = np.where(new[t], scores.dtype.type(0), move) + s[t] if new[t].any() else move + s[t]
-        best[t] = now
-    reset = np.logical_or.accumulate(new, 0)  # a text has begun in the lane: the entry no longer matters
-    entry, entries = np.zeros(k, scores.dtype), np.empty((k, lanes), scores.dtype)
-    ends, begun = best[-1].transpose(2, 0, 1).copy(), reset[-1]
-    for lane in range(lanes):
-        entries[:, lane] = entry
-        entry = ends[lane][0] if begun[lane] else (entry[:, None] + ends[lane]).max(0)
-        entry = entry - entry.max()
-    out = (best + entries[:, None, :]).max(1)
-    out = np.where(reset[:, None, :], best[:, 0], out)
-    return out.transpose(2, 0, 1).reshape(lanes * LANE, k)[:n]
-
-
-def labels(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """State of each word on the best path."""
-    last = np.append(first[1:], True)
-    ahead = forward(scores, first, switch)
-    back = forward(scores[::-1], last[::-1], switch)[::-1]
-    # both are best scores up to a constant of the lane and word, the same for all states
-    return (ahead + back - scores).argmax(1)
+        out[t] = now = step(t, now, every)
+    redo = np.arange(1, lanes)
+    while len(redo := redo[(out[-1, redo - 1] != entered[redo]).any(1)]):
+        now = entered[redo] = out[-1, redo - 1]
+        own, changed = redo, []
+        for t in range(LANE):
+            now = step(t, now, own)
+            other = (out[t, own] != now).any(1)
+            own, now = own[other], now[other]
+            if not len(own):
+                break
+            out[t, own] = now
+        else:
+            changed = own
+        redo = np.array([x + 1 for x in changed if x + 1 < lanes], np.int64)
+    return out.transpose(1, 0, 2).reshape(lanes * LANE, k)[:n]
+
+
+def labels(scores, n: int, k: int, first: np.ndarray, switch: float = SWITCH, chunk: int | None = None) -> np.ndarray:
+    """State of each of n words on the best path; scores(a, b): those of words a to b, (b - a, k). first: words that begin a text.
+
+    Chunk by chunk: forward over all, keeping what each chunk begins from, then backward with each chunk's forward run again, so
+    memory grows with the words by a byte or so each, whatever the states.
+    """
+    chunk = chunk or CHUNK
+    starts = range(0, n, chunk)
+    entries, last, out = [np.zeros(k, np.float32)], np.append(first[1:], True), np.empty(n, np.uint16)
+    for at in starts[:-1]:
+        entries.append(_run(scores(at, at + chunk), first[at : at + chunk], entries[-1], switch)[-1])
+    after = np.zeros(k, np.float32)
+    for at, entry in zip(reversed(starts), reversed(entries), strict=True):
+        own = scores(at, min(n, at + chunk))
+        ahead = _run(own, first[at : at + len(own)], entry, switch)
+        back = _run(own[::-1], last[at : at + len(own)][::-1], after, switch)[::-1]
+        after = back[0]
+        # both are best scores but for a constant of the word, the same for all states
+        out[at : at + len(own)] = (ahead + back - own).argmax(1)
+    return out
 
 
 class Model:
     def __init__(self, langs: list[str], weights: np.ndarray, scripts: np.ndarray):
         self.langs, self.weights, self.scripts, self.memo = langs, weights, scripts, {}
+        self.rows, self.sizes = np.empty((0, len(langs)), np.float32), np.empty(0, np.int64)
 
     def scores(self, words: list[str]) -> np.ndarray:
         at, bucket, script = grams(words)
@@ -103,49 +141,52 @@ class Model:
         fits = self.scripts[script]
         return np.where(fits.any(1, keepdims=True), np.where(fits, sums, FLOOR), 0).astype(np.float32)
 
-    def label(self, texts: list[str | None]) -> list[list[tuple[str, str]]]:
-        """Spans' raw form: each text's (word, language)."""
-        split, states, _ = self._path(texts)
-        out, at = [], 0
-        for words in split:
-            out.append([(w, self.langs[i]) for w, i in zip(words, states[at : at + len(words)].tolist(), strict=True)])
-            at += len(words)
-        return out
-
-    def _path(self, texts):
-        split = [WORD.findall((t or "").lower()) for t in texts]
+    def _ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Number of each word of each text in the memo. Words are taken some at a time, so that they need no list of all."""
         if len(self.memo) > MEMO:
             self.memo.clear()
-            self.rows = []
-        memo = self.memo
-        if not memo:
-            self.rows = [np.empty((0, len(self.langs)), np.float32)]
-        if new := [w for w in {w for words in split for w in words} if w not in memo]:
-            start = len(memo)
-            memo.update(zip(new, range(start, start + len(new)), strict=True))
-            self.rows.append(self.scores(new))
-        table = np.concatenate(self.rows) if len(self.rows) > 1 else self.rows[0]
-        self.rows = [table]
-        sizes = np.array([len(words) for words in split])
-        rows = table[np.array([memo[w] for words in split for w in words], np.int64)] if sizes.sum() else table[:0]
-        first = np.zeros(len(rows), bool)
+            self.rows, self.sizes = np.empty((0, len(self.langs)), np.float32), np.empty(0, np.int64)
+        memo, out, start = self.memo, [], len(self.memo)
+        for t in texts:
+            found = (m[0] for m in WORD.finditer(t.lower())) if t and len(t) > LONG else iter(WORD.findall(t.lower()) if t else ())
+            out.append(np.fromiter((memo.setdefault(w, len(memo)) for w in found), np.int32))
+        new = list(islice(memo, start, None))
+        parts = [self.scores(new[at : at + CHUNK]) for at in range(0, len(new), CHUNK)]
+        self.rows = np.concatenate([self.rows, *parts])
+        self.sizes = np.append(self.sizes, [len(w) for w in new]).astype(np.int64)
+        return out
+
+    def _path(self, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Each text's word numbers, and the states of all words."""
+        ids = self._ids(texts)
+        sizes, every = np.array([len(x) for x in ids]), np.concatenate([*ids, np.empty(0, np.int32)])
+        first = np.zeros(len(every), bool)
         first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-        return split, labels(rows, first) if len(rows) else np.empty(0, np.int64), rows
+        return ids, labels(lambda a, b: self.rows[every[a:b]], len(every), len(self.langs), first) if len(every) else np.empty(0, np.uint16)
+
+    def label(self, texts: list[str | None]) -> list[list[tuple[str, str]]]:
+        """Spans' raw form: each text's (word, language)."""
+        ids, states = self._path(texts)
+        words, out, at = list(self.memo), [], 0
+        for own in ids:
+            out.append([(words[w], self.langs[i]) for w, i in zip(own.tolist(), states[at : at + len(own)].tolist(), strict=True)])
+            at += len(own)
+        return out
 
     def predict(self, texts: list[str | None]) -> dict:
         if not self.langs:
             return {"lang_pred": ["und"] * len(texts), "score": [0.0] * len(texts), "spans": [0] * len(texts)}
-        split, states, rows = self._path(texts)
+        ids, states = self._path(texts)
         out, at = {"lang_pred": [], "score": [], "spans": []}, 0
-        for words in split:
-            own, r = states[at : at + len(words)], rows[at : at + len(words)]
+        for words in ids:
+            own = states[at : at + len(words)]
             at += len(words)
-            if not words:
+            if not len(words):
                 best, score, spans = "und", 0.0, 0
             else:
-                letters = np.bincount(own, weights=[len(w) for w in words], minlength=len(self.langs))
+                letters = np.bincount(own, weights=self.sizes[words], minlength=len(self.langs))
                 i = int(letters.argmax())
-                total = r.sum(0, dtype=np.float64) / np.sqrt(len(words))
+                total = sum(self.rows[words[x : x + CHUNK]].sum(0, dtype=np.float64) for x in range(0, len(words), CHUNK)) / np.sqrt(len(words))
                 sure = 1 / np.exp(np.minimum(total - total[i], 50)).sum()
                 best, score, spans = self.langs[i], float(letters[i] / letters.sum() * sure), 1 + int((own[1:] != own[:-1]).sum())
             for key, v in (("lang_pred", best), ("score", score), ("spans", spans)):
@@ -186,8 +227,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     """Struct column (lang_pred, score, spans). The model, bounded by BUCKETS and the languages, is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return by_text(docs.sparkSession, lambda: shared.value.predict, "lang_pred string, score double, spans long")(F.col(text_col))
+    own = shared(docs.sparkSession, model)
+    return by_text(docs.sparkSession, lambda: own().predict, "lang_pred string, score double, spans long")(F.col(text_col))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
