@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracota.llm.common import by_text
+from terracota.llm.common import by_text, shared
 
 #: White_Space of Unicode, which is narrower than \s of the re module. Fixed values.
 BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -163,9 +163,9 @@ class Codec:
 
 
 def _codec(spark: SparkSession, path: str, pattern: str):
-    """Sent once: some MB, bounded by the vocabulary. A worker keeps the value, and so its memo, from task to task."""
+    """Sent once: some MB, bounded by the vocabulary. A worker keeps the codec, and so its memo, from task to task."""
     ranks = read_ranks(path)
-    return spark.sparkContext.broadcast(Codec(PerfectHash(ranks), *pair_table(ranks), pattern))
+    return shared(spark, Codec(PerfectHash(ranks), *pair_table(ranks), pattern))
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -173,7 +173,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, text_col: str = "text", id
     codec = _codec(docs.sparkSession, path, pattern)
 
     def make():
-        own = codec.value
+        own = codec()
         return lambda texts: {"ids": own.encode([t or "" for t in texts])}
 
     return docs.withColumn(ids_col, by_text(docs.sparkSession, make, "ids array<int>")(F.col(text_col))["ids"])
@@ -187,7 +187,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     codec = _codec(docs.sparkSession, path, pattern)
 
     def make():
-        own = codec.value
+        own = codec()
         sha = lambda b: hashlib.sha256(b).hexdigest()
 
         def work(texts):

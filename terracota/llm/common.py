@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a broadcast side may have; every broadcast side here has rows of under about 100 bytes.
+#: Rows that a broadcast side may have: sides are keys, numbers and short texts, of at most some hundred bytes a row.
 BROADCAST_ROWS = 200_000
+#: A key of over 1 / HOT of all rows is hot; there are fewer than HOT of them.
+HOT = 1000
 #: Rows of text sent to a Python worker at once, and characters that one call of an operator's function handles.
 BATCH_ROWS = 256
 BATCH_CHARS = 4_000_000
@@ -47,6 +51,35 @@ def bounded_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROAD
     return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
 
 
+def keyed_join(rows: DataFrame, table: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
+    """rows joined with table(key, n, ...), a row a key; n: how many of the total rows have that key, at least about.
+
+    Hot keys (fewer than HOT, by their share) meet a broadcast and the others a shuffle, so that no task gets all rows of a hot key.
+    """
+    hot = table.where(F.col(n) > total / HOT)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(n) <= total / HOT), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """Text that tells rows apart by id and whole text (128 bits of it); equal rows share one, nulls have their own."""
+    return F.concat(F.when(F.col(id_col).isNull(), "-").otherwise(F.concat(F.lit("="), F.col(id_col).cast("string"))), F.lit(":"), F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("-")))
+
+
+def shared(spark: SparkSession, value) -> Callable:
+    """Function that gives value inside tasks. It is broadcast as pickled bytes with its class's code, so executors need no copy of this package;
+    a worker unpickles it once and keeps it from task to task. Spark frees the broadcast when the column that uses it is no longer referred to."""
+    box = spark.sparkContext.broadcast([cloudpickle.dumps(value)])
+
+    def get():
+        held = box.value
+        if isinstance(held[0], bytes):
+            held[0] = pickle.loads(held[0])
+        return held[0]
+
+    return get
+
+
 def text_batches(spark: SparkSession) -> None:
     """Rows of text are large: send few of them to a Python worker at once."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

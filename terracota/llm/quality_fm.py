@@ -7,8 +7,9 @@ statistic, and the length the table states (n_chars), one bin. score = logistic(
 Learning: about SAMPLE labelled rows (all, if fewer), chosen by a hash of the id among those not held out; their features,
 not their texts, go to the driver, where a few epochs of Adam fit the weights. Scoring is a column over every whole text.
 
-Cases: null and empty texts have only their bins as features and get a score; no usable label at all gives 0.5 everywhere;
-an id's labels count once, by their mean, and of rows that repeat an id one is learned from, that with the least text, so the
+Cases: null and empty texts have only their bins as features and get a score, as do texts whose stated length is null; no usable
+label at all gives 0.5 everywhere; a very long text costs memory in proportion to itself; rows that repeat get equal scores, ties
+need no order; an empty table gives an empty result; extra columns are ignored, whatever their names; an id's labels count once, by their mean, and of rows that repeat an id one is learned from, that with the least text, so the
 sample stays as small if an id holds a third of the rows.
 """
 
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terracota.llm.common import held_out, text_batches
+from terracota.llm.common import held_out, shared, text_batches
 from terracota.llm.stats import base_stats
 
 SAMPLE, WORDS, BINS, FACTORS = 4000, 1 << 13, 16, 8
@@ -58,7 +59,11 @@ def features(text: str | None, stated: float | None, memo: dict[bytes, int]) ->
 
 class Machine:
     def __init__(self):
-        self.bias, self.w, self.v, self.memo = 0.0, np.zeros(SIZE), np.random.default_rng(SEED).normal(0, 0.05, (SIZE, FACTORS)), {}
+        self.bias, self.w, self.v, self.memo = 0.0, np.zeros(SIZE), np.zeros((SIZE, FACTORS)), {}
+
+    def spread(self) -> None:
+        """Small random factors, from which learning starts; all zero, pairs would never move."""
+        self.v = np.random.default_rng(SEED).normal(0, 0.05, (SIZE, FACTORS))
 
     def margins(self, index: np.ndarray, value: np.ndarray, starts: np.ndarray):
         vx = self.v[index] * value[:, None]
@@ -119,6 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     found = one.mapInPandas(collect, f"id {texts.schema['id'].dataType.simpleString()}, y double, index array<int>, value array<float>")
     found = sorted(found.collect(), key=lambda r: r["id"])  # at most about sample rows
     if found:
+        machine.spread()
         machine.learn([(np.array(r["index"], np.int64), np.array(r["value"], np.float64)) for r in found], np.array([r["y"] for r in found]))
     return machine
 
@@ -126,12 +132,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def scored(docs: DataFrame, machine: Machine, text_col: str = "text", length_col: str = "n_chars") -> Column:
     """Score column of every whole text. The machine's weights have a fixed size and are broadcast."""
     text_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    own = shared(docs.sparkSession, machine)
 
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, stated in batches:
-            yield pd.Series(shared.value.score([t if isinstance(t, str) else None for t in texts], list(stated)))
+            yield pd.Series(own().score([t if isinstance(t, str) else None for t in texts], list(stated)))
 
     return run(F.col(text_col), F.col(length_col).cast("double"))
 

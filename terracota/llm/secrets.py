@@ -10,7 +10,10 @@ full length from a walk forward with the rule's own, for the few texts that have
 and don't overlap within a rule, which equals the regular expressions' own greedy matching for rules in
 which no match can lie inside another's fixed prefix, as here. Offsets are code points, ends exclusive.
 
-Cases: null texts are empty; a very long text is one of many lanes; the separator between texts is a byte that UTF-8 never has.
+Cases: null and empty texts have no secrets; the separator between texts is a byte that UTF-8 never has; a very long text is read in
+blocks of BLOCK bytes, each from the state that the one before it ended in, so the pass needs some bytes a byte of a block; rows that
+repeat are answered row by row; spans of different rules that tie in their start come in the rules' order; an empty table gives an
+empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,15 +23,14 @@ import re
 import re._parser as parser
 from dataclasses import dataclass
 from functools import reduce
-from re._constants import BRANCH, IN, LITERAL, MAX_REPEAT, MAXREPEAT, RANGE, SUBPATTERN
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terracota.llm.common import by_text
+from terracota.llm.common import by_text, shared
 
-LANES, SEPARATOR = 4096, 0xFF
+LANES, SEPARATOR, BLOCK = 4096, 0xFF, 1 << 22
 
 
 @dataclass(frozen=True)
@@ -82,22 +84,22 @@ class Automaton:
     def _add(self, items, at: int, reverse: bool) -> int:
         at = self._link(at, self._node())
         for op, arg in reversed(list(items)) if reverse else items:
-            if op is LITERAL:
+            if op is parser.LITERAL:
                 at = self._link(at, self._node(), frozenset([arg]))
-            elif op is IN:
-                at = self._link(at, self._node(), frozenset(b for kind, x in arg for b in ([x] if kind is LITERAL else range(x[0], x[1] + 1) if kind is RANGE else [][0])))
-            elif op is SUBPATTERN:
+            elif op is parser.IN:
+                at = self._link(at, self._node(), frozenset(b for kind, x in arg for b in ([x] if kind is parser.LITERAL else range(x[0], x[1] + 1) if kind is parser.RANGE else [][0])))
+            elif op is parser.SUBPATTERN:
                 at = self._add(arg[3], at, reverse)
-            elif op is BRANCH:
+            elif op is parser.BRANCH:
                 joined = self._node()
                 for option in arg[1]:
                     self._link(self._add(option, at, reverse), joined)
                 at = joined
-            elif op is MAX_REPEAT:
+            elif op is parser.MAX_REPEAT:
                 least, most, item = arg
                 for _ in range(least):
                     at = self._add(item, at, reverse)
-                if most is MAXREPEAT:
+                if most is parser.MAXREPEAT:
                     loop = self._link(at, self._node())
                     self._link(self._add(item, loop, reverse), loop)
                     at = self._link(loop, self._node())
@@ -169,20 +171,30 @@ class Scanner:
         self.hit = np.array([bool(a) for a in self.all.accepts])
 
     def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of bytes at which some rule's match ends, and the states there."""
+        """Places of bytes at which some rule's match ends, and the states there. Blocks of BLOCK bytes, each from the last one's end state."""
+        places, states, entry = [], [], 0
+        for at in range(0, len(data), BLOCK):
+            found, own, entry = self._block(data[at : at + BLOCK], entry)
+            places.append(found + at)
+            states.append(own)
+        return (np.concatenate(places), np.concatenate(states)) if places else (np.empty(0, np.int64), np.empty(0, np.uint16))
+
+    def _block(self, data: np.ndarray, entry: int) -> tuple[np.ndarray, np.ndarray, int]:
         a, n = self.all, len(data)
         lanes = min(LANES, max(1, n // 64))
         length = -(-n // lanes)
         padded = np.full(lanes * length, a.of[SEPARATOR], np.uint8)
         padded[:n] = a.of[data]
-        columns = np.ascontiguousarray(padded.reshape(lanes, length).T).astype(np.intp)
+        columns = np.ascontiguousarray(padded.reshape(lanes, length).T)
         width, flat = a.step.shape[1], a.step.reshape(-1)
         states = np.empty((length, lanes), np.uint16)
-        now = np.zeros(lanes, np.intp)
+        entered = np.zeros(lanes, np.uint16)
+        entered[0] = entry
+        now = entered.astype(np.intp)
         for t in range(length):
             now = flat[now * width + columns[t]].astype(np.intp)
             states[t] = now
-        entered, redo = np.zeros(lanes, np.uint16), np.arange(1, lanes)
+        redo = np.arange(1, lanes)
         while len(redo := redo[states[-1, redo - 1] != entered[redo]]):
             entered[redo] = states[-1, redo - 1]
             now, own, changed = entered[redo].astype(np.intp), redo, []
@@ -198,7 +210,7 @@ class Scanner:
             redo = np.array([x + 1 for x in changed if x + 1 < lanes], np.int64)
         ends = states.T.reshape(-1)[:n]
         found = np.flatnonzero(self.hit[ends])
-        return found, ends[found]
+        return found, ends[found], int(ends[-1])
 
     def spans(self, data: bytes, ends: list[int], states: list[int]) -> list[tuple[int, int, int]]:
         """(start, end, rule) in bytes of one text, from the places at which matches end in it."""
@@ -228,7 +240,7 @@ class Scanner:
         """(start, end, kind) in code points, for each text."""
         raw = [(t or "").encode("utf-8", "replace") for t in texts]
         data = np.frombuffer(bytes([SEPARATOR]).join([*raw, b""]), np.uint8)
-        found, states = self.hits(data) if len(data) else (np.empty(0, np.int64),) * 2
+        found, states = self.hits(data)
         begins = np.cumsum([0, *(len(b) + 1 for b in raw)])
         cuts = np.searchsorted(found, begins)
         out = []
@@ -251,10 +263,10 @@ BASE = ("assign", "access", "hex")
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(Scanner(rules))
+    own = shared(docs.sparkSession, Scanner(rules))
 
     def make():
-        scanner = shared.value
+        scanner = own()
 
         def work(texts):
             found = scanner.scan(texts)
@@ -269,7 +281,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redacted(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> Column:
     """The text with each secret replaced by mark; overlapping spans become one mark. Null stays null."""
-    shared = docs.sparkSession.sparkContext.broadcast(Scanner(rules))
+    own = shared(docs.sparkSession, Scanner(rules))
 
     def cut(text, spans):
         if not spans:
@@ -282,6 +294,6 @@ def redacted(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
         return "".join([*out, text[at:]])
 
     def make():
-        return lambda texts: {"text": [cut(t, spans) for t, spans in zip(texts, shared.value.scan(texts), strict=True)]}
+        return lambda texts: {"text": [cut(t, spans) for t, spans in zip(texts, own().scan(texts), strict=True)]}
 
     return by_text(docs.sparkSession, make, "text string")(F.col(text_col))["text"]
