@@ -2,28 +2,34 @@
 
 Words are hashed, GRAM of them make a k-gram, and a text keeps the least k-gram hash of every WINDOW of them in a row. Any span
 of GRAM + WINDOW - 1 = 13 words that two texts share has the same least hash in both, so every shared span leaves a
-shared fingerprint. Fingerprints of documents and benchmark items are joined by hash; each hit fixes a diagonal (place in the
-document less place in the item), and along it the words themselves are compared over the whole overlap. Runs of at least
-SPAN equal words are the shared spans. An item of fewer than SPAN words is one span: those of at least GRAM words
-are found by their first k-gram, shorter ones by the hash of all their words, looked up among all k-grams of that length.
+shared fingerprint. Fingerprints of documents and benchmark items are joined by hash. Each hit is extended to the 13-word spans
+whose least hash it is; a span is shared if the words themselves agree, by 128 bits of hash of all 13. An item of fewer than SPAN
+words is one span, whose fingerprint is the hash of all its words, looked up among all k-grams of that length.
 
-Hashes are of words lower-cased in full, which only adds candidates; the comparison lower-cases A-Z alone. Texts of candidates
-are read a second time; other texts never leave the scan. The benchmark is broadcast if it has at most MAX_BROADCAST
-fingerprints (16 bytes each), and joined by shuffle else.
+Work is linear in the words of both sides, also where a text repeats itself: a place in a document meets one distinct span, and a
+distinct span one set of items, known by a digest, so neither places nor items are paired. Hashes that find candidates are of words
+lower-cased in full, which only adds candidates; spans lower-case A-Z alone. Texts of candidates are read a second time; others
+never leave the scan. Rows are told apart by id and 128 bits of their text. Fingerprints, spans and answers are broadcast up to
+BROADCAST_ROWS rows (keys and numbers, under 100 bytes each), beyond that joined by shuffle, spans and rows of a large share of all
+apart from the others.
 
 Cases: null and empty texts have no words and no hits; an item without words has no window; items with a null id still mark words
-as hit but count as no item; rows that repeat are answered row by row; an empty benchmark leaves all documents clean.
+as hit but count as no item; items and documents that repeat are answered row by row; ties can't occur but between equal spans, which
+are one; a very long text is linear work in one row; an empty benchmark leaves all documents clean, an empty table gives an empty
+result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terracota.llm.common import bounded_broadcast, written
+from terracota.llm.common import BROADCAST_ROWS, bounded_broadcast, keyed_join, row_key, unused, written
 
-GRAM, SPAN, MAX_BROADCAST = 8, 13, 1_000_000
+GRAM, SPAN = 8, 13
 #: Characters between words once A-Z are lower case, and the same where case is kept. Fixed values.
 BETWEEN, BETWEEN_CASED = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -66,78 +72,92 @@ def minima(grams: Column, window: int) -> Column:
     return out
 
 
+def word_hashes(text: Column) -> Column:
+    return F.transform(cased_words(text), lambda w: F.xxhash64(F.lower(w)))
 
-def _mark(kind: int):
-    return lambda h: F.struct(F.lit(kind).alias("kind"), h.alias("h"))
 
+def prints(hashes: Column, length: int, span: int = SPAN, gram: int = GRAM) -> Column:
+    """Fingerprint of each span of that length, in order: the least k-gram hash in it, or the hash of a span shorter than SPAN."""
+    return minima(k_grams(hashes, gram), span - gram + 1) if length == span else k_grams(hashes, length)
 
-def _place(kind: int):
-    return lambda h, p: F.struct(F.lit(kind).alias("kind"), p.alias("p"), h.alias("h"))
 
+def spans(words: str, length: int, found: Column) -> Column:
+    """Array of (length, fingerprint, two hashes of the words, place from 1) of the spans of an array column of words."""
+    one = lambda h, i: F.struct(F.lit(length).alias("k"), h.alias("h"), F.xxhash64(F.slice(words, i + 1, F.lit(length))).alias("a"), F.xxhash64(F.lit(1), F.slice(words, i + 1, F.lit(length))).alias("b"), (i + 1).alias("s"))
+    return F.transform(found, one)
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of docs."""
+
+def _contamination(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, span: int, gram: int) -> DataFrame:
+    """(key, n_hit, n_items, items_sha256, n) of the distinct rows(key, text) that have hits; n: how many rows have the key."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("item_text")).distinct()
-    items = items.withColumn("iw", exact_words(F.col("item_text"))).withColumn("m", F.size("iw")).where("m > 0")
-    items = items.withColumn("ih", F.transform(cased_words(F.col("item_text")), lambda w: F.xxhash64(F.lower(w))))
-    items = written(items.withColumn("item_key", F.xxhash64("item_id", "item_text")).drop("item_text"), "items")
-    lengths = {r["m"] for r in items.select(F.least("m", F.lit(span)).alias("m")).distinct().collect()}  # at most span values
-    window = span - gram + 1
-    # (length of k-gram, window of the documents' side, window of the items' side, items meant)
-    kinds = [(gram, window, items.where(F.col("m") >= span), True)] if span in lengths else []
-    if any(gram <= m < span for m in lengths):
-        kinds.append((gram, 1, items.where((F.col("m") >= gram) & (F.col("m") < span)), False))
-    kinds += [(m, 1, items.where(F.col("m") == m), False) for m in sorted(lengths) if m < gram]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    if not kinds:
-        none = F.lit(0).cast("long")
-        return rows.select("doc_id", F.size(cased_words(F.col("text"))).cast("long").alias("n_words"), none.alias("n_hit"), none.alias("n_items"), F.sha2(F.lit("").cast("binary"), 256).alias("items_sha256"), F.lit(False).alias("contaminated"))
-
-    prints = None
-    for i, (k, w, own, winnowed) in enumerate(kinds):
-        grams = own.withColumn("g", k_grams(F.col("ih"), k))
-        at = grams.withColumn("kept", F.array_distinct(minima(F.col("g"), w))) if winnowed else grams.withColumn("kept", F.slice("g", 1, 1))
-        at = at.select("item_key", "kept", F.posexplode("g").alias("q", "h"))
-        at = (at.where(F.array_contains("kept", F.col("h"))) if winnowed else at.where("q = 0")).select(F.lit(i).alias("kind"), "h", "item_key", "q")
-        prints = at if prints is None else prints.union(at)
-    prints = written(prints, "prints")
-    n_prints = prints.count()
-    known = bounded_broadcast(prints.select("kind", "h").distinct(), n_prints, MAX_BROADCAST)
-
-    hashed = rows.select("key", F.transform(cased_words(F.col("text")), lambda w: F.xxhash64(F.lower(w))).alias("dh"))
-    marks = F.concat(*(F.transform(F.array_distinct(minima(k_grams(F.col("dh"), k), w)), _mark(i)) for i, (k, w, _, _) in enumerate(kinds)))
-    candidates = written(hashed.select("key", F.explode(marks).alias("f")).select("key", "f.kind", "f.h").join(known, ["kind", "h"], "left_semi").select("key").distinct(), "candidates")
-    n_candidates = candidates.count()
-    chosen = rows.join(bounded_broadcast(candidates, n_candidates), "key", "left_semi").dropDuplicates(["key"])
-    chosen = written(chosen.select("key", exact_words(F.col("text")).alias("dw"), F.transform(cased_words(F.col("text")), lambda w: F.xxhash64(F.lower(w))).alias("dh")), "chosen")
-
-    places = F.concat(*(F.transform(k_grams(F.col("dh"), k), _place(i)) for i, (k, _, _, _) in enumerate(kinds)))
-    places = chosen.select("key", F.explode(places).alias("f")).select("key", "f.*")
-    diagonals = places.join(bounded_broadcast(prints, n_prints, MAX_BROADCAST), ["kind", "h"]).select("key", "item_key", (F.col("p") - F.col("q")).alias("shift")).distinct()
-    n_items = items.count()
-    both = diagonals.join(chosen.select("key", "dw"), "key").join(bounded_broadcast(items.select("item_key", "item_id", "iw", "m"), n_items, MAX_BROADCAST // 100), "item_key")
-    low, high = F.greatest(F.lit(1), F.col("shift") + 1), F.least(F.size("dw"), F.col("m") + F.col("shift"))
-    unequal = F.filter(F.sequence(F.col("low"), F.col("high")), lambda p: F.get(F.col("dw"), p - 1) != F.get(F.col("iw"), p - F.col("shift") - 1))
-    both = both.withColumn("low", low).withColumn("high", high).where("low <= high")
-    both = both.select("key", "item_id", F.least("m", F.lit(span)).alias("least"), F.concat(F.array(F.col("low") - 1), unequal, F.array(F.col("high") + 1)).alias("u"))
-    runs = both.select("key", "item_id", "least", F.explode(_pairs(F.col("u"), 1, lambda a, b: F.struct((a + 1).alias("s"), (b - 1).alias("e")))).alias("r"))
-    runs = runs.where(F.col("r.e") - F.col("r.s") + 1 >= F.col("least")).select("key", "item_id", "r.s", "r.e")
+    items = items.withColumn("w", exact_words(F.col("item_text"))).withColumn("m", F.size("w")).where("m > 0")
+    items = written(items.withColumn("hashes", word_hashes(F.col("item_text"))).withColumn("length", F.least("m", F.lit(span))).drop("item_text"), "items")
+    lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # at most span values
+    if not lengths:
+        return None
+    own = reduce(DataFrame.unionByName, (items.where(F.col("length") == k).select("item_id", F.explode(spans("w", k, prints(F.col("hashes"), k, span, gram))).alias("x")).select("item_id", "x.k", "x.h", "x.a", "x.b") for k in lengths))
+    own = written(own.distinct(), "item-spans")
+    known = own.select("k", "h").distinct()
+    # items that have a span, as a set: its size and the exclusive or of two hashes
+    digest = [F.count("item_id").alias("c"), F.bit_xor(F.xxhash64("item_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "item_id")).alias("y")]
+    sets = written(own.groupBy("k", "a", "b").agg(*digest).select(F.struct("k", "a", "b").alias("span"), F.struct("c", "x", "y").alias("items")), "item-sets")
+    chosen = sets.groupBy("items").agg(F.min("span").alias("span"))
+    members = chosen.join(own.select(F.struct("k", "a", "b").alias("span"), "item_id"), "span").where("item_id is not null").select("items", "item_id").distinct()
+    members = written(members, "item-members")
+
+    mark = lambda k: F.transform(F.array_distinct(prints(F.col("hashes"), k, span, gram)), lambda h: F.struct(F.lit(k).alias("k"), h.alias("h")))
+    marks = rows.select("key", word_hashes(F.col("text")).alias("hashes")).select("key", F.explode(F.concat(*map(mark, lengths))).alias("f")).select("key", "f.k", "f.h")
+    candidates = written(marks.join(bounded_broadcast(known), ["k", "h"], "left_semi").select("key").distinct(), "candidates")
+    texts = rows.join(bounded_broadcast(candidates), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("n"))
+    texts = written(texts, "candidate-texts")
+    places = texts.select("key", exact_words(F.col("text")).alias("w"), word_hashes(F.col("text")).alias("hashes"))
+    places = places.select("key", F.explode(F.concat(*(spans("w", k, prints(F.col("hashes"), k, span, gram)) for k in lengths))).alias("x"))
+    places = places.select("key", "x.k", "x.h", "x.s", F.struct("x.k", "x.a", "x.b").alias("span")).join(bounded_broadcast(known), ["k", "h"], "left_semi").select("key", "k", "s", "span")
+    if sets.count() <= BROADCAST_ROWS:
+        hits = places.join(F.broadcast(sets), "span")
+    else:
+        places = written(places, "places")
+        sizes = places.groupBy("span").agg(F.count("*").alias("n"))
+        hits = keyed_join(places, written(sets.join(sizes, "span"), "sized-sets"), "span", places.count())
+    hits = written(hits.select("key", "s", (F.col("s") + F.col("k") - 1).alias("e"), "items"), "hits")
     before = F.coalesce(F.max("e").over(Window.partitionBy("key").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    hits = runs.withColumn("new", F.greatest(F.lit(0), F.col("e") - F.greatest(F.col("s") - 1, before)))
-    hits = hits.groupBy("key").agg(F.sum("new").cast("long").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("ids"))
-    hits = written(hits.select(F.col("key").alias("k"), "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "ids").cast("binary"), 256).alias("items_sha256")), "hits")
+    hit_words = hits.select("key", "s", "e").distinct().withColumn("new", F.greatest(F.lit(0), F.col("e") - F.greatest(F.col("s") - 1, before))).groupBy("key").agg(F.sum("new").cast("long").alias("n_hit"))
+    hit_items = hits.select("key", "items").distinct().join(bounded_broadcast(members), "items").groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+    hit_items = hit_items.select("key", F.size("ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "ids").cast("binary"), 256).alias("items_sha256"))
+    return written(hit_words.join(hit_items, "key", "left").join(texts.select("key", "n"), "key"), "answers")
+
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of docs."""
+    rows = _keyed(docs, id_col, text_col)
+    found = _contamination(rows, benchmark, item_col, item_text_col, span, gram)
     out = rows.select("doc_id", "key", F.size(cased_words(F.col("text"))).cast("long").alias("n_words"))
-    out = out.join(bounded_broadcast(hits, n_candidates), F.col("key") == F.col("k"), "left")
+    if found is None:
+        out = out.withColumns({"n_hit": F.lit(None).cast("long"), "n_items": F.lit(None).cast("long"), "items_sha256": F.lit(None).cast("string")})
+    elif found.count() <= BROADCAST_ROWS:
+        out = out.join(F.broadcast(found), "key", "left")
+    else:
+        out = keyed_join(out, found, "key", rows.count(), "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the contaminated ones. Rows that share an id go together; null ids stay."""
-    bad = contamination(docs, benchmark, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    bad = written(bad, "contaminated")
-    return docs.join(bounded_broadcast(bad), docs[id_col] == bad["__bad"], "left_anti")
+    """docs without the contaminated ones. Rows are judged by their own text, whatever rows share their id."""
+    rows = _keyed(docs, id_col, text_col)
+    found = _contamination(rows, benchmark, "item_id", "text", SPAN, GRAM)
+    if found is None:
+        return docs
+    key = unused(docs, "key")
+    # only rows with hits are counted in words
+    words = F.size(cased_words(F.col("text"))).alias("n_words")
+    hit = rows.join(bounded_broadcast(found.select("key", "n_hit")), "key").select("key", "n_hit", words)
+    bad = written(hit.where(20 * F.col("n_hit") >= F.col("n_words")).select(F.col("key").alias(key)).distinct(), "contaminated")
+    return docs.withColumn(key, row_key(id_col, text_col)).join(bounded_broadcast(bad), key, "left_anti").drop(key)
 
 
 #: The same result by plain 13-word windows, for DuckDB.
