@@ -51,16 +51,24 @@ def bounded_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROAD
     return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
 
 
-def keyed_join(rows: DataFrame, table: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
-    """rows joined with table(key, n, ...), a row a key; n: how many of the total rows have that key, at least about.
+def keyed_join(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with table(key, n, ...), a row a key; n: how many of the total rows have that key.
 
     Hot keys (fewer than HOT, by their share) meet a broadcast and the others a shuffle, so that no task gets all rows of a hot key.
     """
-    hot = table.where(F.col(n) > total / HOT)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(n) <= total / HOT), key)
+    hot = table.where(F.col("n") > total / HOT)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col("n") <= total / HOT), key, how)
     return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with underscores where df has a column called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """Text that tells rows apart by id and whole text (128 bits of it); equal rows share one, nulls have their own."""
     return F.concat(F.when(F.col(id_col).isNull(), "-").otherwise(F.concat(F.lit("="), F.col(id_col).cast("string"))), F.lit(":"), F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("-")))

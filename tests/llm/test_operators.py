@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terracota.llm import bpe, decontaminate, langid, licenses, pii, quality_fm, quality_rules, secrets, simhash, stats, url_model
+from terracota.llm import bpe, common, decontaminate, langid, licenses, pii, quality_fm, quality_rules, secrets, simhash, stats, url_model
 
 SF = "/root/testdata/sf0.001"
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
@@ -90,6 +90,56 @@ def test_decontamination(spark, docs):
     assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, c.execute(f"SELECT {', '.join(out.columns)} FROM ({decontaminate.ORACLE})").fetchall()))
 
 
+def test_decontamination_of_repeated_words_and_short_items(spark, monkeypatch):
+    """A document and an item of 100,000 equal words take linear work; the answers are those of plain windows."""
+    long = "echo " * 100_000
+    rng = random.Random(8)
+    words = lambda n, k=4: " ".join(rng.choice("abcdefgh"[:k]) for _ in range(n))
+    docs = [(1, long), (2, "echo " * 12), (3, "x " * 300 + "echo " * 13 + "y"), (4, None), (5, "Echo, ECHO; " * 10), (6, long), (6, long)] + [(10 + i, words(200)) for i in range(20)] + [(None, words(60)), (7, "")]
+    items = [(1, "echo " * 50_000), (2, "ECHO " * 13), (3, words(15)), (4, words(9)), (5, words(5)), (6, "a"), (None, words(4)), (8, "..."), (9, None), (2, "ECHO " * 13)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("key", "n", "w", "hashes", "span")})
+
+    def brute(text):
+        split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        own, hit, found = split(text), set(), set()
+        for i, t in items:
+            w = split(t)
+            k = min(len(w), 13)
+            grams = {tuple(w[x : x + k]) for x in range(len(w) - k + 1)} if w else set()
+            places = [x for x in range(len(own) - k + 1) if tuple(own[x : x + k]) in grams] if grams else []
+            hit.update(y for x in places for y in range(x, x + k))
+            found |= {str(i)} if places and i is not None else set()
+        return len(own), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(own)
+
+    expected = sorted(((i, *brute(t)) for i, t in docs), key=str)
+    assert sorted(map(tuple, decontaminate.contamination(df, bench).collect()), key=str) == expected
+    clean = [(i, t) for i, t in docs if not brute(t)[4]]
+    assert sorted((tuple(r)[:2] for r in decontaminate.drop_contaminated(df, bench).collect()), key=str) == sorted(clean, key=str)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, decontaminate.contamination(df, bench).collect()), key=str) == expected
+
+
+def test_near_duplicates_by_row(spark, monkeypatch):
+    """One row of each component stays, by row and not by id; hot keys and shuffles give the same."""
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text), (1, text), (2, text), (None, text), (3, "other words entirely here in this row now"), (3, text), (None, None), (None, ""), (5, "lonely set of words stands here by itself"), (5, "lonely set of words stands here by itself")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("key", "fp", "n", "first", "x")})
+    left = sorted(map(tuple, simhash.drop_near_duplicates(df).collect()), key=str)
+    assert sorted((r[:2] for r in left), key=str) == sorted([(1, text), (3, rows[4][1]), (None, None), (5, rows[8][1])], key=str) and all(r[2:] == (1,) * 5 for r in left)
+    base = xxhash.xxh64_intdigest(b"x") >> 1
+    fps = [base ^ sum(1 << b for b in c) for r in (0, 1, 2) for c in itertools.combinations(range(20), r)] + [base ^ ((1 << 60) - 1), base ^ ((1 << 59) - 1)]
+    near = spark.createDataFrame([(f,) for f in fps], "fp long")
+    found = []
+    for rows in (200_000, 0):
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", rows)
+        for bucket in (256, 1):
+            found.append({r["fp"]: r["root"] for r in simhash.components(simhash.links(near, bucket=bucket)).collect()})
+    least = min(fps[:-2])
+    assert found[0] == found[1] == found[2] == found[3] == {f: least for f in fps[:-2]} | {f: min(fps[-2:]) for f in fps[-2:]}
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
@@ -190,6 +240,61 @@ def test_quality_rules(spark):
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.1 * len(bad)
 
 
+def test_least_determinant_equals_brute_force():
+    rng = np.random.default_rng(4)
+    for n in (9, 11, 12):
+        x = rng.normal(size=(n, quality_rules.D)) * [1.5, 0.2, 0.1, 0.1, 0.2]
+        x[: n // 4] += 2
+        x[-1] = x[-2]  # repeated rows
+        h = int(0.75 * n)
+        scale = quality_rules.consistent(quality_rules.CORE, quality_rules.CHI_CORE)
+        best = min(np.linalg.slogdet(quality_rules.ridged(scale * np.cov(x[list(c)].T, bias=True)))[1] for c in itertools.combinations(range(n), h))
+        value, _, _ = quality_rules.least_determinants(x, np.ones(n), core=h / n)
+        assert value[0] == pytest.approx(best, abs=1e-9)
+        rows, weights = np.unique(x, axis=0, return_counts=True)
+        assert quality_rules.least_determinants(rows, weights, core=h / n)[0][0] == pytest.approx(best, abs=1e-9)
+
+
+def points_of(spark, groups):
+    rows = [(k, len(x), i * 7919, *map(float, v)) for k, x in groups.items() for i, v in enumerate(x)]
+    return spark.createDataFrame(rows, "k string, n long, h long, x0 double, x1 double, x2 double, x3 double, x4 double").withColumn("h", F.xxhash64("h")), len(rows)
+
+
+def test_masked_cluster(spark):
+    """A fifth of the rows lie together far off: plain covariance hides them, the least determinant doesn't, in one task or over all rows; groups are fitted apart."""
+    rng = np.random.default_rng(5)
+    spread = np.array([1.0, 0.3, 0.2, 0.2, 0.3])
+    groups = {}
+    for k, n in (("small", 300), ("large", 4000), ("other", 2500)):
+        x = rng.normal(size=(n, quality_rules.D)) * spread + (5 if k == "other" else 0)
+        if k != "other":
+            x[: n // 5] = rng.normal(size=(n // 5, quality_rules.D)) * 0.05 * spread + 6 * spread
+        groups[k] = x
+    points, total = points_of(spark, groups)
+    fits = {r["k"]: r for r in quality_rules.fit(points, total).collect()}
+    assert set(fits) == set(groups)
+    for k, x in groups.items():
+        lower = np.array(fits[k]["root"]).reshape(quality_rules.D, -1)
+        d2 = np.square((x - fits[k]["mean"]) @ lower.T).sum(1)
+        inner = d2[: len(x) // 5] if k != "other" else np.full(1, np.inf)
+        assert inner.min() > quality_rules.CHI_REJECT * quality_rules.SLACK and (d2[len(x) // 5 :] <= quality_rules.CHI_REJECT).mean() > 0.999
+        classic = np.linalg.inv(np.cov(x.T))
+        if k != "other":
+            assert (np.einsum("ni,ij,nj->n", x - x.mean(0), classic, x - x.mean(0))[: len(x) // 5] < quality_rules.CHI_REJECT).all()
+
+
+def test_steps_over_all_rows_equal_those_in_one_task(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(1500, quality_rules.D)) * [1, 0.3, 0.2, 0.2, 0.3], np.repeat([[0.1] * quality_rules.D], 600, 0), rng.normal(size=(300, quality_rules.D)) + 4])
+    value, mean, cov = quality_rules.least_determinants(x, np.ones(len(x)), best=1)
+    points, total = points_of(spark, {"a": x})
+    own = quality_rules.fit(points, total).first()
+    d2 = np.square((x - mean[0]) @ quality_rules.root(cov[0]).T).sum(1)
+    near = x[d2 <= quality_rules.CHI_CLEAN]
+    assert np.array(own["mean"]) == pytest.approx(near.mean(0), abs=0.01)
+    assert np.array(own["root"]).reshape(quality_rules.D, -1) == pytest.approx(quality_rules.root(quality_rules.consistent(0.975, quality_rules.CHI_CLEAN) * np.cov(near.T, bias=True)), rel=0.03, abs=0.03)
+
+
 def test_quality_rules_few_good_rows_in_a_large_group(spark):
     rng = random.Random(7)
     text = lambda n: "\n".join(" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(10)) for _ in range(n // 10))
