@@ -1,13 +1,19 @@
 """Training-text pipeline: five stages over documents, each written to the shared folder and read again by the next.
 
 language      drops documents without a learned language (null texts, texts without a letter)
-near_copies   keeps the document with the smallest id of each group of near copies
+near_copies   keeps one document, with the smallest id, of each group of near copies
 benchmark     drops documents that benchmark passages contaminate
-secrets       replaces every secret in the text by a mark, and n_chars by the new length where it changes
+secrets       replaces every secret in the text by a mark, and n_chars by the new length where there was one
 tokens        encodes every text; returns ids as packed 32-bit words, their count and digests of ids and decoded text
 
 Stages but the last return the columns they are given. Each learns from, and works on, all that its predecessor kept.
 SQL can't express the language, secret and token stages, so ORACLE_SQL is None; tests hold each stage against brute force.
+
+Cases: documents with a null or empty text, or one without letters, go in the first stage; handed to a later stage, such rows pass
+it: they are near copies of one another (one stays), clean, without secrets and encode as no ids. Rows are judged one by one, whatever
+rows share their id, null ids too; of rows that repeat one stays. A very long text takes work in proportion to itself. Ties between
+languages go to the first by name, between near copies to the smaller id. An empty table gives an empty result. Extra columns are
+kept, whatever their names, until the last stage; n_chars may be missing.
 """
 
 from __future__ import annotations
@@ -17,12 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terracota.llm import bpe, decontaminate, langid, secrets, simhash
-from terracota.llm.common import table, written
+from terracota.llm.common import table, unused, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = docs.withColumn("__lang", langid.predicted(docs, langid.learn(docs)))
-    return found.where(F.col("__lang.lang_pred") != "und").select(*docs.columns)
+    name = unused(docs, "lang_found")
+    found = docs.withColumn(name, langid.predicted(docs, langid.learn(docs)))
+    return found.where(F.col(f"{name}.lang_pred") != "und").drop(name)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +41,13 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = docs.withColumn("__text", secrets.redacted(docs))
-    changed = ~F.col("__text").eqNullSafe(F.col("text"))
-    found = found.withColumn("n_chars", F.when(changed, F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.withColumn("text", F.col("__text")).select(*docs.columns)
+    name = unused(docs, "new_text")
+    found = docs.withColumn(name, secrets.redacted(docs))
+    if "n_chars" in docs.columns:
+        changed = ~F.col(name).eqNullSafe(F.col("text"))
+        length = F.length(name).cast(docs.schema["n_chars"].dataType)
+        found = found.withColumn("n_chars", F.when(changed, length).otherwise(F.col("n_chars")))
+    return found.withColumn("text", F.col(name)).drop(name)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
