@@ -17,6 +17,7 @@ extra columns are ignored, whatever their names.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
@@ -28,15 +29,23 @@ from terracota.llm.common import by_text, held_out, shared
 
 SAMPLE, BUCKETS, ORDERS, SMOOTH = 1500, 1 << 16, (1, 2, 3, 4), 0.5
 SWITCH, FLOOR, SCRIPT_SHARE, LANE, CHUNK, LONG, MEMO = 12.0, -40.0, 0.01, 128, 200_000, 1_000_000, 150_000
-#: Runs of letters: \w without digits, _ and what else is a number, such as ² and ½.
-NUMBERS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha())
-WORD = re.compile(rf"[^\W\d_{NUMBERS}]+")
+#: Runs of letters and of such numbers as ² and ½, which `split_words` takes out.
+WORD = re.compile(r"[^\W\d_]+")
 #: First code points of script ranges, as Unicode has them, and the names. Fixed values.
 SCRIPTS = ((0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "devanagari"), (0x980, "indic"), (0xE00, "thai"), (0xE80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x2C60, "latin"), (0x2C80, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB10, "other"), (0x20000, "han"), (0x32000, "other"))
 STARTS, NAMES = np.array([s for s, _ in SCRIPTS]), sorted({n for _, n in SCRIPTS})
 SCRIPT_OF = np.array([NAMES.index(n) for _, n in SCRIPTS])
 
 
+def split_words(text: str | None) -> Iterator[str]:
+    """The runs of letters of a text, lower-cased. Of a long text they come one by one, without a list of all."""
+    low = (text or "").lower()
+    found = (m[0] for m in WORD.finditer(low)) if len(low) > LONG else WORD.findall(low)
+    if len(low) <= LONG and all(map(str.isalpha, found)):
+        return iter(found)
+    return (x for w in found for x in ((w,) if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split()))
+
+
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word number, n-gram bucket) of each n-gram of each word with its ends marked, and each word's script."""
     points = np.frombuffer(("\n" + "\n".join(words) + "\n").encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
@@ -128,9 +137,17 @@ def labels(scores, n: int, k: int, first: np.ndarray, switch: float = SWITCH, ch
     return out
 
 
+class Memo(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Model:
     def __init__(self, langs: list[str], weights: np.ndarray, scripts: np.ndarray):
-        self.langs, self.weights, self.scripts, self.memo = langs, weights, scripts, {}
+        self.langs, self.weights, self.scripts, self.memo = langs, weights, scripts, Memo()
         self.rows, self.sizes = np.empty((0, len(langs)), np.float32), np.empty(0, np.int64)
 
     def scores(self, words: list[str]) -> np.ndarray:
@@ -148,8 +165,7 @@ class Model:
             self.rows, self.sizes = np.empty((0, len(self.langs)), np.float32), np.empty(0, np.int64)
         memo, out, start = self.memo, [], len(self.memo)
         for t in texts:
-            found = (m[0] for m in WORD.finditer(t.lower())) if t and len(t) > LONG else iter(WORD.findall(t.lower()) if t else ())
-            out.append(np.fromiter((memo.setdefault(w, len(memo)) for w in found), np.int32))
+            out.append(np.fromiter(map(memo.__getitem__, split_words(t)), np.int32))
         new = list(islice(memo, start, None))
         parts = [self.scores(new[at : at + CHUNK]) for at in range(0, len(new), CHUNK)]
         self.rows = np.concatenate([self.rows, *parts])
@@ -208,7 +224,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         total = {}
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
-                words = [w for t in texts if isinstance(t, str) for w in WORD.findall(t.lower())]
+                words = [w for t in texts if isinstance(t, str) for w in split_words(t)]
                 for at in range(0, len(words), 200_000):
                     _, bucket, script = grams(words[at : at + 200_000])
                     total[lang] = total.get(lang, 0) + np.concatenate([np.bincount(bucket, minlength=BUCKETS), np.bincount(script, minlength=len(NAMES))])
