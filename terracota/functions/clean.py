@@ -18,8 +18,8 @@ def _col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Without Unicode blanks at both ends."""
-    return F.regexp_replace(_col(c), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    """Without Unicode blanks at both ends, control characters that part texts among them."""
+    return F.regexp_replace(_col(c), r"^[\s\p{Z}\x1C-\x1F\x85]+|[\s\p{Z}\x1C-\x1F\x85]+$", "")
 
 
 def safe_text(c: Column | str) -> Column:

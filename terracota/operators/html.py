@@ -1,8 +1,9 @@
 """Fields of HTML pages by selectors, in one pass over each page inside a Spark job.
 
 A rule names elements by a chain of simple selectors (tag, .class, [attribute=value], descendants by blanks), or by the label in
-the paragraph before them, and says which to take: the first, all, or the only one. Pages may be broken: open elements end with
-their parent, unknown end tags are skipped.
+a paragraph near them, and says which to take: the first, all, the only one, or one inside each. Pages may be broken: open elements
+end with their parent, unknown end tags are skipped, what is no tag is text. A page is read once into lists of elements; attributes
+and texts are taken apart only where a rule asks for them.
 """
 
 from __future__ import annotations
@@ -10,29 +11,39 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terracota.functions.clean import first_photo, photos
+from terracota.functions.clean import best_photo, first_photo, photos
 from terracota.schema import RAW, RAW_COLUMNS
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SIMPLE = re.compile(r"^([\w-]+)?((?:\.[\w-]+)*)((?:\[[\w-]+=[^\]]*\])*)$")
-BLANKS = "".join(map(chr, (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x3000)))
+#: A comment's or declaration's begin, or a tag: end mark, name, what follows up to its end.
+TAG = re.compile(r"""<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+>|[^>]*>)|[!?][^>]*>)""")
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+RAW_TEXT = {t: re.compile(f"</{t}", re.I) for t in ("script", "style")}
 
 
 @dataclass(frozen=True)
 class Rule:
-    """take: first, all or only. attr: an attribute in place of the text. has: text that the element holds. label: text of the p before it."""
+    """css: elements. take: first, all, only, or each (inner, else the first one with attr, inside each). attr: an attribute in place of the text.
+    has: text that the element holds. label: text of a p; then: what comes next after that p, inside the css element; beside: the p after the div around it;
+    else the p in the div after it. tight: each piece of text is stripped. default: the value if there is no element."""
 
     css: str = ""
     take: str = "first"
     attr: str = ""
     has: str = ""
     label: str = ""
+    inner: str = ""
+    then: str = ""
+    beside: bool = False
+    tight: bool = False
+    default: str | None = None
 
 
 def by_id(name: str, take: str = "first") -> Rule:
@@ -55,93 +66,171 @@ FIELDS = {
     "fotos": Rule("ul[data-testid=carousel-photos] source[type=image/webp]", "all", "srcset"),
     "link_maps": Rule("iframe[data-testid=map-iframe]", "only", "src"),
 }
+#: The same fields in the older form of the pages. Fixed values.
+OLD_FIELDS = FIELDS | {
+    "titulo": Rule("h2.text-neutral-130", tight=True),
+    **{k: Rule("ul.amenities-scrollbar", label=label, then="p.font-bold", tight=True) for k, label in (("metragem", "Metragem"), ("banheiros", "Banheiros"), ("vagas", "Vagas"), ("quartos", "Quartos"))},
+    "valor_venda": Rule(label="Venda", beside=True, tight=True, default="N/A"),
+    "condominio": Rule("p[data-testid=condoFee]", tight=True, default="N/A"),
+    "endereco": Rule("[data-testid=location-address]", tight=True),
+    "iptu": Rule("p[data-testid=iptu]", tight=True, default="N/A"),
+    "descricao": Rule("p[data-testid=description-content]", tight=True, default="N/A"),
+    "fotos": Rule("li.carousel-photos--item", "each", "srcset", inner="source"),
+}
 RESULT_LINKS = Rule(".listings-wrapper a.olx-core-surface", "all", "href")
+CARD_LINKS = Rule("li[data-cy=rp-property-cd]", "each", "href")
 LAST_PAGE = Rule(".olx-core-pagination__button", "all")
 
 
-class Page(HTMLParser):
-    """Elements in order: tag, attributes, parent's number, and where their text begins and ends."""
+class Page:
+    """Elements in order: tag, unread attributes, parent, the range of elements inside, and that of the pieces of text inside."""
 
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
-        self.nodes: list[list] = []
+        self.tags: list[str] = []
+        self.raw: list[str] = []
+        self.parent: list[int] = []
+        self.stop: list[int] = []
         self.text: list[str] = []
-        self.open: list[int] = []
-        self.feed(html)
-        self.close()
-        self._end(0)
-
-    def _end(self, depth: int) -> None:
-        for i in self.open[depth:]:
-            self.nodes[i][4] = len(self.text)
-        del self.open[depth:]
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("p", "li") and self.open and self.nodes[self.open[-1]][0] == tag:
-            self._end(len(self.open) - 1)
-        self.nodes.append([tag, dict(attrs), self.open[-1] if self.open else -1, len(self.text), len(self.text)])
-        if tag not in VOID:
-            self.open.append(len(self.nodes) - 1)
-
-    def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.nodes[self.open[depth]][0] == tag:
-                self._end(depth)
-                break
-
-    def handle_data(self, data):
-        if not (self.open and self.nodes[self.open[-1]][0] in ("script", "style")):
-            self.text.append(data)
+        self.begin: list[int] = []
+        self.end: list[int] = []
+        self.by_tag: dict[str, list[int]] = {}
+        self._read: dict[int, dict] = {}
+        self._labels: dict[str, list[int]] | None = None
+        self._parse(html)
+
+    def _parse(self, html: str) -> None:
+        tags, raw, parent, text, begin, by_tag = self.tags, self.raw, self.parent, self.text, self.begin, self.by_tag
+        stop, end = self.stop, self.end
+        stack: list[int] = []
+        find, at, last_comment = TAG.search, 0, html.rfind("-->")
+
+        def close(depth):
+            n, t = len(tags), len(text)
+            for i in stack[depth:]:
+                stop[i], end[i] = n, t
+            del stack[depth:]
+
+        while m := find(html, at):
+            comment, ends, tag, attributes = m.groups()
+            if m.start() > at:
+                text.append(html[at : m.start()])
+            at = m.end()
+            if comment:
+                at = html.index("-->", at) + 3 if at <= last_comment else len(html)
+                continue
+            if not tag:
+                continue
+            tag = tag.lower()
+            if ends:
+                for depth in range(len(stack) - 1, -1, -1):
+                    if tags[stack[depth]] == tag:
+                        close(depth)
+                        break
+                continue
+            if (tag == "p" or tag == "li") and stack and tags[stack[-1]] == tag:
+                close(len(stack) - 1)
+            i = len(tags)
+            by_tag.setdefault(tag, []).append(i)
+            tags.append(tag)
+            raw.append(attributes)
+            parent.append(stack[-1] if stack else -1)
+            begin.append(len(text))
+            end.append(len(text))
+            stop.append(i + 1)
+            if tag not in VOID and not attributes.endswith("/>"):
+                if tag in RAW_TEXT:
+                    found = RAW_TEXT[tag].search(html, at)
+                    at = found.start() if found else len(html)
+                stack.append(i)
+        if at < len(html):
+            text.append(html[at:])
+        close(0)
+
+    def attributes(self, i: int) -> dict:
+        if i not in self._read:
+            self._read[i] = {k.lower(): unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(self.raw[i][:-1])}
+        return self._read[i]
+
+    def pieces(self, i: int) -> list[str]:
+        return [unescape(t) if "&" in t else t for t in self.text[self.begin[i] : self.end[i]]]
 
     def text_of(self, i: int) -> str:
-        return "".join(self.text[self.nodes[i][3] : self.nodes[i][4]])
+        return "".join(self.pieces(i))
 
     def matches(self, i: int, simple: tuple) -> bool:
         tag, classes, attrs = simple
-        node = self.nodes[i]
-        return (not tag or node[0] == tag) and (not classes or classes <= set((node[1].get("class") or "").split())) and all(node[1].get(k) == v for k, v in attrs)
+        if tag and self.tags[i] != tag or not all(w in self.raw[i] for w in classes):
+            return False
+        return (not classes or classes <= set(self.attributes(i).get("class", "").split())) and (not attrs or all(self.attributes(i).get(k) == v for k, v in attrs))
 
     def select(self, css: str, inside: int = -1) -> list[int]:
         *above, last = chain(css)
-        return [i for i in range(inside + 1, len(self.nodes)) if self.matches(i, last) and self._under(i, above, inside)]
-
-    def _under(self, i: int, above: list, inside: int) -> bool:
-        todo, at, found = list(above), self.nodes[i][2], inside < 0
-        while at >= 0:
-            if todo and self.matches(at, todo[-1]):
+        end = self.stop[inside] if inside >= 0 else len(self.tags)
+        known = self.by_tag.get(last[0], ()) if last[0] else range(inside + 1, end)
+        return [i for i in known if inside < i < end and self.matches(i, last) and self._under(i, above)]
+
+    def _under(self, i: int, above: list) -> bool:
+        todo, at = list(above), self.parent[i]
+        while todo and at >= 0:
+            if self.matches(at, todo[-1]):
                 todo.pop()
-            found = found or at == inside
-            at = self.nodes[at][2]
-        return found and not todo
+            at = self.parent[at]
+        return not todo
+
+    def _labelled(self, label: str) -> list[int]:
+        """p elements with this text."""
+        if self._labels is None:
+            self._labels = {}
+            for i in self.by_tag.get("p", ()):
+                self._labels.setdefault(self.text_of(i).strip(), []).append(i)
+        return self._labels.get(label, [])
+
+    def labelled(self, rule: Rule) -> list[int]:
+        out, paragraphs = [], self.by_tag.get("p", ())
+        if rule.then:
+            for box in self.select(rule.css)[:1]:
+                for i in [i for i in self._labelled(rule.label) if box < i < self.stop[box]][:1]:
+                    out += [j for j in self.select(rule.then) if j > i][:1]
+            return out
+        for i in self._labelled(rule.label):
+            if rule.beside:
+                at = self.parent[i]
+                while at >= 0 and self.tags[at] != "div":
+                    at = self.parent[at]
+                return [j for j in paragraphs if at >= 0 and j >= self.stop[at] and self.parent[j] == self.parent[at]][:1]
+            divs = {j for j in self.by_tag.get("div", ()) if j > i and self.parent[j] == self.parent[i]}
+            out += [j for j in paragraphs if self.parent[j] in divs]
+        return out
 
-    def labelled(self, label: str) -> list[int]:
-        """p children of a div that comes after a p with this text under the same parent."""
+    def each(self, rule: Rule) -> list[int]:
+        """The first inner element, or the first one with the attribute, inside each element."""
         out = []
-        for i, node in enumerate(self.nodes):
-            if node[0] == "p" and self.text_of(i).strip(BLANKS) == label:
-                divs = {j for j in range(i + 1, len(self.nodes)) if self.nodes[j][2] == node[2] and self.nodes[j][0] == "div"}
-                out += [j for j in range(i + 1, len(self.nodes)) if self.nodes[j][0] == "p" and self.nodes[j][2] in divs]
+        for i in self.select(rule.css):
+            out += self.select(rule.inner, i)[:1] if rule.inner else [j for j in range(i + 1, self.stop[i]) if rule.attr in self.attributes(j)][:1]
         return out
 
     def get(self, rule: Rule):
-        found = self.labelled(rule.label) if rule.label else self.select(rule.css)
+        found = self.labelled(rule) if rule.label else self.each(rule) if rule.take == "each" else self.select(rule.css)
         if rule.has:
             found = [i for i in found if rule.has in self.text_of(i)]
-        value = (lambda i: self.nodes[i][1].get(rule.attr)) if rule.attr else (lambda i: clean(self.text_of(i)))
-        if rule.take == "all":
+        tight = lambda i: "".join(p.strip() for p in self.pieces(i))
+        value = (lambda i: self.attributes(i).get(rule.attr)) if rule.attr else tight if rule.tight else (lambda i: clean(self.text_of(i)))
+        if rule.take in ("all", "each"):
             return [v for v in map(value, found) if v]
-        if not found or rule.take == "only" and len(found) > 1:
-            return None
-        return value(found[0])
+        if not found:
+            # a label without its value is no value; only a missing label has the default
+            return None if rule.label and self._labelled(rule.label) else rule.default
+        return None if rule.take == "only" and len(found) > 1 else value(found[0])
 
     def tax(self):
         """The value beside IPTU if there is exactly one such element, else the test-id; an empty one is null."""
-        found = [j for i in self.select("div.value-item") if "IPTU" in self.text_of(i) for j in self.select("p.value-item__value", i)]
-        return clean(self.text_of(found[0])) if len(set(found)) == 1 else self.get(FIELDS["iptu"])
+        found = {j for i in self.select("div.value-item") if "IPTU" in self.text_of(i) for j in self.select("p.value-item__value", i)}
+        return clean(self.text_of(found.pop())) if len(found) == 1 else self.get(FIELDS["iptu"])
 
 
 def clean(text: str) -> str | None:
-    return text.strip(BLANKS) if text else None
+    """Without Unicode blanks at both ends; the empty text is null, while blanks alone give the empty text."""
+    return text.strip() if text else None
 
 
 _chains: dict[str, list[tuple]] = {}
@@ -168,12 +257,14 @@ def guarded(read, default):
 LISTS = ("caracteristicas", "fotos")
 
 
-def extract_listings(pages: DataFrame, fields: list[str] | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_listings(pages: DataFrame, fields: list[str] | None = None, url_col: str = "url", html_col: str = "html", rules: dict[str, Rule] | None = None) -> DataFrame:
     """Raw listings, one for each page, with extract_status: ok, or no_page where html is null (only url is set then).
 
-    fields: names to read, when few are needed; others are null. Photos are the largest candidate of each source.
+    fields: names to read, when few are needed; others are null. rules: FIELDS, or OLD_FIELDS for pages of the older form. Photos are
+    the largest candidate of each source, in the older form the first.
     """
-    wanted = set(fields or FIELDS)
+    rules = rules or FIELDS
+    old, wanted = rules is OLD_FIELDS, {k: rules[k] for k in fields or rules}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -182,14 +273,14 @@ def extract_listings(pages: DataFrame, fields: list[str] | None = None, url_col:
                 row = dict.fromkeys(RAW_COLUMNS) | {"url": url, "caracteristicas": [], "fotos": [], "extract_status": "ok" if isinstance(html, str) else "no_page"}
                 if isinstance(html, str):
                     page = Page(html)
-                    for name in wanted:
-                        row[name] = guarded(page.tax if name == "iptu" else lambda r=FIELDS[name], p=page: p.get(r), [] if name in LISTS else None)
+                    for name, rule in wanted.items():
+                        row[name] = guarded(page.tax if name == "iptu" and not old else lambda r=rule, p=page: p.get(r), [] if name in LISTS else None)
                 rows.append(row)
             yield pd.DataFrame(rows, columns=[*RAW_COLUMNS, "extract_status"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in RAW) + ", extract_status string"
-    out = small_batches(pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))).mapInPandas(run, schema)
-    return out.withColumn("fotos", photos("fotos")) if "fotos" in wanted else out
+    out = spread(pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))).mapInPandas(run, schema)
+    return out.withColumn("fotos", photos("fotos", first_photo if old else best_photo)) if "fotos" in wanted else out
 
 
 def first_photos(srcsets):
@@ -198,7 +289,7 @@ def first_photos(srcsets):
 
 
 def select_all(pages: DataFrame, rules: dict[str, Rule], keep: list[str], html_col: str = "html") -> DataFrame:
-    """keep columns, and an array of texts for each rule (take=all)."""
+    """keep columns, and an array of texts for each rule (take: all or each)."""
     schema = ", ".join([*(f"{c} {pages.schema[c].dataType.simpleString()}" for c in keep), *(f"{k} array<string>" for k in rules)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,7 +297,7 @@ def select_all(pages: DataFrame, rules: dict[str, Rule], keep: list[str], html_c
             found = [{k: guarded(lambda r=r, p=p: p.get(r), []) for k, r in rules.items()} for p in (Page(h if isinstance(h, str) else "") for h in batch["__html"])]
             yield batch[keep].assign(**{k: [f[k] for f in found] for k in rules})
 
-    return small_batches(pages.select(*keep, F.col(html_col).alias("__html"))).mapInPandas(run, schema)
+    return spread(pages.select(*keep, F.col(html_col).alias("__html"))).mapInPandas(run, schema)
 
 
 def characteristics(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
@@ -218,21 +309,22 @@ def characteristics(pages: DataFrame, keep: list[str], html_col: str = "html") -
             maps = []
             for html in batch["__html"]:
                 page, found = Page(html if isinstance(html, str) else ""), {}
-                for i, node in enumerate(page.nodes):
-                    if node[0] == "li" and node[1].get("itemprop") and (spans := page.select("span.amenities-item-text", i)):
-                        found[node[1]["itemprop"]] = clean(page.text_of(spans[0]))
+                for i in page.by_tag.get("li", ()):
+                    if (name := page.attributes(i).get("itemprop")) and (spans := page.select("span.amenities-item-text", i)):
+                        found[name] = clean(page.text_of(spans[0]))
                 maps.append(found)
             yield batch[keep].assign(caracteristicas=maps)
 
-    return small_batches(pages.select(*keep, F.col(html_col).alias("__html"))).mapInPandas(run, schema)
+    return spread(pages.select(*keep, F.col(html_col).alias("__html"))).mapInPandas(run, schema)
 
 
-def small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
-    """Pages are large strings: few go to a Python worker at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
-        df.sparkSession.conf.set(key, str(rows))
-    return df
+def spread(pages: DataFrame) -> DataFrame:
+    """Pages over at least as many tasks as there are cores: a few files, whose row groups can't be split, are dealt out row by row.
+
+    Tables of more files than cores, and streams, stay as they are. Reading a page costs much more than moving it.
+    """
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages if pages.isStreaming or len(pages.inputFiles()) >= cores else pages.repartition(4 * cores)
 
 
 def total_pages(texts: Column) -> Column:
