@@ -1,32 +1,48 @@
-"""Dated snapshots of raw listings: read, find the newest, write."""
+"""Dated snapshots of raw listings: write, read, find the newest, put together.
+
+A snapshot is a folder snapshot_date=yyyy-MM-dd of JSON lines below one path. Older ones are files *_yyyy-MM-dd.json of one JSON array
+each; functions read those with arrays=True.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terracota.schema import PAGES, RAW
 
-DATED = r"_(\d{4}-\d{2}-\d{2})\.json$"
+#: The date in the name of a snapshot's folder, or of an older snapshot's file.
+DATED = r"(?:/snapshot_date=|_)(\d{4}-\d{2}-\d{2})(?:/[^/]*|\.json)$"
+
+
+def _dated(df: DataFrame) -> DataFrame:
+    return df.withColumn("snapshot_date", F.regexp_extract(F.col("_metadata.file_path"), DATED, 1).try_cast("date"))
+
 
+def read_snapshots(spark: SparkSession, path: str, date: str | None = None, arrays: bool = False) -> DataFrame:
+    """Raw listings with snapshot_date, of all snapshots below path or of one date: other dates' files aren't opened.
 
-def read_snapshot(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Raw listings of files that hold one JSON array each, with the date of the file's name. The schema is given, so all-null columns keep their types."""
-    df = spark.read.schema(RAW).option("multiLine", multi_line).json(path)
-    return df.withColumn("snapshot_date", F.regexp_extract(F.col("_metadata.file_name"), DATED, 1).try_cast("date"))
+    The schema is given, so all-null columns keep their types. arrays: path has older files, of one JSON array each.
+    """
+    reader = spark.read.schema(RAW).option("multiLine", arrays)
+    if arrays:
+        return _dated((reader.option("pathGlobFilter", f"*_{date}.json") if date else reader).json(path))
+    return _dated(reader.json(f"{path}/snapshot_date={date}" if date else f"{path}/snapshot_date=*"))
 
 
 def newest_date(spark: SparkSession, path: str) -> str:
-    """Greatest date among the names of path's files; only names are read."""
-    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select(F.regexp_extract(F.col("path"), DATED, 1).alias("d"))
-    if not (found := names.where("d <> ''").agg(F.max("d")).first()[0]):
+    """Greatest date among the names below path, of either form; only names are read."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path)
+    if not (found := names.select(F.regexp_extract("path", DATED, 1).alias("d")).where("d <> ''").agg(F.max("d")).first()[0]):
         raise ValueError(f"no dated snapshot in {path}")
     return found
 
 
-def read_newest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest snapshot alone: other files are pruned by name before they are opened."""
-    return spark.read.schema(RAW).option("multiLine", True).option("pathGlobFilter", f"*_{newest_date(spark, path)}.json").json(path).withColumn("snapshot_date", F.regexp_extract(F.col("_metadata.file_name"), DATED, 1).try_cast("date"))
+def read_newest(spark: SparkSession, path: str, arrays: bool = False) -> DataFrame:
+    """The newest snapshot alone."""
+    return read_snapshots(spark, path, newest_date(spark, path), arrays)
 
 
 def newest(df: DataFrame, date_col: str = "snapshot_date") -> DataFrame:
@@ -36,13 +52,22 @@ def newest(df: DataFrame, date_col: str = "snapshot_date") -> DataFrame:
 
 def write_snapshot(df: DataFrame, path: str, date: str) -> None:
     """JSON lines under path/snapshot_date=date, null keys kept, text outside ASCII as it is. A rerun replaces its own date alone."""
-    out = df.withColumn("snapshot_date", F.lit(date).cast("date"))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false").partitionBy("snapshot_date").json(path)
+    as_listings(df).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/snapshot_date={date}")
+
+
+def appended(*snapshots: DataFrame) -> DataFrame:
+    """All rows of snapshots, repeats kept; columns that one lacks are null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), snapshots)
+
+
+def run_date(at: Column | None = None) -> Column:
+    """The date of a run as yyyy-MM-dd: of the time given, so that a run can be repeated, else today's."""
+    return F.date_format(F.current_date() if at is None else at, "yyyy-MM-dd")
 
 
-def run_date() -> Column:
-    """Today as yyyy-MM-dd; pass a date of your own for runs that can be repeated."""
-    return F.date_format(F.current_date(), "yyyy-MM-dd")
+def as_listings(df: DataFrame) -> DataFrame:
+    """Records in the raw schema: its columns in order, cast to their types, null where df lacks one. Other columns are left out."""
+    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in RAW))
 
 
 def listings_from_rows(spark: SparkSession, rows: list) -> DataFrame:
