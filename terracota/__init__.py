@@ -1,6 +1,7 @@
 """Property listing analytics on Spark: tables of stored advert pages in, typed listing tables out.
 
-Functions that run inside tasks are pickled by value, so executors need no copy of the package.
+Functions that run inside tasks, and the objects of our own that they use, are pickled with their code, so executors need no copy of
+the package: only the driver has it on its path.
 """
 
 import sys

@@ -7,18 +7,17 @@ from pyspark.sql import functions as F
 
 from terracota.functions import clean
 from terracota.functions.address import split_address
-from terracota.operators.html import LAST_PAGE, RESULT_LINKS, extract_listings, select_all, total_pages
+from terracota.operators.html import LAST_PAGE, RESULT_LINKS, Rule, extract_listings, select_all, total_pages
+from terracota.operators.joins import bounded_broadcast, keyed_join
 from terracota.operators.links import absolute, exploded
 from terracota.operators.profile import drop_sparse, with_struct
+from terracota.sources.shared import written
 from terracota.sources.snapshots import frontier
 
-#: Addresses that a broadcast may hold.
-BROADCAST_URLS = 100_000
 
-
-def result_links(pages: DataFrame, keep: list[str]) -> DataFrame:
-    """keep and links, the absolute advert links of each result page in order; repeats stay."""
-    found = select_all(pages, {"links": RESULT_LINKS}, list(dict.fromkeys([*keep, "url"])))
+def result_links(pages: DataFrame, keep: list[str], rule: Rule = RESULT_LINKS) -> DataFrame:
+    """keep and links, the absolute advert links of each result page in order; repeats stay. rule: CARD_LINKS for pages of the card form."""
+    found = select_all(pages, {"links": rule}, list(dict.fromkeys([*keep, "url"])))
     return found.select(*keep, F.transform("links", lambda x: absolute(x, F.col("url"))).alias("links"))
 
 
@@ -31,22 +30,39 @@ def collect_listings(pages: DataFrame, template: str, total: int) -> DataFrame:
     """Raw listings with page and pos: result pages of the search, their links, and the stored page behind each link.
 
     A link without a stored page gives a row with its url alone. Adverts are parsed once each, however many links lead to
-    them, and links find them by address.
+    them, and links find them by address. Of pages with one address that with the least page_id counts (without page_id, the least
+    hash of the page). Only keys meet; a page's text is moved at most once, and a link that very many pages have meets a broadcast.
     """
-    searched = frontier(pages.sparkSession, template, total).join(pages.select("url", "html"), "url")
-    found = exploded(result_links(searched, ["page"]), "links", ["page"])
-    wanted = pages.join(found.select(F.col("link").alias("url")).distinct(), "url", "left_semi").dropDuplicates(["url"])
-    adverts = extract_listings(wanted)
-    out = found.join(adverts.withColumnRenamed("url", "link"), "link", "left").withColumnRenamed("link", "url")
+    page_id = F.col("page_id") if "page_id" in pages.columns else F.xxhash64("html")
+    pages = pages.select("url", F.coalesce(page_id.cast("long"), F.lit(2**63 - 1)).alias("page_id"), "html")
+    searched = pages.join(bounded_broadcast(frontier(pages.sparkSession, template, total), total), "url")
+    searched = searched.join(bounded_broadcast(_one_each(searched), total), ["url", "page_id"])
+    found = written(exploded(result_links(searched, ["page"]), "links", ["page"]), "links")
+    links = found.groupBy(F.col("link").alias("url")).agg(F.count("*").alias("n"))
+    wanted = written(_one_each(pages.join(bounded_broadcast(links), "url")), "wanted")
+    # pages that share address and number are read, and one of them kept, after their texts are gone
+    adverts = extract_listings(pages.join(bounded_broadcast(wanted), ["url", "page_id"], "left_semi"))
+    adverts = adverts.dropDuplicates(["url"]).withColumnRenamed("url", "link").join(links.select(F.col("url").alias("link"), "n"), "link")
+    n_links = found.count()
+    out = keyed_join(found, written(adverts, "adverts"), "link", n_links, "left").drop("n").withColumnRenamed("link", "url")
     empty = F.array().cast("array<string>")
     return out.withColumns({"extract_status": F.coalesce("extract_status", F.lit("no_page")), "caracteristicas": F.coalesce("caracteristicas", empty), "fotos": F.coalesce("fotos", empty)})
 
 
+def _one_each(pages: DataFrame) -> DataFrame:
+    """(url, page_id): the least number of each address."""
+    return pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
+
+
 def listings_of(pages: DataFrame, urls: DataFrame, url_col: str = "url") -> DataFrame:
     """Raw listings of the given addresses."""
     urls = urls.select(F.col(url_col).alias("url")).distinct()
-    small = urls.limit(BROADCAST_URLS + 1).count() <= BROADCAST_URLS
-    return extract_listings(pages.join(F.broadcast(urls) if small else urls, "url", "left_semi"))
+    return extract_listings(pages.join(bounded_broadcast(urls), "url", "left_semi"))
+
+
+def total_records(listings: DataFrame) -> DataFrame:
+    """(n_records): how many records a collection has."""
+    return listings.agg(F.count("*").alias("n_records"))
 
 
 def records_per_page(listings: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from terracota.operators import crawl_log, html, profile
 from terracota.operators.links import absolute, exploded, links
 from terracota.plans import collect
 from terracota.sources import snapshots
+from terracota.sources.shared import new_path
 
 SITE = "https://imoveis.example"
 TEMPLATE = SITE + "/busca/?pagina={pagina}"
@@ -209,10 +210,11 @@ def accent_fold(spark, sf_dir):
 'R$' || chr(160) || regexp_replace(regexp_replace(CAST(price AS VARCHAR), '(\\d)(\\d{{3}})$', '\\1.\\2'), '^(\\d+)(\\d{{3}}\\.)', '\\1.\\2') AS valor_venda,
 CASE key % 4 WHEN 0 THEN 'R$ ' || area || '/mês' WHEN 1 THEN 'Isento' WHEN 2 THEN 'Não informado' ELSE '' END AS condominio,
 'Rua ' || priority || ', ' || owner || ' - Centro, Joinville - SC' AS endereco, 'R$ ' || CASE WHEN key % 3 = 0 THEN area ELSE rooms END AS iptu, 'Boa "casa" ' || key AS descricao,
-rooms || ' andar;Aceita ' || owner AS caracteristicas, 'https://i.example/' || key || '/b.webp' AS fotos, CASE WHEN key % 2 = 0 THEN 'https://maps.example/?q=' || key || '&z=1' END AS link_maps, 'ok' AS extract_status FROM ({ADVERT_SQL})""")
+rooms || ' andar;Aceita ' || owner AS caracteristicas, 'https://i.example/' || key || '/b.webp' AS fotos, CASE WHEN key % 2 = 0 THEN 'https://maps.example/?q=' || key || '&z=1' END AS link_maps, 'ok' AS extract_status,
+'Anúncio criado em ' || day(created) || ' de ' || ({MONTHS!r})[month(created)] || ' de ' || year(created) || ', atualizado há 12 horas.' AS data_criacao FROM ({ADVERT_SQL})""")
 def listing_extract(spark, sf_dir):
     out = html.extract_listings(rendered(spark, sf_dir))
-    return out.withColumns({c: F.array_join(c, ";") for c in ("caracteristicas", "fotos")}).drop("data_criacao")
+    return out.withColumns({c: F.array_join(c, ";") for c in ("caracteristicas", "fotos")})
 
 
 @query(f"SELECT '{SITE}/imovel/' || key || '/' AS url, CAST(area AS DOUBLE) AS area_m2, CAST(rooms AS INTEGER) AS quartos, CAST(price AS DOUBLE) AS preco, created AS publicado, 'Rua ' || priority AS rua, CAST(owner AS VARCHAR) AS numero, 'Centro' AS bairro, 'Joinville' AS cidade, 'SC' AS estado, CAST(CASE WHEN key % 3 = 0 THEN area ELSE rooms END AS DOUBLE) AS iptu_valor FROM ({ADVERT_SQL})")
@@ -236,7 +238,42 @@ def photos_best(spark, sf_dir):
 
 @query("SELECT o_orderkey AS key, 'https://i.example/' || o_orderkey || '/a.webp' AS photo FROM orders")
 def photos_first(spark, sf_dir):
-    return _srcsets(spark, sf_dir).select("key", F.explode(html.first_photos("s")).alias("photo"))
+    cards = html.select_all(rendered(spark, sf_dir), {"s": html.OLD_FIELDS["fotos"]}, ["key"])
+    return cards.select("key", F.explode(html.first_photos("s")).alias("photo"))
+
+
+def old_advert_html() -> Column:
+    """A page of the older form: labels in a list with values behind them, a price beside "Venda", some of them missing."""
+    k = F.col("key")
+    item = lambda name, value: [F.lit(f"<li><p>{name}</p><span><p class='x font-bold'> "), value, F.lit(" </p></span></li>")]
+    return F.concat(
+        F.lit('<h2 class="a text-neutral-130"> Casa <i> '), k, F.lit('</i></h2><p class="font-bold">0</p><ul class="amenities-scrollbar b"><p class="font-bold">1</p>'),
+        *item("Metragem", F.concat(F.col("area"), F.lit(" m²"))), *item("Quartos", F.col("rooms")), *item("Banheiros", F.col("baths")), F.when(k % 3 > 0, F.concat(*item("Vagas", F.col("parking")))).otherwise(""), F.lit("</ul>"),
+        F.when(k % 5 > 0, F.concat(F.lit("<section><div><div><b>t</b></div><p>Venda</p></div><span>s</span><p>R$ <b> "), dotted(F.col("price")), F.lit("</b></p></section>"))).otherwise(""),
+        F.when(k % 2 == 0, F.concat(F.lit('<p data-testid="condoFee">R$ '), dotted(F.col("area")), F.lit("</p>"))).otherwise('<div data-testid="condoFee">no p</div>'),
+        F.lit('<ul><li class="carousel-photos--item"><img src="n"><source type="image/jpeg" srcset="https://i.example/'), k, F.lit('/c.jpg 1x, https://i.example/d.jpg 2x"><source type="image/webp" srcset="https://i.example/w.webp"></li><li class="carousel-photos--item"><source src="none"></li></ul>'),
+    )
+
+
+@query(f"""SELECT key, 'Casa' || key AS titulo, area || ' m²' AS metragem, CAST(rooms AS VARCHAR) AS quartos, CAST(baths AS VARCHAR) AS banheiros, CASE WHEN key % 3 > 0 THEN CAST(parking AS VARCHAR) END AS vagas,
+CASE WHEN key % 5 > 0 THEN 'R$' || regexp_replace(regexp_replace(CAST(price AS VARCHAR), '(\\d)(\\d{{3}})$', '\\1.\\2'), '^(\\d+)(\\d{{3}}\\.)', '\\1.\\2') ELSE 'N/A' END AS valor_venda,
+CASE WHEN key % 2 = 0 THEN 'R$ ' || area ELSE 'N/A' END AS condominio, 'N/A' AS descricao, 'https://i.example/' || key || '/c.jpg' AS fotos FROM ({ADVERT_SQL})""")
+def old_listing_extract(spark, sf_dir):
+    pages = orders(spark, sf_dir).withColumn("html", old_advert_html())
+    out = html.extract_listings(pages, ["titulo", "metragem", "quartos", "banheiros", "vagas", "valor_venda", "condominio", "descricao", "fotos"], rules=html.OLD_FIELDS)
+    key = F.regexp_extract("url", r"(\d+)/$", 1).cast("long").alias("key")
+    return out.select(key, "titulo", "metragem", "quartos", "banheiros", "vagas", "valor_venda", "condominio", "descricao", F.array_join("fotos", ";").alias("fotos"))
+
+
+@query(f"SELECT o_custkey AS page, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS BIGINT) AS pos, '{SITE}/imovel/' || o_orderkey || '/' AS link FROM orders WHERE o_orderkey % 9 > 0")
+def card_links(spark, sf_dir):
+    """Result pages of the card form, one a customer; every ninth card has no link."""
+    link = F.when(F.col("key") % 2 == 0, F.col("url")).otherwise(F.replace("url", F.lit(SITE), F.lit("")))
+    inner = F.when(F.col("key") % 9 > 0, F.concat(F.lit('<div><span>t<a class="x" href="'), link, F.lit('">a</a><a href="/no">b</a></span>'))).otherwise("<div>nada")
+    card = F.concat(F.lit('<li class="c" data-cy="rp-property-cd">'), inner, F.lit("</div></li><li><a href='/menu'>m</a></li>"))
+    pages = orders(spark, sf_dir).groupBy(F.col("owner").alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", card.alias("c")))), lambda x: x["c"]), "").alias("cards"))
+    pages = pages.select("page", F.lit(SITE + "/busca/").alias("url"), F.concat(F.lit("<ul>"), "cards").alias("html"))
+    return exploded(collect.result_links(pages, ["page"], html.CARD_LINKS), "links", ["page"]).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("SELECT o_orderkey AS key, 1 AS n_photos FROM orders")
@@ -277,6 +314,57 @@ def snapshot_newest(spark, sf_dir):
     return snapshots.newest(table(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("snapshot_date")))
 
 
+def _records(spark, sf_dir):
+    """Raw listings of the orders, a list and all-null columns among them."""
+    o = orders(spark, sf_dir)
+    return snapshots.as_listings(o.select("url", F.concat(F.lit("Casa São "), "key").alias("titulo"), F.when(F.col("key") % 3 > 0, F.col("area")).alias("metragem"), F.array(F.col("priority"), F.lit("")).alias("fotos"), F.col("owner").alias("quartos")))
+
+
+RECORDS_SQL = f"SELECT '{SITE}/imovel/' || key || '/' AS url, 'Casa São ' || key AS titulo, CASE WHEN key % 3 > 0 THEN CAST(area AS VARCHAR) END AS metragem, CAST(NULL AS VARCHAR) AS descricao, CAST(owner AS VARCHAR) AS quartos, priority || ';' AS fotos"
+DAYS = ("2025-01-02", "2025-03-01", "2024-12-31")
+
+
+def _snapshots(spark, sf_dir) -> str:
+    """A folder of three snapshots: the even orders, the odd ones, all; that of the second day is written twice."""
+    path = new_path(spark, "snapshots")
+    rows = _records(spark, sf_dir)
+    number = F.regexp_extract("url", r"(\d+)/$", 1).cast("long")
+    for day, own in zip((*DAYS, DAYS[1]), (rows.where(number % 2 == 0), rows, rows, rows.where(number % 2 == 1)), strict=True):
+        snapshots.write_snapshot(own, path, day)
+    return path
+
+
+def _shown(listings):
+    return listings.select("url", "titulo", "metragem", "descricao", "quartos", F.array_join("fotos", ";").alias("fotos"), "snapshot_date")
+
+
+@query(" UNION ALL ".join(f"{RECORDS_SQL}, DATE '{d}' AS snapshot_date FROM ({ADVERT_SQL}) WHERE {w}" for d, w in zip(DAYS, ("key % 2 = 0", "key % 2 = 1", "TRUE"), strict=True)))
+def snapshots_read(spark, sf_dir):
+    return _shown(snapshots.read_snapshots(spark, _snapshots(spark, sf_dir)))
+
+
+@query(f"{RECORDS_SQL}, DATE '{DAYS[1]}' AS snapshot_date FROM ({ADVERT_SQL}) WHERE key % 2 = 1")
+def snapshot_read_newest(spark, sf_dir):
+    return _shown(snapshots.read_newest(spark, _snapshots(spark, sf_dir)))
+
+
+@query(" UNION ALL ".join(f"{RECORDS_SQL}, DATE '{d}' AS snapshot_date FROM ({ADVERT_SQL}) WHERE {w}" for d, w in ((DAYS[0], "key % 2 = 0"), (DAYS[2], "TRUE"), (DAYS[2], "TRUE"))))
+def snapshots_appended(spark, sf_dir):
+    path = _snapshots(spark, sf_dir)
+    one, all_rows = (snapshots.read_snapshots(spark, path, d) for d in (DAYS[0], DAYS[2]))
+    return _shown(snapshots.appended(one, all_rows.drop("descricao"), all_rows))
+
+
+@query(f"{RECORDS_SQL} FROM ({ADVERT_SQL})")
+def rows_to_table(spark, sf_dir):
+    return _shown(_records(spark, sf_dir).withColumn("snapshot_date", F.lit(None))).drop("snapshot_date")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS run_date FROM events")
+def run_dates(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", snapshots.run_date(F.col("ts")).alias("run_date"))
+
+
 COLUMNS = ("event_id", "ts", "user_id", "event_type", "value", "props")
 
 
@@ -327,12 +415,12 @@ def preview(spark, sf_dir):
 def search_pages(spark, sf_dir) -> tuple[DataFrame, int]:
     """Stored pages of a search, result pages and adverts, and the number of result pages; every seventh result page is empty, every thirteenth advert isn't stored."""
     ads = rendered(spark, sf_dir).select("key", "url", "html")
-    total = ads.count() // 50 + 1
+    total = table(spark, sf_dir, "orders").count() // 50 + 1
     link = F.concat(F.lit('<a class="olx-core-surface x" href="'), F.when(F.col("key") % 2 == 0, F.col("url")).otherwise(F.replace("url", F.lit(SITE), F.lit(""))), F.lit('">ver</a>'))
     results = ads.withColumn("page", F.col("key") % total + 1).groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", link.alias("a")))), lambda x: x["a"]), "").alias("as"))
     body = F.when(F.col("page") % 7 > 0, F.col("as")).otherwise("nada")
-    results = results.select(F.replace(F.lit(TEMPLATE), F.lit("{pagina}"), F.col("page").cast("string")).alias("url"), F.concat(F.lit('<a class="olx-core-surface" href="/menu">x</a><div class="listings-wrapper">'), body, F.lit("</div>")).alias("html"))
-    return results.union(ads.where("key % 13 > 0").select("url", "html")), total
+    results = results.select((-F.col("page")).alias("page_id"), F.replace(F.lit(TEMPLATE), F.lit("{pagina}"), F.col("page").cast("string")).alias("url"), F.concat(F.lit('<a class="olx-core-surface" href="/menu">x</a><div class="listings-wrapper">'), body, F.lit("</div>")).alias("html"))
+    return results.union(ads.where("key % 13 > 0").select("key", "url", "html")), total
 
 
 COLLECT_SQL = "SELECT o_orderkey AS key, o_orderkey % (SELECT count(*) // 50 + 1 FROM orders) + 1 AS page FROM orders"
@@ -351,6 +439,12 @@ def valid_records_per_page(spark, sf_dir):
     return collect.records_per_page(profile.drop_sparse(collect.collect_listings(pages, TEMPLATE, total)))
 
 
+@query(f"SELECT count(*) AS n_records FROM ({COLLECT_SQL}) WHERE page % 7 > 0")
+def total_records(spark, sf_dir):
+    pages, total = search_pages(spark, sf_dir)
+    return collect.total_records(collect.collect_listings(pages, TEMPLATE, total))
+
+
 @query("SELECT key, titulo FROM (SELECT o_orderkey AS key, 'Casa & Jardim ' || o_orderkey AS titulo, o_custkey AS c FROM orders) WHERE c IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 def given_urls(spark, sf_dir):
     poor = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("owner"))
