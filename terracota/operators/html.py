@@ -158,16 +158,24 @@ class Page:
         return "".join(self.pieces(i))
 
     def matches(self, i: int, simple: tuple) -> bool:
-        tag, classes, attrs = simple
-        if tag and self.tags[i] != tag or not all(w in self.raw[i] for w in classes):
+        tag, classes, attrs, needles = simple
+        if tag and self.tags[i] != tag:
             return False
-        return (not classes or classes <= set(self.attributes(i).get("class", "").split())) and (not attrs or all(self.attributes(i).get(k) == v for k, v in attrs))
+        raw = self.raw[i]
+        for needle in needles:
+            if needle not in raw:
+                return False
+        if not needles:
+            return True
+        own = self.attributes(i)
+        return (not classes or classes <= set(own.get("class", "").split())) and all(own.get(k) == v for k, v in attrs)
 
     def select(self, css: str, inside: int = -1) -> list[int]:
         *above, last = chain(css)
-        end = self.stop[inside] if inside >= 0 else len(self.tags)
+        end, raw, needle = self.stop[inside] if inside >= 0 else len(self.tags), self.raw, last[3][0] if last[3] else ""
         known = self.by_tag.get(last[0], ()) if last[0] else range(inside + 1, end)
-        return [i for i in known if inside < i < end and self.matches(i, last) and self._under(i, above)]
+        found = [i for i in known if needle in raw[i]]
+        return [i for i in found if inside < i < end and self.matches(i, last) and (not above or self._under(i, above))]
 
     def _under(self, i: int, above: list) -> bool:
         todo, at = list(above), self.parent[i]
@@ -241,7 +249,8 @@ def chain(css: str) -> list[tuple]:
         steps = []
         for part in css.split():
             tag, classes, attrs = SIMPLE.match(part).groups()
-            steps.append((tag, frozenset(classes.split(".")[1:]), tuple(tuple(a.split("=", 1)) for a in re.findall(r"\[([^\]]*)\]", attrs))))
+            classes, attrs = frozenset(classes.split(".")[1:]), tuple(tuple(a.split("=", 1)) for a in re.findall(r"\[([^\]]*)\]", attrs))
+            steps.append((tag, classes, attrs, (*classes, *(v for _, v in attrs))))  # the last: what the tag's text must hold
         _chains[css] = steps
     return _chains[css]
 
