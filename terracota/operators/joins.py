@@ -11,9 +11,9 @@ BROADCAST_ROWS = 200_000
 HOT = 1000
 
 
-def bounded_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows; else unchanged, for a shuffled join. rows: its count, if known."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
+def bounded_broadcast(df: DataFrame, rows: int | None = None, limit: int | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most limit (BROADCAST_ROWS) rows; else unchanged, for a shuffled join. rows: its count, if known."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= (BROADCAST_ROWS if limit is None else limit) else df
 
 
 def keyed_join(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
