@@ -1,10 +1,8 @@
-"""What the text operators share: shared-folder tables, size-checked broadcasts, Arrow batches of texts."""
+"""What the text operators share: tables in the shared folder, joins and broadcasts of checked size, objects for tasks, Arrow batches of texts."""
 
 from __future__ import annotations
 
 import pickle
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,10 +10,9 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a broadcast side may have: sides are keys, numbers and short texts, of at most some hundred bytes a row.
-BROADCAST_ROWS = 200_000
-#: A key of over 1 / HOT of all rows is hot; there are fewer than HOT of them.
-HOT = 1000
+from terracota.operators.joins import BROADCAST_ROWS, bounded_broadcast, keyed_join  # noqa: F401  the operators take them from here
+from terracota.sources.shared import written  # noqa: F401
+
 #: Rows of text sent to a Python worker at once, and characters that one call of an operator's function handles.
 BATCH_ROWS = 256
 BATCH_CHARS = 4_000_000
@@ -25,42 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local[*] session may do without; it gets a folder of its own."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    sc = spark.sparkContext
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not (found := sc.getCheckpointDir()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        found = sc.getCheckpointDir()
-    return found
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: later steps read it again instead of running df again, and lost executors cost only their own tasks."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
-def bounded_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows; else unchanged, for a shuffled join. rows: its count, if known."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
-
-
-def keyed_join(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
-    """rows joined (inner or left) with table(key, n, ...), a row a key; n: how many of the total rows have that key.
-
-    Hot keys (fewer than HOT, by their share) meet a broadcast and the others a shuffle, so that no task gets all rows of a hot key.
-    """
-    hot = table.where(F.col("n") > total / HOT)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col("n") <= total / HOT), key, how)
-    return rows.join(F.broadcast(hot), key).unionByName(rest)
-
-
 def unused(df: DataFrame, name: str) -> str:
     """name, or name with underscores where df has a column called so."""
     taken = {c.lower() for c in df.columns}

@@ -17,7 +17,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terracota.llm import bpe, common, decontaminate, langid, licenses, pii, quality_fm, quality_rules, secrets, simhash, stats, url_model
+from terracota.llm import bpe, decontaminate, langid, licenses, pii, quality_fm, quality_rules, secrets, simhash, stats, url_model
+from terracota.operators import joins
 
 SF = "/root/testdata/sf0.001"
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
@@ -117,7 +118,7 @@ def test_decontamination_of_repeated_words_and_short_items(spark, monkeypatch):
     clean = [(i, t) for i, t in docs if not brute(t)[4]]
     assert sorted((tuple(r)[:2] for r in decontaminate.drop_contaminated(df, bench).collect()), key=str) == sorted(clean, key=str)
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, decontaminate.contamination(df, bench).collect()), key=str) == expected
 
 
