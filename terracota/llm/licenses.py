@@ -1,16 +1,26 @@
 """Licence families of paragraphs: logistic regression over word n-grams, an unknown class, template comparison.
 
 A paragraph is a run of lines that hold a letter or digit, so hard-wrapped texts and comment blocks are read whole; long ones are
-read in windows of WINDOW words that overlap by half. Every family has phrases, one of which each of its texts holds: only documents
-with one are cut into windows. It has also a test for the words that tell it from its versions and variants.
-A bounded sample trains the classifier: the templates, corpus lines that pass a family's test, up to PER_CLASS times the
-families in all, and NEGATIVES lines without any, those with the least hashes in as many documents. Its terms are the words and
-word pairs of the labelled rows with a cue, a word that under RARE of the negatives have. The acceptance threshold is the greatest
-probability of any family among the sample's held-out negatives, within BOUNDS. An accepted window has each family whose
-test it passes and one of whose templates it holds: TEMPLATE_SHARE of the words, within SPREAD times the template's length.
-
-Cases: null and empty texts have no paragraphs; rows that repeat are answered row by row; a corpus without any licence is
-trained on the templates alone. Texts are never cut, and only windows of documents with a phrase leave the scan.
+read in windows of WINDOW words that overlap by half. Documents without any word that licences are written with (SOUGHT) have none;
+of the others, each window with such a word is scored.
+
+A bounded sample trains the classifier. Of each family: its templates, VARIANTS of each with a seventh or a third of the words left out, half
+of them backwards, so that words tell without their neighbours, and up to PER_CLASS different corpus windows that pass the family's test. Of the unknown class: up to NEGATIVES different corpus lines, as
+many windows with a sought word that pass no test, not even a looser one, and two thin variants of each template that keep a quarter of its words. Which corpus
+rows are taken is decided by a hash of their words, once each. Terms are the words and word pairs of the licence rows with a cue, a
+word that under RARE of the negatives have: at most TERMS of either, the commonest first (the templates have fewer; what is cut are
+rare words of corpus windows, which the template comparison doesn't need). A fifth of the corpus rows and one variant of
+each kind are held out: on two thirds of those, a second regression maps the classifier's margin of licence over unknown to a
+probability; on the last third its calibration error is measured (`calibration_error`: mean distance of probability and share, by
+tenths). A window is unknown below LEAST.
+
+Templates confirm. A window has each family whose test it passes and one of whose templates it holds: SHARE of the words, within
+SPREAD times the template's length. A reworded text that no test knows has the family that the classifier puts first if it passes that
+family's looser test and holds LOOSE_SHARE of a template.
+
+Cases: null and empty texts have no paragraphs; rows that repeat are answered row by row; very long lines and texts are never cut but
+into windows; families that tie come sorted; a corpus without any licence is trained on the templates alone; an empty table gives an
+empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,14 +30,15 @@ import re
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from terracota.llm.common import bounded_broadcast, written
+from terracota.llm.common import BROADCAST_ROWS, bounded_broadcast, keyed_join, row_key, written
 
-PER_CLASS, NEGATIVES, RARE, TERMS, BOUNDS, TEMPLATE_SHARE, WINDOW, SPREAD = 300, 3000, 0.01, 2000, (0.5, 0.9), 0.8, 200, 1.5
+PER_CLASS, NEGATIVES, VARIANTS, RARE, TERMS, LEAST, SHARE, LOOSE_SHARE, WINDOW, SPREAD = 300, 3000, 4, 0.01, 2000, 0.5, 0.8, 0.6, 200, 1.5
 
 
 def _gnu(name: str, version: str) -> str:
@@ -52,34 +63,44 @@ def _cc_texts(short: str, long: str) -> list[str]:
     return [f"Licensed under CC {short} 4.0.", _CC.format(short), _CC.format(long)]
 
 
-#: Families: phrases (one of them is in each text that passes the test), test over the words with a blank on either side, templates
-#: in the wording of the publishers' notices, titles and first paragraphs or of one-line statements. Fixed values.
+#: Families: test over the words with a blank on either side, templates in the wording of the publishers' notices, titles and first
+#: paragraphs or of one-line statements. Fixed values.
 FAMILIES = {
-    "agpl-3.0": (["gnu affero general public license"], _gnu("affero general ", "3"), _gnu_texts("Affero General ", "program", "3", "19 November 2007")),
-    "apache-2.0": (["apache license"], r" apache license (?:version |v )?v?2 ", ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Apache License Version 2.0, January 2004"]),
-    "bsd": (["redistribution and use in source and binary forms", "bsd license", "bsd 2", "bsd 3"], r" redistribution and use in source and binary forms with or without modification | (?:2|3|two|three) clause bsd license | bsd [23] clause license | (?:new|modified|simplified|revised) bsd license ", ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License.", "Released under the 2-Clause BSD License.", "Released under the new BSD License."]),
-    "bsl-1.0": (["permission is hereby granted free of charge to any person or organization", "boost software license"], r" any person or organization obtaining a copy of the software and accompanying documentation covered by this license | boost software license version 1 ", ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "Distributed under the Boost Software License, Version 1.0."]),
-    "cc-by": (["cc by", "creative commons by", "creative commons attribution"], r" (?:cc|creative commons) (?:by|attribution) (?!nc |non|sa |share|nd |no ?deriv)", _cc_texts("BY", "Attribution")),
-    "cc-by-nc": (["by nc", "attribution non", "attribution noncommercial"], rf" {_NC} (?!{_SHARE} |{_NO} )", _cc_texts("BY-NC", "Attribution-NonCommercial")),
-    "cc-by-nc-nd": (["by nc", "attribution non", "attribution noncommercial"], rf" {_NC} {_NO} ", _cc_texts("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")),
-    "cc-by-nc-sa": (["by nc", "attribution non", "attribution noncommercial"], rf" {_NC} {_SHARE} ", _cc_texts("BY-NC-SA", "Attribution-NonCommercial-ShareAlike")),
-    "cc-by-nd": (["by nd", "attribution no"], rf" (?:by|attribution) {_NO} ", _cc_texts("BY-ND", "Attribution-NoDerivatives")),
-    "cc-by-sa": (["by sa", "attribution share"], rf" (?:by|attribution) {_SHARE} ", _cc_texts("BY-SA", "Attribution-ShareAlike")),
-    "cc0-1.0": (["cc0", "waived all copyright"], r" cc0 | waived all copyright and related or neighboring rights ", ["Licensed under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."]),
-    "epl-2.0": (["eclipse public license"], r" eclipse public license (?:version |v )?v?2 ", ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "Licensed under the Eclipse Public License, version 2.0."]),
-    "gpl-2.0": (["gnu general public license"], _gnu("general ", "2"), _gnu_texts("General ", "program", "2", "June 1991")),
-    "gpl-3.0": (["gnu general public license"], _gnu("general ", "3"), _gnu_texts("General ", "program", "3", "29 June 2007")),
-    "isc": (["permission to use copy modify", "isc license"], r" isc license | permission to use copy modify (?:and )?(?:or )?distribute this software for any purpose with or without fee is hereby granted provided ", [f"{_ISC}, provided that the above copyright notice and this permission notice appear in all copies.", "Released under the ISC License."]),
-    "0bsd": (["permission to use copy modify"], r" permission to use copy modify (?:and )?(?:or )?distribute this software for any purpose with or without fee is hereby granted (?!provided )", [f"{_ISC}."]),
-    "lgpl-2.1": (["gnu lesser general public license"], _gnu("lesser general ", "2 1"), _gnu_texts("Lesser General ", "library", "2.1", "February 1999")),
-    "lgpl-3.0": (["gnu lesser general public license"], _gnu("lesser general ", "3"), _gnu_texts("Lesser General ", "library", "3", "29 June 2007")),
-    "mit": (["mit license", "permission is hereby granted free of charge"], r" mit license | permission is hereby granted free of charge to any person obtaining a copy of this software (?!.* furnished to do so (?!subject ))", ["Released under the MIT License.", f"MIT License: {_GRANT}", f"{_DEAL}, subject to the following conditions:"]),
-    "mit-0": (["mit no attribution", "permission is hereby granted free of charge"], r" mit no attribution | permission is hereby granted free of charge .* furnished to do so (?!subject )", [f"{_DEAL}.", "Released under the MIT No Attribution License."]),
-    "mpl-2.0": (["mozilla public license"], r" mozilla public license (?:version |v )?v?2 ", ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0"]),
-    "unlicense": (["free and unencumbered software"], r" free and unencumbered software released into the public domain ", ["This is free and unencumbered software released into the public domain."]),
+    "agpl-3.0": (_gnu("affero general ", "3"), _gnu_texts("Affero General ", "program", "3", "19 November 2007")),
+    "apache-2.0": (r" apache license (?:version |v )?v?2 ", ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Apache License Version 2.0, January 2004"]),
+    "bsd": (r" redistribution and use in source and binary forms with or without modification | (?:2|3|two|three) clause bsd license | bsd [23] clause license | (?:new|modified|simplified|revised) bsd license ", ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License.", "Released under the 2-Clause BSD License.", "Released under the new BSD License."]),
+    "bsl-1.0": (r" any person or organization obtaining a copy of the software and accompanying documentation covered by this license | boost software license version 1 ", ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "Distributed under the Boost Software License, Version 1.0."]),
+    "cc-by": (r" (?:cc|creative commons) (?:by|attribution) (?!nc |non|sa |share|nd |no ?deriv)", _cc_texts("BY", "Attribution")),
+    "cc-by-nc": (rf" {_NC} (?!{_SHARE} |{_NO} )", _cc_texts("BY-NC", "Attribution-NonCommercial")),
+    "cc-by-nc-nd": (rf" {_NC} {_NO} ", _cc_texts("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")),
+    "cc-by-nc-sa": (rf" {_NC} {_SHARE} ", _cc_texts("BY-NC-SA", "Attribution-NonCommercial-ShareAlike")),
+    "cc-by-nd": (rf" (?:by|attribution) {_NO} ", _cc_texts("BY-ND", "Attribution-NoDerivatives")),
+    "cc-by-sa": (rf" (?:by|attribution) {_SHARE} ", _cc_texts("BY-SA", "Attribution-ShareAlike")),
+    "cc0-1.0": (r" cc0 | waived all copyright and related or neighboring rights ", ["Licensed under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."]),
+    "epl-2.0": (r" eclipse public license (?:version |v )?v?2 ", ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "Licensed under the Eclipse Public License, version 2.0."]),
+    "gpl-2.0": (_gnu("general ", "2"), _gnu_texts("General ", "program", "2", "June 1991")),
+    "gpl-3.0": (_gnu("general ", "3"), _gnu_texts("General ", "program", "3", "29 June 2007")),
+    "isc": (r" isc license | permission to use copy modify (?:and )?(?:or )?distribute this software for any purpose with or without fee is hereby granted provided ", [f"{_ISC}, provided that the above copyright notice and this permission notice appear in all copies.", "Released under the ISC License."]),
+    "0bsd": (r" permission to use copy modify (?:and )?(?:or )?distribute this software for any purpose with or without fee is hereby granted (?!provided )", [f"{_ISC}."]),
+    "lgpl-2.1": (_gnu("lesser general ", "2 1"), _gnu_texts("Lesser General ", "library", "2.1", "February 1999")),
+    "lgpl-3.0": (_gnu("lesser general ", "3"), _gnu_texts("Lesser General ", "library", "3", "29 June 2007")),
+    "mit": (r" mit license | permission is hereby granted free of charge to any person obtaining a copy of this software (?!.* furnished to do so (?!subject ))", ["Released under the MIT License.", f"MIT License: {_GRANT}", f"{_DEAL}, subject to the following conditions:"]),
+    "mit-0": (r" mit no attribution | permission is hereby granted free of charge .* furnished to do so (?!subject )", [f"{_DEAL}.", "Released under the MIT No Attribution License."]),
+    "mpl-2.0": (r" mozilla public license (?:version |v )?v?2 ", ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0"]),
+    "unlicense": (r" free and unencumbered software released into the public domain ", ["This is free and unencumbered software released into the public domain."]),
 }
-#: Each phrase has one of these words, or is "by" after cc or before nc, nd or sa.
-SOUGHT = ("license", "redistribution", "bsd", "permission", "attribution", "creative", "cc0", "waived", "unencumbered")
+#: Looser tests for texts that are known by what they grant rather than by a name. Fixed values.
+LOOSE = {
+    "bsd": r" source (?:and|or) binary ",
+    "bsl-1.0": r" person or organi[sz]ation .* software and accompanying documentation ",
+    "cc0-1.0": r" waives? .* copyright and related or neighbou?ring rights ",
+    "isc": r" (?:use )?copy modify (?:and )?(?:or )?distribute this software .*(?:provided|as long as) ",
+    "mit": r" (?:sublicense|sell) .* subject to ",
+    "mit-0": r" (?:sublicense|sell) (?!.* subject to )",
+    "unlicense": r" unencumbered .* public domain ",
+}
+#: A licence has one of these, or is "by" after cc or before nc, nd or sa.
+SOUGHT = ("licen", "redistribut", "bsd", "permission", "permitted", "attribution", "creative", "cc0", "waive", "unencumbered")
 #: Lines without a letter or digit part the paragraphs.
 PARTED = r"\n[^\p{L}\p{N}]*\n"
 
@@ -93,57 +114,67 @@ def pairs(tokens: str) -> Column:
     return F.zip_with(F.slice(tokens, F.lit(1), n), F.slice(tokens, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(key, tokens) of the lines with a word in docs(key, text). Words are cut inside the generator, so that filters above it don't cut them again."""
-    return docs.select("key", F.explode(F.transform(F.split("text", "\n"), words)).alias("tokens")).where(F.size("tokens") > 0)
-
-
 def _joined() -> Column:
     return F.concat(F.lit(" "), F.concat_ws(" ", "tokens"), F.lit(" "))
 
 
-def _phrased() -> Column:
-    """True if the text has a family's phrase. A word of each phrase is sought first, as that is cheaper than the phrases' regular expression."""
-    gap = r"[^\p{L}\p{N}]+"
-    every = "|".join(sorted({gap.join(p.split()) for ps, _, _ in FAMILIES.values() for p in ps}))
-    some = lambda x: reduce(lambda a, b: a | b, (x.contains(w) for w in SOUGHT)) | x.rlike(f"by{gap}n[cd]|by{gap}sa|cc{gap}by")
-    return F.exists(F.array(F.lower("text")), lambda x: some(x) & x.rlike(every))
+def _sought(text: Column, gap: str = r"[^\p{L}\p{N}]+") -> Column:
+    """True if the lower-cased text has a word that licences are written with."""
+    return reduce(lambda a, b: a | b, (text.contains(w) for w in SOUGHT)) | text.rlike(f"by{gap}n[cd]|by{gap}sa|cc{gap}by")
 
 
 def _windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, paragraph, tokens) of the windows that pass a family's test in docs(doc_id, key, text).
-
-    Phrases are sought in whole texts first. Half a window is longer than any template, so each template lies in one whole.
-    """
-    blocks = docs.where(_phrased()).select("doc_id", "key", F.posexplode(F.transform(F.split("text", PARTED), words)).alias("paragraph", "all")).where(F.size("all") > 0)
+    """(doc_id, key, paragraph, tokens) of the windows with a sought word in docs(doc_id, key, text). Half a window is longer than any template, so each template lies in one whole."""
+    blocks = docs.select("doc_id", "key", F.posexplode(F.transform(F.split("text", PARTED), words)).alias("paragraph", "all")).where(F.size("all") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("all") - WINDOW // 2), F.lit(WINDOW // 2))
     cut = blocks.select("doc_id", "key", "paragraph", F.explode(F.transform(starts, lambda i: F.slice("all", i, F.lit(WINDOW)))).alias("tokens"))
-    return cut.where(_joined().rlike("|".join(test for _, test, _ in FAMILIES.values())))
+    return cut.where(_sought(F.concat_ws(" ", "tokens"), " "))
+
+
+def _label() -> Column:
+    return F.coalesce(*(F.when(_joined().rlike(test), i) for i, (test, _) in enumerate(FAMILIES.values(), 1)), F.lit(0))
 
 
-def _sample(docs: DataFrame) -> DataFrame:
-    """(tokens, label, held) of the bounded training sample, from docs(doc_id, key, text).
+def _some(rows: DataFrame, most: int) -> DataFrame:
+    """Up to most different rows(tokens, label) of each label, those with the least hashes. A share that leaves about twice as many is taken first, so no label's rows all meet in a task."""
+    rows = rows.select("tokens", "label", F.xxhash64("tokens").alias("h"))
+    sizes = rows.groupBy("label").agg(F.approx_count_distinct("h").alias("n"))  # a row a family
+    near = rows.join(F.broadcast(sizes), "label").where(F.pmod("h", F.lit(1_000_000)) < 1_000_000 * F.least(F.lit(1.0), 2 * most / F.col("n"))).dropDuplicates(["label", "h"])
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.pmod("h", F.lit(1_000_000)), "h"))
+    return near.withColumn("place", place).where(F.col("place") <= most).select("tokens", "label", (F.pmod(F.xxhash64("h"), F.lit(5)) == 0).alias("held"), F.lit(False).alias("made"))
 
-    The negatives are the lines with the least hashes in about as many documents, chosen by hash.
-    """
-    spark = docs.sparkSession
-    label = F.coalesce(*(F.when(_joined().rlike(test), i) for i, (_, test, _) in enumerate(FAMILIES.values(), 1)), F.lit(0))
-    marked = lambda d: d.select("tokens", label.alias("label"), F.xxhash64("tokens").alias("h"))
-    some = marked(_lines(docs.where(_phrased()))).where("label > 0").orderBy("h").limit(PER_CLASS * len(FAMILIES))
+
+def _variants(given: DataFrame) -> DataFrame:
+    """Templates(tokens, label) whole, with words left out, and thin ones of the unknown class."""
+    seeds = F.explode(F.sequence(F.lit(0), F.lit(VARIANTS + 2))).alias("seed")
+    spread = given.select("tokens", "label", seeds)
+    keep = F.when(F.col("seed") == 0, 100).when(F.col("seed") <= VARIANTS // 2, 86).when(F.col("seed") <= VARIANTS, 70).otherwise(25)
+    thin = F.filter("tokens", lambda t, i: F.pmod(F.xxhash64(t, i, F.col("seed")), F.lit(100)) < keep)
+    thin = F.when(F.col("seed") % 2 == 1, thin).otherwise(F.when(F.col("seed") == 0, thin).otherwise(F.reverse(thin)))  # backwards, no pair is left
+    return spread.select(thin.alias("tokens"), F.when(F.col("seed") <= VARIANTS, F.col("label")).otherwise(0).alias("label"), F.col("seed").isin(VARIANTS, VARIANTS + 2).alias("held"), F.lit(True).alias("made")).where(F.size("tokens") > 0)
+
+
+def _sample(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """(tokens, label, held, made) of the bounded training sample, from docs(key, text) and the windows of all candidates."""
+    known = windows.select("tokens").withColumn("label", _label())
+    other = (F.col("label") == 0) & ~_joined().rlike("|".join(LOOSE.values()))  # what may be a reworded licence teaches neither
     share = NEGATIVES / max(1, docs.count())
-    none = marked(_lines(docs.where(F.pmod("key", F.lit(1_000_000)) < share * 1_000_000))).where("label = 0").orderBy("h").limit(NEGATIVES)
-    given = spark.createDataFrame([(t, i) for i, (_, _, ts) in enumerate(FAMILIES.values(), 1) for t in ts], "text string, label int").select(words(F.col("text")).alias("tokens"), "label", F.lit(False).alias("held"))
-    return none.unionByName(some).select("tokens", "label", (F.pmod("h", F.lit(5)) == 0).alias("held")).unionByName(given)
+    hashed = F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < share * 1_000_000
+    # words are cut inside the generator, so that filters above it don't cut them again
+    lines = docs.where(hashed).select(F.explode(F.transform(F.split("text", "\n"), words)).alias("tokens")).where(F.size("tokens") > 0).withColumn("label", _label()).where(other)
+    given = docs.sparkSession.createDataFrame([(t, i) for i, (_, ts) in enumerate(FAMILIES.values(), 1) for t in ts], "text string, label int").select(words(F.col("text")).alias("tokens"), "label")
+    return _some(known.where("label > 0"), PER_CLASS).unionByName(_some(known.where(other), NEGATIVES)).unionByName(_some(lines, NEGATIVES)).unionByName(_variants(given))
 
 
 class Classifier:
     """Trained on a sample; predictions are columns of Spark's own transformers."""
 
     def __init__(self, sample: DataFrame):
-        sample = written(sample, "license-sample").coalesce(1)  # bounded rows: one task for each step of the fit
-        train = sample.where(~F.col("held"))
-        negatives = max(1, train.where("label = 0").count())
-        common = train.where("label = 0").select(F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").count().where(F.col("count") > RARE * negatives).select("t")
+        sample = written(sample.coalesce(1), "license-sample").coalesce(1)  # bounded rows: one task for each step of the fit
+        train, held = sample.where(~F.col("held")), sample.where("held")
+        none = train.where("label = 0 and not made")
+        negatives = max(1, none.count())
+        common = none.select(F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").count().where(F.col("count") > RARE * negatives).select("t")
         named = train.where("label > 0").withColumn("pairs", pairs("tokens"))
         cues = named.select(F.explode(F.array_distinct("tokens")).alias("t")).join(bounded_broadcast(common), "t", "left_anti").groupBy("t").count().orderBy(F.desc("count"), "t").limit(TERMS)
         self.cues = sorted(r["t"] for r in cues.collect())  # at most TERMS
@@ -151,48 +182,78 @@ class Classifier:
         two = named.select(F.explode(F.array_distinct("pairs")).alias("t")).where(F.arrays_overlap(F.split("t", " "), cued)).groupBy("t").count().orderBy(F.desc("count"), "t").limit(TERMS)
         self.terms = CountVectorizerModel.from_vocabulary([*self.cues, *sorted(r["t"] for r in two.collect())], "terms", "features")
         self.terms.setBinary(True)
-        self.model = LogisticRegression(maxIter=60, regParam=0.002, labelCol="label", featuresCol="features", probabilityCol="p", rawPredictionCol="raw", predictionCol="best", family="multinomial").fit(self.terms.transform(self._terms(train)))
-        held = self.scored(sample.where(F.col("held") & (F.col("label") == 0)))
-        worst = held.agg(F.max("probability")).first()[0] or 0.0
-        self.least = min(max(worst, BOUNDS[0]), BOUNDS[1])
+        # licence rows and others weigh the same in all, however many of either there are
+        sizes = train.agg(F.count_if(F.col("label") > 0).alias("some"), F.count_if(F.col("label") == 0).alias("none")).first()
+        train = train.withColumn("weight", F.when(F.col("label") > 0, F.lit(sizes["none"] / max(1, sizes["some"]))).otherwise(1.0))
+        self.model = LogisticRegression(maxIter=60, regParam=0.002, labelCol="label", weightCol="weight", featuresCol="features", probabilityCol="p", rawPredictionCol="raw", predictionCol="best", family="multinomial").fit(self.terms.transform(self._terms(train)))
+        self._calibrate(written(self._margins(held).select("margin", (F.col("label") > 0).cast("double").alias("y"), F.xxhash64("tokens").alias("h")).coalesce(1), "license-held"))
+
+    def _calibrate(self, held: DataFrame) -> None:
+        fit = VectorAssembler(inputCols=["margin"], outputCol="x").transform(held.where(F.pmod("h", F.lit(3)) > 0))
+        scale = LogisticRegression(maxIter=60, regParam=0.001, labelCol="y", featuresCol="x").fit(fit)
+        self.slope, self.offset = float(scale.coefficients[0]), float(scale.intercept)
+        test = held.where(F.pmod("h", F.lit(3)) == 0).withColumn("p", self._probability())
+        tenths = test.groupBy(F.floor(F.col("p") * 9.999)).agg(F.count("*").alias("n"), F.abs(F.avg("p") - F.avg("y")).alias("off"))
+        self.calibration_error = tenths.agg(F.sum(F.col("n") * F.col("off")) / F.sum("n")).first()[0] or 0.0
+
+    def _probability(self) -> Column:
+        return 1 / (1 + F.exp(-(self.slope * F.col("margin") + self.offset)))
 
     def _terms(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("terms", F.concat("tokens", pairs("tokens")))
 
+    def _margins(self, rows: DataFrame) -> DataFrame:
+        """rows with the log odds of any family over none, and the family that comes first."""
+        out = self.model.transform(self.terms.transform(self._terms(rows))).withColumn("ps", vector_to_array("p"))
+        own = F.slice("ps", F.lit(2), F.lit(len(FAMILIES)))
+        first = F.element_at(F.array(*map(F.lit, FAMILIES)), F.array_position(own, F.array_max(own)).cast("int"))
+        none = F.greatest(F.get("ps", F.lit(0)), F.lit(1e-9))
+        return out.withColumn("margin", F.log(F.greatest(1 - none, F.lit(1e-9)) / none)).withColumn("first", first).drop("terms", "features", "raw", "p", "ps", "best")
+
     def scored(self, rows: DataFrame) -> DataFrame:
-        """rows(tokens) with a cue, with the probability that they have any family."""
+        """rows(tokens) with a cue, with the calibrated probability that they have any family, and the likeliest one (first)."""
         rows = rows.where(F.arrays_overlap("tokens", F.array(*map(F.lit, self.cues))))
-        out = self.model.transform(self.terms.transform(self._terms(rows))).withColumn("ps", vector_to_array("p"))
-        return out.withColumn("probability", F.lit(1.0) - F.get("ps", F.lit(0))).drop("terms", "features", "raw", "p", "ps", "best")
+        return self._margins(rows).withColumn("probability", self._probability()).drop("margin")
 
 
-def _holds(template: str) -> Column:
+def _holds(template: str, share: float) -> Column:
     """True if enough of the template's words stand close together in tokens."""
     t = re.findall(r"[^\W_]+", template.lower())
-    least, width = math.ceil(TEMPLATE_SHARE * len(set(t))), math.ceil(SPREAD * len(t))
+    least, width = math.ceil(share * len(set(t))), math.ceil(SPREAD * len(t))
     own, starts = F.array(*map(F.lit, sorted(set(t)))), F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("tokens") - width + 1))
     near = F.exists(starts, lambda i: F.size(F.array_intersect(F.slice("tokens", i, F.lit(width)), own)) >= least)
     return (F.size(F.array_intersect("tokens", own)) >= least) & near
 
 
 def confirmed() -> Column:
-    """Array of the families whose test and one of whose templates the window passes."""
-    one = lambda test, ts: _joined().rlike(test) & reduce(lambda a, b: a | b, map(_holds, ts))
-    return F.filter(F.array(*(F.when(one(test, ts), k) for k, (_, test, ts) in FAMILIES.items())), lambda k: k.isNotNull())
+    """Array of the families that the window's tests and templates confirm; first: the classifier's choice."""
+    any_of = lambda ts, share: reduce(lambda a, b: a | b, (_holds(t, share) for t in ts))
+    strict = lambda test, ts: _joined().rlike(test) & any_of(ts, SHARE)
+    # one-line statements are names alone: only texts of some length can be known when reworded
+    loose = lambda k, ts: (F.col("first") == k) & _joined().rlike(LOOSE[k]) & any_of([t for t in ts if len(t.split()) > 8], LOOSE_SHARE)
+    known = F.filter(F.array(*(F.when(strict(test, ts), k) for k, (test, ts) in FAMILIES.items())), lambda k: k.isNotNull())
+    reworded = F.filter(F.array(*(F.when(loose(k, FAMILIES[k][1]), k) for k in LOOSE)), lambda k: k.isNotNull())
+    return F.when(F.size(known) > 0, known).otherwise(reworded)
 
 
 def license_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, key, paragraph, family, probability) of the windows with a confirmed licence, a row a family; key tells rows with equal ids apart."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    classifier = Classifier(_sample(rows))
-    found = classifier.scored(_windows(rows)).where(F.col("probability") >= classifier.least)
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    candidates = rows.where(F.exists(F.array(F.lower("text")), lambda x: _sought(x)))
+    windows = written(_windows(candidates), "license-windows")
+    classifier = Classifier(_sample(rows, windows))
+    found = classifier.scored(windows).where(F.col("probability") >= LEAST)
     return found.select("doc_id", "key", "paragraph", F.explode(confirmed()).alias("family"), "probability")
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_paragraphs, n_license, families, probability) for each row of docs; families are sorted and comma-joined."""
-    found = license_paragraphs(docs, id_col, text_col).groupBy(F.col("key").alias("k")).agg(F.count_distinct("paragraph").alias("n_license"), F.concat_ws(",", F.array_sort(F.collect_set("family"))).alias("families"), F.round(F.max("probability"), 6).alias("probability"))
+    found = license_paragraphs(docs, id_col, text_col).groupBy("key").agg(F.count_distinct("paragraph").alias("n_license"), F.concat_ws(",", F.array_sort(F.collect_set("family"))).alias("families"), F.round(F.max("probability"), 6).alias("probability"))
     found = written(found, "licenses")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.size(F.filter(F.split(F.coalesce(text_col, F.lit("")), PARTED), lambda x: x.rlike(r"[\p{L}\p{N}]"))).cast("long").alias("n_paragraphs"))
-    out = rows.join(bounded_broadcast(found), F.col("key") == F.col("k"), "left")
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.size(F.filter(F.split(F.coalesce(text_col, F.lit("")), PARTED), lambda x: x.rlike(r"[\p{L}\p{N}]"))).cast("long").alias("n_paragraphs"))
+    if found.count() <= BROADCAST_ROWS:
+        out = rows.join(F.broadcast(found), "key", "left")
+    else:
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
+        out = keyed_join(rows, written(found.join(sizes, "key"), "sized-licenses"), "key", docs.count(), "left")
     return out.select("doc_id", "n_paragraphs", F.coalesce("n_license", F.lit(0)).alias("n_license"), F.coalesce("families", F.lit("")).alias("families"), "probability")

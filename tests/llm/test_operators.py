@@ -460,9 +460,44 @@ def test_licenses_wrapped_and_variants(spark, docs):
     found = {r["doc_id"]: r for r in licenses.license_scan(docs.select("doc_id", "text").union(df)).where("doc_id < 0").collect()}
     assert [found[-i]["families"] for i in range(1, len(given) + 1)] == [k for _, k in given]
     assert found[-3]["n_paragraphs"] == 2 and found[-12]["n_license"] == 2
-    assert max(len(re.findall(r"[^\W_]+", t)) for _, _, ts in licenses.FAMILIES.values() for t in ts) <= licenses.WINDOW // 2
-    assert all(any(w in p for w in licenses.SOUGHT) or re.search("by n[cd]|by sa|cc by", p) for ps, _, _ in licenses.FAMILIES.values() for p in ps)
-    assert all(re.search(test, f" {' '.join(re.findall(r'[^\W_]+', t.lower()))} ") for _, test, ts in licenses.FAMILIES.values() for t in ts)
+    assert max(len(re.findall(r"[^\W_]+", t)) for _, ts in licenses.FAMILIES.values() for t in ts) <= licenses.WINDOW // 2
+    assert all(any(w in t.lower() for w in licenses.SOUGHT) for _, ts in licenses.FAMILIES.values() for t in ts)
+    assert all(re.search(test, f" {' '.join(re.findall(r'[^\W_]+', t.lower()))} ") for test, ts in licenses.FAMILIES.values() for t in ts)
+
+
+def test_licenses_reworded_and_near(spark, docs):
+    """Texts that no test knows are found by the classifier and a template; texts that only sound alike aren't."""
+    given = [
+        ("You are permitted, free of any charge, if you obtain a copy of this software and the associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense and sell copies of the Software, and to let persons to whom the Software is furnished do so, subject to the following conditions:", "mit"),
+        ("Anyone with a copy of this software and associated documentation files has permission to deal in the Software without restriction, without limitation of the rights to use, copy, modify, merge, publish, distribute, sublicense, or sell copies of the Software, and may permit persons to whom the Software is furnished to do so.", "mit-0"),
+        ("Redistribution, and use, in source or binary form, with or without modification, is permitted provided the following conditions are met:", "bsd"),
+        ("We grant permission to use, to copy, modify and distribute this software for any purpose, with or without a fee, provided that this copyright notice and the permission notice appear in all copies.", "isc"),
+        ("Permission is hereby granted to any person on the staff to leave at noon, free of charge for parking, with a copy of this notice.", ""),
+        ("You may use, copy, merge and publish photographs of the castle, subject to the conditions of the museum; the permission covers persons in the group.", ""),
+        ("The licence of the software was discussed in the meeting, and the rights to use it without restriction were denied.", ""),
+        ("Redistribution of wealth and the use of source documents in binary choices, with or without modification of the law, are topics of the seminar.", ""),
+        ("His driving license was taken, provided that the following conditions are met by the court.", ""),
+        ("The GNU General Public License is older than the others, and the Apache License is newer.", ""),
+    ]
+    df = spark.createDataFrame([(-i, t) for i, (t, _) in enumerate(given, 1)], "doc_id long, text string")
+    tests = [t for t, _ in licenses.FAMILIES.values()]
+    assert not any(re.search(t, f" {' '.join(re.findall(r'[^\W_]+', x.lower()))} ") for x, _ in given[:4] for t in tests)
+    found = {r["doc_id"]: r["families"] for r in licenses.license_scan(docs.select("doc_id", "text").union(df)).where("doc_id < 0").collect()}
+    assert [found[-i] for i in range(1, len(given) + 1)] == [k for _, k in given]
+
+
+def test_license_sample_and_calibration(spark, docs):
+    """Thousands of copies of one line don't fill the sample; the calibration error is small."""
+    line = "Released under the MIT License."
+    many = spark.range(4000).selectExpr("-1 - id AS doc_id", f"concat('word', id, ' of prose\n\n{line}') AS text")
+    rows = docs.select("doc_id", "text").union(many).select("doc_id", F.col("doc_id").cast("string").alias("key"), "text")
+    windows = licenses._windows(rows.where(licenses._sought(F.lower("text"))))
+    sample = licenses._sample(rows, windows).cache()
+    names = list(licenses.FAMILIES)
+    counts = {names[r["label"] - 1]: r["count"] for r in sample.where("label > 0").groupBy("label").count().collect()}
+    own = len(licenses.FAMILIES["mit"][1]) * (licenses.VARIANTS + 1)
+    assert set(counts) == set(names) and own <= counts["mit"] <= own + 20 and all(counts[k] >= (licenses.VARIANTS + 1) * len(licenses.FAMILIES[k][1]) - 2 for k in names)
+    assert licenses.Classifier(sample).calibration_error < 0.05
 
 
 def test_licenses_odd_inputs(odd):
