@@ -6,7 +6,9 @@ arrays. The hash has a displacement for each bucket of about two keys; slots are
 own bytes, so a word outside the vocabulary never matches.
 
 Cases: null encodes as the empty text (no ids); bytes that ranks don't hold can't occur, as every byte has a rank;
-lone surrogates can't occur in a Spark string; long texts and long words cost n log n.
+lone surrogates can't occur in a Spark string; long texts and long words cost n log n; of pairs that tie in rank the leftmost merges
+first; rows that repeat are encoded row by row; an empty table gives an empty result; extra columns are ignored, or kept by `encoded`
+as they are.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import base64
 import hashlib
 import heapq
 import re
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import regex
@@ -27,8 +29,9 @@ from terracota.llm.common import by_text, shared
 
 #: White_Space of Unicode, which is narrower than \s of the re module. Fixed values.
 BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Blanks but for the last before a word, or a word with the blank before it.
-CHUNK = re.compile(f"[{BLANK}]+(?![^{BLANK}])|[{BLANK}]?[^{BLANK}]+|[{BLANK}]")
+#: A word with the blank before it, or blanks but for the last before a word.
+CHUNK = re.compile(f"[{BLANK}]?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]")
+PUNCTUATION = frozenset(".,;:!?|")
 #: Chunks, and words, that a worker remembers before it starts afresh, and the longest ones worth remembering.
 MEMO, MEMO_CHARS = 500_000, 64
 
@@ -83,23 +86,30 @@ class PerfectHash:
         return [int(r) if self.keys[i] == w else -1 for i, r, w in zip(at.tolist(), self.ranks[at].tolist(), words, strict=True)]
 
 
-def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], dict[int, int]]:
-    """Ids of the 256 bytes, and the id that two neighbouring ids merge to, keyed by first << 32 | second."""
-    pairs = {}
-    for token, rank in ranks.items():
-        for i in range(1, len(token)):
-            if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None:
-                pairs[a << 32 | b] = rank
-    return [ranks[bytes([i])] for i in range(256)], pairs
+class Merges:
+    """What two neighbouring ids merge to: a table for two bytes, for other ids a dictionary for each left one."""
 
-
-def merge(word: bytes, single: list[int], pairs: dict[int, int]) -> list[int]:
+    def __init__(self, ranks: dict[bytes, int]):
+        self.single = [ranks[bytes([i])] for i in range(256)]
+        none: dict[int, int] = {}
+        self.right = [none] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None:
+                    if self.right[a] is none:
+                        self.right[a] = {}
+                    self.right[a][b] = rank
+        self.bytes = [[self.right[a].get(b, -1) for b in self.single] for a in self.single]
+
+
+def merge(word: bytes, merges: Merges) -> list[int]:
     """Ids of a pre-token that isn't a token: lowest-ranked pair first, leftmost of equals, from a heap over linked pieces."""
-    ids, n, get = [single[b] for b in word], len(word), pairs.get
+    n, single, two, right = len(word), merges.single, merges.bytes, merges.right
+    ids = [single[b] for b in word]
     bits, push, pop = n.bit_length(), heapq.heappush, heapq.heappop
     low = (1 << bits) - 1
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    want = [get(a << 32 | b, -1) for a, b in zip(ids, ids[1:], strict=False)]  # what piece i and its right neighbour merge to
+    want = [two[a][b] for a, b in pairwise(word)]  # what piece i and its right neighbour merge to
     want.append(-1)
     heap = [r << bits | i for i, r in enumerate(want) if r >= 0]
     heapq.heapify(heap)
@@ -110,14 +120,17 @@ def merge(word: bytes, single: list[int], pairs: dict[int, int]) -> list[int]:
             continue  # the pair is no longer there
         j = after[i]
         k = after[i] = after[j]
-        ids[i], want[j], want[i] = r, -1, -1
+        ids[i] = r
+        want[j] = -1
         if k < n:
             before[k] = i
-            if (x := get(r << 32 | ids[k], -1)) >= 0:
-                want[i] = x
+            want[i] = x = right[r].get(ids[k], -1)
+            if x >= 0:
                 push(heap, x << bits | i)
+        else:
+            want[i] = -1
         if (p := before[i]) >= 0:
-            want[p] = x = get(ids[p] << 32 | r, -1)
+            want[p] = x = right[ids[p]].get(r, -1)
             if x >= 0:
                 push(heap, x << bits | p)
     out, i = [], 0
@@ -127,23 +140,41 @@ def merge(word: bytes, single: list[int], pairs: dict[int, int]) -> list[int]:
     return out
 
 
+#: Pre-token patterns that have this alternative, after none but such as begin with a quote's mark, take letters with the blank before them as one.
+LETTERS, QUOTED, MARKS = r" ?\p{L}+", "'", r" ?[^\s\p{L}\p{N}]+"
+
+
 class Codec:
     """Encoder and decoder: tokens by id, their perfect hash, the merges, and what a worker has met so far."""
 
-    def __init__(self, hashed: PerfectHash, single: list[int], pairs: dict[int, int], pattern: str):
-        self.hashed, self.single, self.pairs, self.cut = hashed, single, pairs, regex.compile(pattern)
+    def __init__(self, hashed: PerfectHash, merges: Merges, pattern: str):
+        self.hashed, self.merges, self.cut = hashed, merges, regex.compile(pattern)
         self.bytes = dict(zip(hashed.ranks.tolist(), hashed.keys, strict=True))
+        self.digits = {i: str(i) for i in self.bytes}
+        options = pattern.split("|")
+        at = options.index(LETTERS) if LETTERS in options else 0
+        self.plain = at > 0 and MARKS in options and all(x.startswith(QUOTED) for x in options[:at])
         self.chunks: dict[str, tuple[int, ...]] = {}
         self.words: dict[str, tuple[int, ...]] = {}
 
+    def _cut(self, chunk: str) -> list[str]:
+        """Pre-tokens of a chunk. Words of letters alone, or with one mark of punctuation after them, need no pattern."""
+        if self.plain:
+            word = chunk[1:] if chunk[0] == " " else chunk
+            if word.isalpha():
+                return [chunk]
+            if word[-1:] in PUNCTUATION and word[:-1].isalpha():
+                return [chunk[:-1], chunk[-1]]
+        return self.cut.findall(chunk)
+
     def _tokenize(self, chunks: list[str]) -> list[tuple[int, ...]]:
-        parts = list(map(self.cut.findall, chunks))
+        parts = list(map(self._cut, chunks))
         if len(self.words) > MEMO:
             self.words.clear()
         known = self.words
         new = list({w for p in parts for w in p if w not in known})
         raw = [w.encode() for w in new]
-        ids = {w: (r,) if r >= 0 else tuple(merge(b, self.single, self.pairs)) for w, b, r in zip(new, raw, self.hashed.find(raw), strict=True)}
+        ids = {w: (r,) if r >= 0 else tuple(merge(b, self.merges)) for w, b, r in zip(new, raw, self.hashed.find(raw), strict=True)}
         out = [tuple(chain.from_iterable([known[w] if w in known else ids[w] for w in p])) for p in parts]
         known.update((w, x) for w, x in ids.items() if len(w) <= MEMO_CHARS)
         return out
@@ -158,6 +189,10 @@ class Codec:
         get = (lambda c: known[c] if c in known else found[c]) if any(len(c) > MEMO_CHARS for c in new) else known.__getitem__
         return [list(chain.from_iterable(map(get, chunks))) for chunks in cut]
 
+    def listed(self, ids: list[int]) -> str:
+        """Decimal ids joined by commas."""
+        return ",".join(map(self.digits.__getitem__, ids))
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
@@ -165,7 +200,7 @@ class Codec:
 def _codec(spark: SparkSession, path: str, pattern: str):
     """Sent once: some MB, bounded by the vocabulary. A worker keeps the codec, and so its memo, from task to task."""
     ranks = read_ranks(path)
-    return shared(spark, Codec(PerfectHash(ranks), *pair_table(ranks), pattern))
+    return shared(spark, Codec(PerfectHash(ranks), Merges(ranks), pattern))
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -192,7 +227,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
         def work(texts):
             ids = own.encode([t or "" for t in texts])
-            out = {"n_tokens": list(map(len, ids)), "ids_sha256": [sha(",".join(map(str, x)).encode()) for x in ids], "decoded_sha256": [sha(own.decode(x)) for x in ids]}
+            out = {"n_tokens": list(map(len, ids)), "ids_sha256": [sha(own.listed(x).encode()) for x in ids], "decoded_sha256": [sha(own.decode(x)) for x in ids]}
             return out | ({"tokens": [np.array(x, "<u4").tobytes() for x in ids]} if packed else {})
 
         return work

@@ -206,8 +206,10 @@ def test_bpe(docs, texts):
     hashed = bpe.PerfectHash(ranks)
     assert sorted(hashed.at.tolist()) == list(range(len(ranks))) and hashed.find(list(ranks)) == list(ranks.values())
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    codec, rng = bpe.Codec(hashed, *bpe.pair_table(ranks), P.PATTERN), random.Random(1)
+    codec, rng = bpe.Codec(hashed, bpe.Merges(ranks), P.PATTERN), random.Random(1)
     given = ["".join(rng.choice("ab' stllre\n\t 12é日\x1c\x85　🙂d!?-_") for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["a" * 5000, " ", "\n \n\nb"]
+    assert codec.plain and not bpe.Codec(hashed, bpe.Merges(ranks), r"\p{N}+| ?\p{L}+|.").plain
+    given += ["".join(rng.choice(["don't", " it's", "word.", " end?!", "a|b", " ,x", "1st", "é.", "\u00b2 x", " ½", "'d", " 'll "]) for _ in range(rng.randint(1, 12))) for _ in range(1000)]
     for t, ids in zip(given, codec.encode(given), strict=True):
         assert ids == library.encode_ordinary(t), t
         assert codec.decode(ids) == t.encode()
