@@ -207,12 +207,16 @@ def levels(good: DataFrame) -> DataFrame:
     return written(sizes.join(langs, "l").select("g", "n", use.alias("use"), F.filter(parts, lambda p: p.isNotNull()).alias("keys")), "levels")
 
 
+def with_statistics(rows: DataFrame) -> DataFrame:
+    """rows(..., STATS) with the base rule's answer."""
+    return rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, d2, kept) for each row."""
     group = F.to_json(F.struct(F.col(lang_col).alias("lang"), F.col(source_col).alias("source")))
     found = docs.select(F.col(id_col).alias("doc_id"), group.alias("g"), F.to_json(F.struct(F.col(lang_col).alias("lang"))).alias("l"), statistics(docs, text_col).alias("r")).select("doc_id", "g", "l", "r.*")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    rows = written(found.withColumn("base_failed", failed).withColumns(dict(zip(X, vector(), strict=True))), "statistics")
+    rows = written(with_statistics(found).withColumns(dict(zip(X, vector(), strict=True))), "statistics")
     good = rows.where(~F.col("base_failed"))
     groups = levels(good)
     total, small = good.count(), groups.count() * 10 <= BROADCAST_ROWS

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from terracota.llm import bpe, decontaminate, langid, licenses, pii, quality_fm, quality_rules, secrets, simhash, url_model
+from terracota.llm import base_sql, bpe, decontaminate, langid, licenses, pii, quality_fm, quality_rules, secrets, simhash, url_model
 from terracota.llm.common import table
 
 
@@ -50,6 +50,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_secret_scan, op4_license_scan, op5_quality_classifier, op6_url_filter, op7_personal_data, op8_byte_bpe, op9_language_id, op10_simhash)} | {"pipeline": corpus_pipeline.run}
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of operator 1 that SQL can say: statistics and base rule."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.with_statistics(docs.select("doc_id", quality_rules.statistics(docs).alias("r")).select("doc_id", "r.*"))
 
-ORACLES = {"op2_decontamination": decontaminate.ORACLE, "op6_url_filter": url_model.ORACLE}
+
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of operator 3 that SQL can say: its base kinds."""
+    return op3_secret_scan(spark, sf_dir).drop("spans")
+
+
+def personal_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of operator 7 that SQL can say: its base kinds."""
+    return op7_personal_data(spark, sf_dir).drop("spans", "max_score")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_secret_scan, op4_license_scan, op5_quality_classifier, op6_url_filter, op7_personal_data, op8_byte_bpe, op9_language_id, op10_simhash, quality_base, secret_base, personal_base)} | {"pipeline": corpus_pipeline.run}
+
+ORACLES = {"op2_decontamination": decontaminate.ORACLE, "op6_url_filter": url_model.ORACLE, "quality_base": base_sql.QUALITY, "secret_base": base_sql.SECRETS, "personal_base": base_sql.PERSONAL}
