@@ -83,7 +83,11 @@ def prints(hashes: Column, length: int, span: int = SPAN, gram: int = GRAM) -> C
 
 def spans(words: str, length: int, found: Column) -> Column:
     """Array of (length, fingerprint, two hashes of the words, place from 1) of the spans of an array column of words."""
-    one = lambda h, i: F.struct(F.lit(length).alias("k"), h.alias("h"), F.xxhash64(F.slice(words, i + 1, F.lit(length))).alias("a"), F.xxhash64(F.lit(1), F.slice(words, i + 1, F.lit(length))).alias("b"), (i + 1).alias("s"))
+
+    def one(h: Column, i: Column) -> Column:
+        own = F.slice(words, i + 1, F.lit(length))
+        return F.struct(F.lit(length).alias("k"), h.alias("h"), F.xxhash64(own).alias("a"), F.xxhash64(F.lit(1), own).alias("b"), (i + 1).alias("s"))
+
     return F.transform(found, one)
 
 
@@ -95,8 +99,9 @@ def _contamination(rows: DataFrame, benchmark: DataFrame, item_col: str, item_te
     lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # at most span values
     if not lengths:
         return None
-    own = reduce(DataFrame.unionByName, (items.where(F.col("length") == k).select("item_id", F.explode(spans("w", k, prints(F.col("hashes"), k, span, gram))).alias("x")).select("item_id", "x.k", "x.h", "x.a", "x.b") for k in lengths))
-    own = written(own.distinct(), "item-spans")
+    cut = lambda k: F.explode(spans("w", k, prints(F.col("hashes"), k, span, gram))).alias("x")
+    own = reduce(DataFrame.unionByName, (items.where(F.col("length") == k).select("item_id", cut(k)) for k in lengths))
+    own = written(own.select("item_id", "x.k", "x.h", "x.a", "x.b").distinct(), "item-spans")
     known = own.select("k", "h").distinct()
     # items that have a span, as a set: its size and the exclusive or of two hashes
     digest = [F.count("item_id").alias("c"), F.bit_xor(F.xxhash64("item_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "item_id")).alias("y")]
@@ -121,7 +126,8 @@ def _contamination(rows: DataFrame, benchmark: DataFrame, item_col: str, item_te
         hits = keyed_join(places, written(sets.join(sizes, "span"), "sized-sets"), "span", places.count())
     hits = written(hits.select("key", "s", (F.col("s") + F.col("k") - 1).alias("e"), "items"), "hits")
     before = F.coalesce(F.max("e").over(Window.partitionBy("key").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    hit_words = hits.select("key", "s", "e").distinct().withColumn("new", F.greatest(F.lit(0), F.col("e") - F.greatest(F.col("s") - 1, before))).groupBy("key").agg(F.sum("new").cast("long").alias("n_hit"))
+    new = F.greatest(F.lit(0), F.col("e") - F.greatest(F.col("s") - 1, before))
+    hit_words = hits.select("key", "s", "e").distinct().withColumn("new", new).groupBy("key").agg(F.sum("new").cast("long").alias("n_hit"))
     hit_items = hits.select("key", "items").distinct().join(bounded_broadcast(members), "items").groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
     hit_items = hit_items.select("key", F.size("ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "ids").cast("binary"), 256).alias("items_sha256"))
     return written(hit_words.join(hit_items, "key", "left").join(texts.select("key", "n"), "key"), "answers")
@@ -142,8 +148,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         out = out.join(F.broadcast(found), "key", "left")
     else:
         out = keyed_join(out, found, "key", rows.count(), "left")
-    n_hit = F.coalesce("n_hit", F.lit(0))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+    none = F.sha2(F.lit("").cast("binary"), 256)
+    out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)), "n_items": F.coalesce("n_items", F.lit(0)), "items_sha256": F.coalesce("items_sha256", none)})
+    contaminated = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", contaminated.alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -35,7 +35,14 @@ EXACT = {n: re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-
 NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 DIGIT, WORD, LETTERS = re.compile(r"[0-9]"), re.compile(r"[a-z]+"), "abcdefghijklmnopqrstuvwxyz"
 #: Score before context, and the context words, of each kind; base kinds in the contract's order. Fixed values.
-KINDS = {k: (score, frozenset(words.split())) for k, score, words in (("email", 0.8, "mail email contact write"), ("ip", 0.5, "ip address host server"), ("card", 0.7, "card visa credit payment"), ("phone", 0.6, "phone call tel mobile fax"), ("iban", 0.8, "iban account bank"), ("national", 0.3, "ssn social security national"))}
+KINDS = {
+    "email": (0.8, frozenset({"mail", "email", "contact", "write"})),
+    "ip": (0.5, frozenset({"ip", "address", "host", "server"})),
+    "card": (0.7, frozenset({"card", "visa", "credit", "payment"})),
+    "phone": (0.6, frozenset({"phone", "call", "tel", "mobile", "fax"})),
+    "iban": (0.8, frozenset({"iban", "account", "bank"})),
+    "national": (0.3, frozenset({"ssn", "social", "security", "national"})),
+}
 BASE, KEEP, BONUS, NEAR = ("email", "ip", "card", "phone"), 0.5, 0.3, 40
 
 

@@ -9,8 +9,9 @@ not their texts, go to the driver, where a few epochs of Adam fit the weights. S
 
 Cases: null and empty texts have only their bins as features and get a score, as do texts whose stated length is null; no usable
 label at all gives 0.5 everywhere; a very long text costs memory in proportion to itself; rows that repeat get equal scores, ties
-need no order; an empty table gives an empty result; extra columns are ignored, whatever their names; an id's labels count once, by their mean, and of rows that repeat an id one is learned from, that with the least text, so the
-sample stays as small if an id holds a third of the rows.
+need no order; an empty table gives an empty result; extra columns are ignored, whatever their names; an id's labels count once, by
+their mean, and of rows that repeat an id one is learned from, that with the least text, so the sample stays as small if an id
+holds a third of the rows.
 """
 
 from __future__ import annotations
@@ -50,9 +51,20 @@ def features(text: str | None, stated: float | None, memo: dict[bytes, int]) ->
     lines, size = raw.count(b"\n") + 1, max(1, len(raw))
     share = lambda x: BINS * x**0.5  # noqa: E731  finer near zero
     bins = (
-        2 * np.log2(1 + len(words)) / 2, -1 if stated is None or stated != stated else np.log2(1 + max(0, stated)), chars / n, share(min(1, symbols / n)), share(dup_lines / lines), share(repeats / n), share(twins / n),
-        BINS * len(lower) / n, share(len(UPPER.findall(raw)) / size), share(len(DIGITS.findall(raw)) / size), share(min(1, len(MARKS.findall(raw)) / n)), share(min(1, len(PIPES.findall(raw)) / n)), np.log2(lines),
-    )
+        2 * np.log2(1 + len(words)) / 2,
+        -1 if stated is None or stated != stated else np.log2(1 + max(0, stated)),
+        chars / n,
+        share(min(1, symbols / n)),
+        share(dup_lines / lines),
+        share(repeats / n),
+        share(twins / n),
+        BINS * len(lower) / n,
+        share(len(UPPER.findall(raw)) / size),
+        share(len(DIGITS.findall(raw)) / size),
+        share(min(1, len(MARKS.findall(raw)) / n)),
+        share(min(1, len(PIPES.findall(raw)) / n)),
+        np.log2(lines),
+    )
     shapes = [WORDS + BINS * i + min(BINS - 1, 1 + int(b)) if b >= 0 else WORDS + BINS * i for i, b in enumerate(bins)]
     return np.append(buckets, shapes), np.append(np.full(len(buckets), 1 / max(1, len(buckets)) ** 0.5), np.ones(len(shapes)))
 
@@ -89,7 +101,8 @@ class Machine:
                 inner = np.repeat(sums, sizes, axis=0) - vx
                 gv = np.column_stack([np.bincount(place, each * inner[:, f], len(touched)) for f in range(FACTORS)])
                 step += 1
-                for (m, s), x, g, rows_ in ((moments[0], bias, np.array([error.sum()]), slice(None)), (moments[1], self.w, gw + DECAY * self.w[touched], touched), (moments[2], self.v, gv + DECAY * self.v[touched], touched)):
+                gradients = (np.array([error.sum()]), gw + DECAY * self.w[touched], gv + DECAY * self.v[touched])
+                for (m, s), x, g, rows_ in zip(moments, (bias, self.w, self.v), gradients, (slice(None), touched, touched), strict=True):
                     m[rows_] = 0.9 * m[rows_] + 0.1 * g
                     s[rows_] = 0.99 * s[rows_] + 0.01 * g * g
                     x[rows_] -= RATE * m[rows_] / (1 - 0.9**step) / (np.sqrt(s[rows_] / (1 - 0.99**step)) + 1e-6)
