@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from terracota.llm import base_sql, bpe, decontaminate, divergence, hard_negatives, langid, licenses, pii, quality_fm, quality_rules, secrets, simhash, url_model
+from terracota.llm import base_sql, bpe, decontaminate, divergence, hard_negatives, langid, licenses, minhash, pii, quality_fm, quality_rules, secrets, simhash, url_model
 from terracota.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of operator 1 that SQL can say: statistics and base rule."""
     docs = table(spark, sf_dir, "documents")
@@ -74,6 +78,6 @@ def personal_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_personal_data(spark, sf_dir).drop("spans", "max_score")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_secret_scan, op4_license_scan, op5_quality_classifier, op6_url_filter, op7_personal_data, op8_byte_bpe, op9_language_id, op10_simhash, op11_hard_negatives, op12_source_divergence, quality_base, secret_base, personal_base)} | {"pipeline": corpus_pipeline.run}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_secret_scan, op4_license_scan, op5_quality_classifier, op6_url_filter, op7_personal_data, op8_byte_bpe, op9_language_id, op10_simhash, op11_hard_negatives, op12_source_divergence, op13_minhash, quality_base, secret_base, personal_base)} | {"pipeline": corpus_pipeline.run}
 
 ORACLES = {"op2_decontamination": decontaminate.ORACLE, "op6_url_filter": url_model.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op12_source_divergence": divergence.ORACLE, "quality_base": base_sql.QUALITY, "secret_base": base_sql.SECRETS, "personal_base": base_sql.PERSONAL}
