@@ -3,7 +3,8 @@
 A rule names elements by a chain of simple selectors (tag, .class, [attribute=value], descendants by blanks), or by the label in
 a paragraph near them, and says which to take: the first, all, the only one, or one inside each. Pages may be broken: open elements
 end with their parent, unknown end tags are skipped, what is no tag is text. A page is read once into lists of elements; attributes
-and texts are taken apart only where a rule asks for them.
+and texts are taken apart only where a rule asks for them. A field that can't be read has its default, the row lives on, and the same
+pass can say of each such field why, so that what failed is told from what a page doesn't have.
 """
 
 from __future__ import annotations
@@ -82,6 +83,10 @@ CARD_LINKS = Rule("li[data-cy=rp-property-cd]", "each", "href")
 LAST_PAGE = Rule(".olx-core-pagination__button", "all")
 
 
+class Unreadable(ValueError):
+    """A page has the element, but no value can be taken from it."""
+
+
 class Page:
     """Elements in order: tag, unread attributes, parent, the range of elements inside, and that of the pieces of text inside."""
 
@@ -162,9 +167,10 @@ class Page:
         if tag and self.tags[i] != tag:
             return False
         raw = self.raw[i]
-        for needle in needles:
-            if needle not in raw:
-                return False
+        if "&" not in raw:  # else values may be coded
+            for needle in needles:
+                if needle not in raw:
+                    return False
         if not needles:
             return True
         own = self.attributes(i)
@@ -174,7 +180,7 @@ class Page:
         *above, last = chain(css)
         end, raw, needle = self.stop[inside] if inside >= 0 else len(self.tags), self.raw, last[3][0] if last[3] else ""
         known = self.by_tag.get(last[0], ()) if last[0] else range(inside + 1, end)
-        found = [i for i in known if needle in raw[i]]
+        found = [i for i in known if needle in raw[i] or "&" in raw[i]]
         return [i for i in found if inside < i < end and self.matches(i, last) and (not above or self._under(i, above))]
 
     def _under(self, i: int, above: list) -> bool:
@@ -218,6 +224,14 @@ class Page:
         return out
 
     def get(self, rule: Rule):
+        """The value; null where the element has none."""
+        try:
+            return self.read(rule)
+        except Unreadable:
+            return None
+
+    def read(self, rule: Rule):
+        """The value; an error that says why where the element has none."""
         found = self.labelled(rule) if rule.label else self.each(rule) if rule.take == "each" else self.select(rule.css)
         if rule.has:
             found = [i for i in found if rule.has in self.text_of(i)]
@@ -226,14 +240,19 @@ class Page:
         if rule.take in ("all", "each"):
             return [v for v in map(value, found) if v]
         if not found:
-            # a label without its value is no value; only a missing label has the default
-            return None if rule.label and self._labelled(rule.label) else rule.default
-        return None if rule.take == "only" and len(found) > 1 else value(found[0])
+            if rule.label and self._labelled(rule.label):  # only a missing label has the default
+                raise Unreadable("a label without its value")
+            return rule.default
+        if rule.take == "only" and len(found) > 1:
+            raise Unreadable("several elements for one")
+        if rule.attr and rule.attr not in self.attributes(found[0]):
+            raise Unreadable("an element without its attribute")
+        return value(found[0])
 
     def tax(self):
         """The value beside IPTU if there is exactly one such element, else the test-id; an empty one is null."""
         found = {j for i in self.select("div.value-item") if "IPTU" in self.text_of(i) for j in self.select("p.value-item__value", i)}
-        return clean(self.text_of(found.pop())) if len(found) == 1 else self.get(FIELDS["iptu"])
+        return clean(self.text_of(found.pop())) if len(found) == 1 else self.read(FIELDS["iptu"])
 
 
 def clean(text: str) -> str | None:
@@ -255,85 +274,119 @@ def chain(css: str) -> list[tuple]:
     return _chains[css]
 
 
-def guarded(read, default):
-    """A field that can't be read has its default; the row lives on."""
+def guarded(read, default, failed: dict | None = None, name: str = ""):
+    """A field that can't be read has its default; the row lives on. failed gets the reason under name."""
     try:
         return read()
-    except (AttributeError, IndexError, KeyError, TypeError, ValueError):
+    except (ArithmeticError, AttributeError, LookupError, RecursionError, TypeError, ValueError, re.error) as e:
+        if failed is not None:
+            failed[name] = str(e) if isinstance(e, Unreadable) else type(e).__name__
         return default
 
 
 LISTS = ("caracteristicas", "fotos")
 
 
-def extract_listings(pages: DataFrame, fields: list[str] | None = None, url_col: str = "url", html_col: str = "html", rules: dict[str, Rule] | None = None) -> DataFrame:
-    """Raw listings, one for each page, with extract_status: ok, or no_page where html is null (only url is set then).
+def extract_listings(pages: DataFrame, fields: list[str] | None = None, url_col: str = "url", html_col: str = "html", rules: dict[str, Rule] | None = None, parts: int | None = None, failures: bool = False) -> DataFrame:
+    """Raw listings, one for each page, with extract_status: ok, no_page where html is null, or failed where it can't be read at all (only url is set then).
 
-    fields: names to read, when few are needed; others are null. rules: FIELDS, or OLD_FIELDS for pages of the older form. Photos are
-    the largest candidate of each source, in the older form the first.
+    fields: names to read, when few are needed; others are null, and with none at all no page is parsed or sent to Python. rules: FIELDS, or
+    OLD_FIELDS for pages of the older form. Photos are the largest candidate of each source, in the older form the first. parts: see spread.
+    failures: a further column `failed`, field -> why it has its default though the page has its element, or its rule broke off.
     """
     rules = rules or FIELDS
-    old, wanted = rules is OLD_FIELDS, {k: rules[k] for k in fields or rules}
+    old, wanted = rules is OLD_FIELDS, {k: rules[k] for k in (rules if fields is None else fields)}
+    rows = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    if not wanted:
+        none = [F.array().cast("array<string>").alias(f.name) if f.name in LISTS else F.lit(None).cast(f.dataType).alias(f.name) for f in RAW if f.name != "url"]
+        more = [F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("failed")] if failures else []
+        return rows.select("url", *none, F.when(F.col("html").isNull(), "no_page").otherwise("ok").alias("extract_status"), *more)
+    names = [*RAW_COLUMNS, "extract_status", *(["failed"] if failures else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for url, html in zip(batch["url"], batch["html"], strict=True):
                 row = dict.fromkeys(RAW_COLUMNS) | {"url": url, "caracteristicas": [], "fotos": [], "extract_status": "ok" if isinstance(html, str) else "no_page"}
-                if isinstance(html, str):
-                    page = Page(html)
+                failed: dict[str, str] = {}
+                page = guarded(lambda h=html: Page(h), None, failed, "page") if isinstance(html, str) else None
+                if page:
                     for name, rule in wanted.items():
-                        row[name] = guarded(page.tax if name == "iptu" and not old else lambda r=rule, p=page: p.get(r), [] if name in LISTS else None)
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=[*RAW_COLUMNS, "extract_status"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in RAW) + ", extract_status string"
-    out = spread(pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))).mapInPandas(run, schema)
+                        row[name] = guarded(page.tax if name == "iptu" and not old else lambda r=rule, p=page: p.read(r), [] if name in LISTS else None, failed, name)
+                elif failed:
+                    row["extract_status"] = "failed"
+                rows.append(row | {"failed": failed})
+            yield pd.DataFrame(rows, columns=names)
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in RAW) + ", extract_status string" + (", failed map<string,string>" if failures else "")
+    out = spread(rows, parts).mapInPandas(run, schema)
     return out.withColumn("fotos", photos("fotos", first_photo if old else best_photo)) if "fotos" in wanted else out
 
 
+def field_outcomes(listings: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """(field, n_ok, n_absent, n_failed, reasons): of the pages that were read, how many have a value, have none, or have one that couldn't be read; reasons counts the failures.
+
+    listings: extract_listings(..., failures=True). An empty list is no value.
+    """
+    names = fields or [c for c in RAW_COLUMNS if c != "url"]
+    some = lambda c: F.size(c) > 0 if c in LISTS else F.col(c).isNotNull()
+    each = F.array(*(F.struct(F.lit(c).alias("field"), some(c).alias("ok"), F.element_at("failed", F.lit(c)).alias("reason")) for c in names))
+    rows = listings.where("extract_status = 'ok'").select(F.explode(each).alias("x")).select("x.*")
+    counts = rows.groupBy("field", "ok", "reason").agg(F.count("*").alias("n"))  # a few rows a field
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
+    failed = F.col("reason").isNotNull()
+    reasons = F.map_from_entries(F.array_sort(F.collect_list(F.when(failed, F.struct("reason", "n")))))
+    return counts.groupBy("field").agg(total(~failed & F.col("ok")).alias("n_ok"), total(~failed & ~F.col("ok")).alias("n_absent"), total(failed).alias("n_failed"), reasons.alias("reasons"))
+
+
 def first_photos(srcsets):
     """Address of each source's first candidate."""
     return photos(srcsets, first_photo)
 
 
-def select_all(pages: DataFrame, rules: dict[str, Rule], keep: list[str], html_col: str = "html") -> DataFrame:
+def select_all(pages: DataFrame, rules: dict[str, Rule], keep: list[str], html_col: str = "html", parts: int | None = None) -> DataFrame:
     """keep columns, and an array of texts for each rule (take: all or each)."""
     schema = ", ".join([*(f"{c} {pages.schema[c].dataType.simpleString()}" for c in keep), *(f"{k} array<string>" for k in rules)])
+    text = _unused("html", keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [{k: guarded(lambda r=r, p=p: p.get(r), []) for k, r in rules.items()} for p in (Page(h if isinstance(h, str) else "") for h in batch["__html"])]
+            read = (guarded(lambda h=h: Page(h), Page("")) for h in (h if isinstance(h, str) else "" for h in batch[text]))
+            found = [{k: guarded(lambda r=r, p=p: p.get(r), []) for k, r in rules.items()} for p in read]
             yield batch[keep].assign(**{k: [f[k] for f in found] for k in rules})
 
-    return spread(pages.select(*keep, F.col(html_col).alias("__html"))).mapInPandas(run, schema)
+    return spread(pages.select(*keep, F.col(html_col).alias(text)), parts).mapInPandas(run, schema)
 
 
-def characteristics(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
+def characteristics(pages: DataFrame, keep: list[str], html_col: str = "html", parts: int | None = None) -> DataFrame:
     """keep columns and the map itemprop -> text; of a repeated key the last counts."""
     schema = ", ".join([*(f"{c} {pages.schema[c].dataType.simpleString()}" for c in keep), "caracteristicas map<string,string>"])
+    text = _unused("html", keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             maps = []
-            for html in batch["__html"]:
-                page, found = Page(html if isinstance(html, str) else ""), {}
+            for html in batch[text]:
+                page, found = guarded(lambda h=html: Page(h if isinstance(h, str) else ""), Page("")), {}
                 for i in page.by_tag.get("li", ()):
                     if (name := page.attributes(i).get("itemprop")) and (spans := page.select("span.amenities-item-text", i)):
                         found[name] = clean(page.text_of(spans[0]))
                 maps.append(found)
             yield batch[keep].assign(caracteristicas=maps)
 
-    return spread(pages.select(*keep, F.col(html_col).alias("__html"))).mapInPandas(run, schema)
+    return spread(pages.select(*keep, F.col(html_col).alias(text)), parts).mapInPandas(run, schema)
 
 
-def spread(pages: DataFrame) -> DataFrame:
-    """Pages over at least as many tasks as there are cores: a few files, whose row groups can't be split, are dealt out row by row.
+def _unused(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
 
-    Tables of more files than cores, and streams, stay as they are. Reading a page costs much more than moving it.
-    """
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    return pages if pages.isStreaming or len(pages.inputFiles()) >= cores else pages.repartition(4 * cores)
+
+def spread(pages: DataFrame, parts: int | None = None) -> DataFrame:
+    """Pages dealt out, row by row, to that many tasks; without parts as they are. For tables of fewer splits (files, or row groups) than there are cores:
+    reading a page costs much more than moving it. Tables of many files need no parts, and a page store (sources/page_store.py) keeps its layout only without."""
+    return pages if parts is None or pages.isStreaming else pages.repartition(parts)
 
 
 def total_pages(texts: Column) -> Column:

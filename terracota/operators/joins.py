@@ -24,3 +24,24 @@ def keyed_join(rows: DataFrame, table: DataFrame, key: str, total: int, how: str
     hot = table.where(F.col("n") > total / HOT)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col("n") <= total / HOT), key, how)
     return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", per_copy: int = 10_000) -> DataFrame:
+    """rows joined (inner or left) with table(key, n, ...), a row a key, whose rows may be wide; n: how many rows have that key.
+
+    A row of table is copied for each per_copy of its rows, which are dealt to the copies by their hash; nothing wide is broadcast,
+    and no task gets more than about per_copy rows of a key, unless these rows are equal.
+    """
+    copies, salt, used = (_unused(c, rows, table) for c in ("copies", "salt", "n_used"))
+    sized = table.withColumnRenamed("n", used).withColumn(copies, F.ceil(F.greatest(F.lit(1), used) / per_copy).cast("int"))
+    several = bounded_broadcast(sized.where(F.col(copies) > 1).select(key, copies))
+    dealt = F.pmod(F.xxhash64(*rows.columns), F.coalesce(copies, F.lit(1))).cast("int")
+    ours = rows.join(several, key, "left").withColumn(salt, dealt).drop(copies)
+    theirs = sized.withColumn(salt, F.explode(F.sequence(F.lit(0), F.col(copies) - 1))).drop(copies, used)
+    return ours.join(theirs, [key, salt], how).drop(salt)
+
+
+def _unused(name: str, *tables: DataFrame) -> str:
+    while any(name.lower() == c.lower() for t in tables for c in t.columns):
+        name += "_"
+    return name

@@ -52,4 +52,7 @@ def keys_where(df: DataFrame, column: str, value, key: str = "url") -> DataFrame
 
 def with_struct(df: DataFrame, value) -> DataFrame:
     """df with the fields of a struct expression as columns: no join on a row index."""
-    return df.select("*", value.alias("__s")).select(*(F.col(f"`{c}`") for c in df.columns), "__s.*")
+    name = "parts"
+    while name in df.columns:
+        name += "_"
+    return df.select("*", value.alias(name)).select(*(F.col(f"`{c}`") for c in df.columns), f"{name}.*")

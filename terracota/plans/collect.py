@@ -2,62 +2,123 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terracota.functions import clean
 from terracota.functions.address import split_address
 from terracota.operators.html import LAST_PAGE, RESULT_LINKS, Rule, extract_listings, select_all, total_pages
-from terracota.operators.joins import bounded_broadcast, keyed_join
+from terracota.operators.joins import bounded_broadcast, salted_join
 from terracota.operators.links import absolute, exploded
 from terracota.operators.profile import drop_sparse, with_struct
+from terracota.schema import RAW_COLUMNS
 from terracota.sources.shared import written
-from terracota.sources.snapshots import frontier
+from terracota.sources.snapshots import first_page, search_frontier, write_snapshot
 
+SEARCHES = "search string, template string, total int"
 
-def result_links(pages: DataFrame, keep: list[str], rule: Rule = RESULT_LINKS) -> DataFrame:
+
+def searches(spark: SparkSession, *rows: tuple) -> DataFrame:
+    """(search, template, total) of (name, template) or (name, template, total); template names the page as {pagina}. Without a total, it is looked for."""
+    return spark.createDataFrame([(*r, None)[:3] for r in rows], SEARCHES)
+
+
+def result_links(pages: DataFrame, keep: list[str], rule: Rule = RESULT_LINKS, parts: int | None = None) -> DataFrame:
     """keep and links, the absolute advert links of each result page in order; repeats stay. rule: CARD_LINKS for pages of the card form."""
-    found = select_all(pages, {"links": rule}, list(dict.fromkeys([*keep, "url"])))
+    found = select_all(pages, {"links": rule}, list(dict.fromkeys([*keep, "url"])), parts=parts)
     return found.select(*keep, F.transform("links", lambda x: absolute(x, F.col("url"))).alias("links"))
 
 
-def count_pages(pages: DataFrame) -> DataFrame:
+def count_pages(pages: DataFrame, parts: int | None = None) -> DataFrame:
     """(url, total): how many result pages a search page announces."""
-    return select_all(pages, {"buttons": LAST_PAGE}, ["url"]).select("url", total_pages(F.col("buttons")).alias("total"))
+    return select_all(pages, {"buttons": LAST_PAGE}, ["url"], parts=parts).select("url", total_pages(F.col("buttons")).alias("total"))
+
+
+def with_totals(pages: DataFrame, of: DataFrame) -> DataFrame:
+    """The searches `of` with total as given, else as the stored first page of the search announces it; null where that page isn't stored.
+
+    Part of the job's own plan: first pages are picked and read by executors, and no total passes through the driver.
+    """
+    open_ = first_page(of.where("total is null"))
+    found = count_pages(one_page_each(pages, open_.select("url").distinct()))
+    return of.where("total is not null").unionByName(open_.drop("total").join(found, "url", "left").select("search", "template", "total"))
 
 
-def collect_listings(pages: DataFrame, template: str, total: int) -> DataFrame:
-    """Raw listings with page and pos: result pages of the search, their links, and the stored page behind each link.
+def one_page_each(pages: DataFrame, urls: DataFrame) -> DataFrame:
+    """(url, html) of the stored pages of urls(url), each address once. Of several pages with one address that with the least page_id counts (without
+    page_id, the least hash of the page), and of those that share this too, the one with the least hash.
 
-    A link without a stored page gives a row with its url alone. Adverts are parsed once each, however many links lead to
-    them, and links find them by address. Of pages with one address that with the least page_id counts (without page_id, the least
-    hash of the page). Only keys meet; a page's text is moved at most once, and a link that very many pages have meets a broadcast.
+    Only keys meet; hashes are taken of pages with shared numbers alone.
     """
-    page_id = F.col("page_id") if "page_id" in pages.columns else F.xxhash64("html")
-    pages = pages.select("url", F.coalesce(page_id.cast("long"), F.lit(2**63 - 1)).alias("page_id"), "html")
-    searched = pages.join(bounded_broadcast(frontier(pages.sparkSession, template, total), total), "url")
-    searched = searched.join(bounded_broadcast(_one_each(searched), total), ["url", "page_id"])
-    found = written(exploded(result_links(searched, ["page"]), "links", ["page"]), "links")
-    links = found.groupBy(F.col("link").alias("url")).agg(F.count("*").alias("n"))
-    wanted = written(_one_each(pages.join(bounded_broadcast(links), "url")), "wanted")
-    # pages that share address and number are read, and one of them kept, after their texts are gone
-    adverts = extract_listings(pages.join(bounded_broadcast(wanted), ["url", "page_id"], "left_semi"))
-    adverts = adverts.dropDuplicates(["url"]).withColumnRenamed("url", "link").join(links.select(F.col("url").alias("link"), "n"), "link")
-    n_links = found.count()
-    out = keyed_join(found, written(adverts, "adverts"), "link", n_links, "left").drop("n").withColumnRenamed("link", "url")
+    page_id = F.coalesce(F.col("page_id").cast("long"), F.lit(2**63 - 1)) if "page_id" in pages.columns else F.xxhash64("html")
+    pages = pages.select("url", page_id.alias("page_id"), "html")
+    keys = pages.select("url", "page_id").join(bounded_broadcast(urls.select("url")), "url", "left_semi")
+    # the least number of an address, and whether it might have several pages
+    wanted = written(keys.groupBy("url").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n")), "wanted")
+    n = {r["several"]: r["n"] for r in wanted.groupBy((F.col("n") > 1).alias("several")).agg(F.count("*").alias("n")).collect()}
+    one = _at_most(pages, wanted.where("n = 1").select("url", F.col("page_id").alias("least")), "page_id", n.get(False, 0)).select("url", "html")
+    if not n.get(True):
+        return one
+    many = _at_most(pages, wanted.where("n > 1").select("url", F.col("page_id").alias("least")), "page_id", n[True]).select("url", F.xxhash64("html").alias("hash"), "html")
+    least = written(many.groupBy("url").agg(F.min("hash").alias("least")), "least")
+    return one.unionByName(_at_most(many, least, "hash", n[True]).select("url", "html").dropDuplicates(["url"]))
+
+
+def _at_most(rows: DataFrame, least: DataFrame, column: str, n: int) -> DataFrame:
+    """rows whose column isn't above that of their address in least(url, least), of n rows. The address is the only key, so rows that are laid out by it stay where they are."""
+    return rows.alias("r").join(bounded_broadcast(least, n).alias("l"), F.expr(f"r.url = l.url AND r.{column} <= l.least"), "left_semi")
+
+
+def found_links(pages: DataFrame, frontier: DataFrame, parts: int | None = None) -> DataFrame:
+    """(search, page, pos, link) of the stored result pages of frontier(search, page, url), in one pass over these pages."""
+    frontier = written(frontier, "frontier")
+    results = one_page_each(pages, frontier.select("url").distinct())
+    each = select_all(results, {"links": RESULT_LINKS}, ["url"], parts=parts)
+    each = each.select("url", F.transform("links", lambda x: absolute(x, F.col("url"))).alias("links"))
+    return exploded(each.join(bounded_broadcast(frontier), "url"), "links", ["search", "page"])
+
+
+def adverts_of(pages: DataFrame, urls: DataFrame, fields: list[str] | None = None, parts: int | None = None, failures: bool = False) -> DataFrame:
+    """Raw listings of the stored pages of urls(url), each address parsed once."""
+    return extract_listings(one_page_each(pages, urls), fields, parts=parts, failures=failures)
+
+
+def with_links(links: DataFrame, adverts: DataFrame) -> DataFrame:
+    """Raw listings with search, page and pos: a row for each of links(search, page, pos, link), with its advert. A link without a stored page has its url alone."""
+    counts = links.groupBy(F.col("link").alias("url")).agg(F.count("*").alias("n"))
+    out = salted_join(links.withColumnRenamed("link", "url"), adverts.join(counts, "url"), "url", "left")
     empty = F.array().cast("array<string>")
     return out.withColumns({"extract_status": F.coalesce("extract_status", F.lit("no_page")), "caracteristicas": F.coalesce("caracteristicas", empty), "fotos": F.coalesce("fotos", empty)})
 
 
-def _one_each(pages: DataFrame) -> DataFrame:
-    """(url, page_id): the least number of each address."""
-    return pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
+def collect_listings(pages: DataFrame, of: DataFrame, fields: list[str] | None = None, parts: int | None = None) -> DataFrame:
+    """Raw listings with search, page and pos: result pages of the searches `of`, their links, and the stored page behind each link.
+
+    of: searches(search, template, total), whose missing totals are looked for. A link without a stored page gives a row with its url alone.
+    Adverts are parsed once each, however many links lead to them. fields: the advert fields to read; with [] none is,
+    and no advert is parsed, which is all that counts need. Only keys meet; a link that very many pages have meets copies of its advert.
+    """
+    found = written(found_links(pages, search_frontier(with_totals(pages, of)), parts), "links")
+    adverts = adverts_of(pages, found.select(F.col("link").alias("url")).distinct(), fields, parts)
+    return with_links(found, written(adverts, "adverts"))
+
+
+def write_collection(pages: DataFrame, of: DataFrame, path: str, date: str, parts: int | None = None, files: int | None = None) -> dict[str, int]:
+    """The whole run: collects the searches and publishes the day, records in page and link order; returns its counts, taken while it is written.
+
+    Counts: n_records, n_ok, n_no_page, n_failed, n_pages (result pages with links) and n_valid (records with ten values or more).
+    """
+    status = lambda s: F.count_if(F.col("extract_status") == s)
+    rows = collect_listings(pages, of, parts=parts)
+    values = sum((F.col(c).isNotNull().cast("int") for c in RAW_COLUMNS), F.lit(0))
+    counts = {"n_ok": status("ok"), "n_no_page": status("no_page"), "n_failed": status("failed"), "n_pages": F.count_if(F.col("pos") == 0), "n_valid": F.count_if(values >= 10)}
+    return write_snapshot(rows, path, date, ["search", "page", "pos"], files, counts)
 
 
-def listings_of(pages: DataFrame, urls: DataFrame, url_col: str = "url") -> DataFrame:
+def listings_of(pages: DataFrame, urls: DataFrame, url_col: str = "url", fields: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """Raw listings of the given addresses."""
     urls = urls.select(F.col(url_col).alias("url")).distinct()
-    return extract_listings(pages.join(bounded_broadcast(urls), "url", "left_semi"))
+    return extract_listings(pages.join(bounded_broadcast(urls), "url", "left_semi"), fields, parts=parts)
 
 
 def total_records(listings: DataFrame) -> DataFrame:

@@ -7,14 +7,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from terracota.functions import clean
 from terracota.functions.address import PARTS, split_address, split_address_typed, without_kind
 from terracota.operators import crawl_log, html, profile
 from terracota.operators.links import absolute, exploded, links
-from terracota.plans import collect
-from terracota.sources import snapshots
-from terracota.sources.shared import new_path
+from terracota.plans import collect, resume
+from terracota.schema import RAW_COLUMNS
+from terracota.sources import page_store, snapshots
+from terracota.sources.commits import commit, new_version
+from terracota.sources.shared import new_path, written
 
 SITE = "https://imoveis.example"
 TEMPLATE = SITE + "/busca/?pagina={pagina}"
@@ -35,6 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts(spark: SparkSession) -> int:
+    """Tasks that pages are dealt to before they are parsed: these tables have a file or two each, whose row groups can't be split."""
+    return 4 * spark.sparkContext.defaultParallelism
+
+
 # rendering
 
 
@@ -125,7 +133,12 @@ def frontier(spark, sf_dir):
 def total_pages(spark, sf_dir):
     last = F.when(F.col("p_partkey") % 10 == 0, "Próxima").otherwise(dotted(F.col("p_partkey")))
     pages = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit('<nav><button class="olx-core-pagination__button">1</button><button class="b olx-core-pagination__button"> '), last, F.lit("</button>")).alias("html"))
-    return html.select_all(pages, {"t": html.LAST_PAGE}, ["p_partkey"]).select("p_partkey", html.total_pages(F.col("t")).alias("total"))
+    return html.select_all(pages, {"t": html.LAST_PAGE}, ["p_partkey"], parts=parts(spark)).select("p_partkey", html.total_pages(F.col("t")).alias("total"))
+
+
+@query("SELECT page_id, url, CAST(length(html) AS BIGINT) AS n_chars FROM pages")
+def pages_read(spark, sf_dir):
+    return snapshots.read_pages(spark, f"{sf_dir}/pages.parquet").select("page_id", "url", F.length("html").cast("long").alias("n_chars"))
 
 
 # scalars (C1-C12)
@@ -213,22 +226,22 @@ CASE key % 4 WHEN 0 THEN 'R$ ' || area || '/mês' WHEN 1 THEN 'Isento' WHEN 2 TH
 rooms || ' andar;Aceita ' || owner AS caracteristicas, 'https://i.example/' || key || '/b.webp' AS fotos, CASE WHEN key % 2 = 0 THEN 'https://maps.example/?q=' || key || '&z=1' END AS link_maps, 'ok' AS extract_status,
 'Anúncio criado em ' || day(created) || ' de ' || ({MONTHS!r})[month(created)] || ' de ' || year(created) || ', atualizado há 12 horas.' AS data_criacao FROM ({ADVERT_SQL})""")
 def listing_extract(spark, sf_dir):
-    out = html.extract_listings(rendered(spark, sf_dir))
+    out = html.extract_listings(rendered(spark, sf_dir), parts=parts(spark))
     return out.withColumns({c: F.array_join(c, ";") for c in ("caracteristicas", "fotos")})
 
 
 @query(f"SELECT '{SITE}/imovel/' || key || '/' AS url, CAST(area AS DOUBLE) AS area_m2, CAST(rooms AS INTEGER) AS quartos, CAST(price AS DOUBLE) AS preco, created AS publicado, 'Rua ' || priority AS rua, CAST(owner AS VARCHAR) AS numero, 'Centro' AS bairro, 'Joinville' AS cidade, 'SC' AS estado, CAST(CASE WHEN key % 3 = 0 THEN area ELSE rooms END AS DOUBLE) AS iptu_valor FROM ({ADVERT_SQL})")
 def listing_typed(spark, sf_dir):
-    return collect.clean_listings(html.extract_listings(rendered(spark, sf_dir))).select("url", "area_m2", "quartos", "preco", "publicado", *PARTS, "iptu_valor")
+    return collect.clean_listings(html.extract_listings(rendered(spark, sf_dir), parts=parts(spark))).select("url", "area_m2", "quartos", "preco", "publicado", *PARTS, "iptu_valor")
 
 
 @query(f"SELECT key, 'floorLevel' AS name, rooms || ' andar' AS value FROM ({ADVERT_SQL}) UNION ALL SELECT key, 'PETS_ALLOWED', '' FROM ({ADVERT_SQL}) UNION ALL SELECT key, 'owner', 'Aceita ' || owner FROM ({ADVERT_SQL})")
 def characteristics_map(spark, sf_dir):
-    return html.characteristics(rendered(spark, sf_dir), ["key"]).select("key", F.explode("caracteristicas").alias("name", "value"))
+    return html.characteristics(rendered(spark, sf_dir), ["key"], parts=parts(spark)).select("key", F.explode("caracteristicas").alias("name", "value"))
 
 
 def _srcsets(spark, sf_dir):
-    return html.select_all(rendered(spark, sf_dir), {"s": html.FIELDS["fotos"]}, ["key"])
+    return html.select_all(rendered(spark, sf_dir), {"s": html.FIELDS["fotos"]}, ["key"], parts=parts(spark))
 
 
 @query("SELECT o_orderkey AS key, 'https://i.example/' || o_orderkey || '/b.webp' AS photo FROM orders")
@@ -238,7 +251,7 @@ def photos_best(spark, sf_dir):
 
 @query("SELECT o_orderkey AS key, 'https://i.example/' || o_orderkey || '/a.webp' AS photo FROM orders")
 def photos_first(spark, sf_dir):
-    cards = html.select_all(rendered(spark, sf_dir), {"s": html.OLD_FIELDS["fotos"]}, ["key"])
+    cards = html.select_all(rendered(spark, sf_dir), {"s": html.OLD_FIELDS["fotos"]}, ["key"], parts=parts(spark))
     return cards.select("key", F.explode(html.first_photos("s")).alias("photo"))
 
 
@@ -260,7 +273,7 @@ CASE WHEN key % 5 > 0 THEN 'R$' || regexp_replace(regexp_replace(CAST(price AS V
 CASE WHEN key % 2 = 0 THEN 'R$ ' || area ELSE 'N/A' END AS condominio, 'N/A' AS descricao, 'https://i.example/' || key || '/c.jpg' AS fotos FROM ({ADVERT_SQL})""")
 def old_listing_extract(spark, sf_dir):
     pages = orders(spark, sf_dir).withColumn("html", old_advert_html())
-    out = html.extract_listings(pages, ["titulo", "metragem", "quartos", "banheiros", "vagas", "valor_venda", "condominio", "descricao", "fotos"], rules=html.OLD_FIELDS)
+    out = html.extract_listings(pages, ["titulo", "metragem", "quartos", "banheiros", "vagas", "valor_venda", "condominio", "descricao", "fotos"], rules=html.OLD_FIELDS, parts=parts(spark))
     key = F.regexp_extract("url", r"(\d+)/$", 1).cast("long").alias("key")
     return out.select(key, "titulo", "metragem", "quartos", "banheiros", "vagas", "valor_venda", "condominio", "descricao", F.array_join("fotos", ";").alias("fotos"))
 
@@ -273,7 +286,7 @@ def card_links(spark, sf_dir):
     card = F.concat(F.lit('<li class="c" data-cy="rp-property-cd">'), inner, F.lit("</div></li><li><a href='/menu'>m</a></li>"))
     pages = orders(spark, sf_dir).groupBy(F.col("owner").alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", card.alias("c")))), lambda x: x["c"]), "").alias("cards"))
     pages = pages.select("page", F.lit(SITE + "/busca/").alias("url"), F.concat(F.lit("<ul>"), "cards").alias("html"))
-    return exploded(collect.result_links(pages, ["page"], html.CARD_LINKS), "links", ["page"]).withColumn("pos", F.col("pos").cast("long"))
+    return exploded(collect.result_links(pages, ["page"], html.CARD_LINKS, parts(spark)), "links", ["page"]).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("SELECT o_orderkey AS key, 1 AS n_photos FROM orders")
@@ -284,13 +297,28 @@ def photo_count(spark, sf_dir):
 @query("SELECT o_orderkey AS key, CASE WHEN o_orderkey % 7 > 0 THEN floor(o_totalprice) END AS price FROM orders")
 def bad_fields(spark, sf_dir):
     pages = rendered(spark, sf_dir).withColumn("html", F.when(F.col("key") % 7 == 0, F.regexp_replace("html", "R\\$&nbsp;", "a partir de ")).otherwise(F.col("html")))
-    return html.extract_listings(pages, ["valor_venda"]).select(F.regexp_extract("url", r"(\d+)/$", 1).cast("long").alias("key"), clean.money("valor_venda").alias("price"))
+    return html.extract_listings(pages, ["valor_venda"], parts=parts(spark)).select(F.regexp_extract("url", r"(\d+)/$", 1).cast("long").alias("key"), clean.money("valor_venda").alias("price"))
 
 
 @query("SELECT o_orderkey AS key, CASE WHEN o_orderkey % 11 = 0 THEN 'no_page' ELSE 'ok' END AS extract_status, CASE WHEN o_orderkey % 11 > 0 THEN 'Casa & Jardim ' || o_orderkey END AS titulo FROM orders")
 def bad_rows(spark, sf_dir):
     pages = rendered(spark, sf_dir).withColumn("html", F.when(F.col("key") % 11 > 0, F.col("html")))
-    return html.extract_listings(pages, ["titulo"]).select(F.regexp_extract("url", r"(\d+)/$", 1).cast("long").alias("key"), "extract_status", "titulo")
+    return html.extract_listings(pages, ["titulo"], parts=parts(spark)).select(F.regexp_extract("url", r"(\d+)/$", 1).cast("long").alias("key"), "extract_status", "titulo")
+
+
+@query("""SELECT field, count(*) FILTER (WHERE r = 'ok') AS n_ok, count(*) FILTER (WHERE r = 'absent') AS n_absent, count(*) FILTER (WHERE r NOT IN ('ok', 'absent')) AS n_failed, coalesce(max(r) FILTER (WHERE r NOT IN ('ok', 'absent')), '') AS reasons
+FROM (SELECT unnest(['titulo', 'banheiros', 'quartos', 'link_maps', 'metragem']) AS field, unnest(['ok', CASE WHEN o_orderkey % 7 = 0 THEN 'a label without its value' ELSE 'ok' END, CASE WHEN o_orderkey % 5 = 0 THEN 'absent' ELSE 'ok' END,
+CASE WHEN o_orderkey % 2 > 0 THEN 'several elements for one' WHEN o_orderkey % 6 = 0 THEN 'an element without its attribute' ELSE 'ok' END, 'AttributeError']) AS r FROM orders) GROUP BY field, CASE WHEN field = 'link_maps' THEN '' END""".replace("coalesce(max(r) FILTER (WHERE r NOT IN ('ok', 'absent')), '')", "coalesce(string_agg(DISTINCT r, ';' ORDER BY r) FILTER (WHERE r NOT IN ('ok', 'absent')), '')"))
+def field_outcomes(spark, sf_dir):
+    """What failed told from what is absent, on pages with labels without values, doubled and bare frames, and by a rule that can't be read."""
+    k, page = F.col("key"), F.col("html")
+    page = F.when(k % 7 == 0, F.regexp_replace(page, "<p>Banheiros</p><div><p class=x>[0-9]+</p></div>", "<p>Banheiros</p>")).otherwise(page)
+    page = F.when(k % 5 == 0, F.regexp_replace(page, "<p>Quartos</p>", "<p>Suites</p>")).otherwise(page)
+    page = F.when(k % 6 == 0, F.regexp_replace(page, 'map-iframe" src=', 'map-iframe" href=')).otherwise(page)
+    names = ["titulo", "banheiros", "quartos", "link_maps", "metragem"]
+    rules = html.FIELDS | {"metragem": html.Rule("p>b")}
+    out = html.extract_listings(rendered(spark, sf_dir).withColumn("html", page), names, rules=rules, parts=parts(spark), failures=True)
+    return html.field_outcomes(out, names).withColumn("reasons", F.array_join(F.array_sort(F.map_keys("reasons")), ";"))
 
 
 @query(f"""SELECT key, '{{"key":' || key || ',"price":' || price || ',"map":' || CASE WHEN key % 2 = 0 THEN '"m"' ELSE 'null' END || '}}' AS record FROM ({ADVERT_SQL})""")
@@ -360,6 +388,53 @@ def rows_to_table(spark, sf_dir):
     return _shown(_records(spark, sf_dir).withColumn("snapshot_date", F.lit(None))).drop("snapshot_date")
 
 
+@query("SELECT 'n' || n_nationkey AS url, 'Nação ' || n_name AS titulo, CAST(count(c_custkey) AS VARCHAR) AS quartos FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name")
+def rows_given(spark, sf_dir):
+    """A few records, one a nation, that came as rows."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n")), "n_nationkey", "left")
+    rows = [dict.fromkeys(RAW_COLUMNS) | {"url": f"n{r['n_nationkey']}", "titulo": f"Nação {r['n_name']}", "quartos": str(r["n"] or 0), "fotos": []} for r in n.collect()]
+    return snapshots.listings_from_rows(spark, rows).select("url", "titulo", "quartos")
+
+
+@query(f"SELECT CAST(d AS DATE) AS snapshot_date, CASE d WHEN '{DAYS[0]}' THEN (SELECT count(*) FROM orders WHERE o_orderkey % 2 = 0) WHEN '{DAYS[1]}' THEN (SELECT count(*) FROM orders WHERE o_orderkey % 2 = 1) WHEN '{DAYS[2]}' THEN (SELECT count(*) FROM orders) ELSE 0 END AS n_records, d = '2025-06-01' AS is_newest FROM (SELECT unnest(['{DAYS[0]}', '{DAYS[1]}', '{DAYS[2]}', '2025-06-01']) AS d)")
+def snapshot_days(spark, sf_dir):
+    """Days after one that is empty, and after a rerun of the first that ended before its commit: the empty day is the newest, the first as it was."""
+    path = _snapshots(spark, sf_dir)
+    rows = _records(spark, sf_dir)
+    snapshots.write_snapshot(rows.where("url is null"), path, "2025-06-01")
+    rows.write.json(f"{path}/snapshot_date={DAYS[0]}/version={new_version()}")  # what a rerun leaves that ended before its commit
+    found = snapshots.read_snapshots(spark, path).groupBy("snapshot_date").agg(F.count("*").alias("n_read"))
+    days = snapshots.days(spark, path).join(found, "snapshot_date", "left").where("n_records = coalesce(n_read, 0)")
+    return days.select("snapshot_date", "n_records", (F.col("snapshot_date") == F.lit(snapshots.newest_date(spark, path)).cast("date")).alias("is_newest"))
+
+
+def _mixed_lines(spark, sf_dir) -> str:
+    """A day with broken lines among its records: every tenth order is cut off, every seventh has no url, and blank lines stand in between."""
+    path, version = new_path(spark, "mixed"), new_version()
+    rows = _records(spark, sf_dir).withColumn("key", F.regexp_extract("url", r"(\d+)/$", 1).cast("long"))
+    rows = rows.withColumn("url", F.when((F.col("key") % 7 > 0) | (F.col("key") % 10 == 0), F.col("url")))
+    line = collect.as_json(rows, [c for c in rows.columns if c != "key"])
+    line = F.when(F.col("key") % 10 == 0, F.substring(line, F.lit(1), F.length(line) - 2)).otherwise(line)
+    rows.select(F.explode(F.array(line, F.lit("")))).write.text(f"{path}/snapshot_date={DAYS[0]}/version={version}")
+    commit(spark, path, DAYS[0], version)
+    return path
+
+
+@query("SELECT o_orderkey AS key, CASE WHEN o_orderkey % 10 = 0 THEN 'broken' ELSE 'no url' END AS reason FROM orders WHERE o_orderkey % 10 = 0 OR o_orderkey % 7 = 0")
+def quarantine(spark, sf_dir):
+    bad = snapshots.quarantined(spark, _mixed_lines(spark, sf_dir)).where("line > 0 and file is not null")
+    return bad.select(F.regexp_extract("record", r'"Casa São (\d+)"', 1).cast("long").alias("key"), "reason")
+
+
+@query(f"SELECT '{SITE}/imovel/' || o_orderkey || '/' AS url, o_orderkey % 10 = 0 AS mended FROM orders WHERE o_orderkey % 10 = 0 OR o_orderkey % 7 > 0")
+def quarantine_mended(spark, sf_dir):
+    """Listings of the day, and those of the quarantine once the cut-off records have their ends again."""
+    path = _mixed_lines(spark, sf_dir)
+    bad = snapshots.quarantined(spark, path).withColumn("record", F.when(F.col("reason") == "broken", F.concat("record", F.lit("l}"))).otherwise(F.col("record")))
+    found = snapshots.read_snapshots(spark, path)
+    return found.select("url", F.lit(False).alias("mended")).unionByName(snapshots.read_again(bad).select("url", F.lit(True).alias("mended")))
+
+
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS run_date FROM events")
 def run_dates(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", snapshots.run_date(F.col("ts")).alias("run_date"))
@@ -423,26 +498,30 @@ def search_pages(spark, sf_dir) -> tuple[DataFrame, int]:
     return results.union(ads.where("key % 13 > 0").select("key", "url", "html")), total
 
 
+def one_search(spark, total: int | None) -> DataFrame:
+    return collect.searches(spark, ("all", TEMPLATE, total))
+
+
 COLLECT_SQL = "SELECT o_orderkey AS key, o_orderkey % (SELECT count(*) // 50 + 1 FROM orders) + 1 AS page FROM orders"
 
 
 @query(f"SELECT page, count(*) AS n_records, count(*) FILTER (WHERE key % 13 > 0) AS n_ok FROM ({COLLECT_SQL}) WHERE page % 7 > 0 GROUP BY page")
 def collect_counts(spark, sf_dir):
     pages, total = search_pages(spark, sf_dir)
-    found = collect.collect_listings(pages, TEMPLATE, total)
+    found = collect.collect_listings(pages, one_search(spark, total), [], parts(spark))
     return found.groupBy("page").agg(F.count("*").alias("n_records"), F.count_if(F.col("extract_status") == "ok").alias("n_ok"))
 
 
 @query(f"SELECT page, count(*) AS n_records FROM ({COLLECT_SQL}) WHERE page % 7 > 0 AND key % 13 > 0 GROUP BY page")
 def valid_records_per_page(spark, sf_dir):
     pages, total = search_pages(spark, sf_dir)
-    return collect.records_per_page(profile.drop_sparse(collect.collect_listings(pages, TEMPLATE, total)))
+    return collect.records_per_page(profile.drop_sparse(collect.collect_listings(pages, one_search(spark, total), parts=parts(spark))))
 
 
 @query(f"SELECT count(*) AS n_records FROM ({COLLECT_SQL}) WHERE page % 7 > 0")
 def total_records(spark, sf_dir):
     pages, total = search_pages(spark, sf_dir)
-    return collect.total_records(collect.collect_listings(pages, TEMPLATE, total))
+    return collect.total_records(collect.collect_listings(pages, one_search(spark, total), [], parts(spark)))
 
 
 @query("SELECT key, titulo FROM (SELECT o_orderkey AS key, 'Casa & Jardim ' || o_orderkey AS titulo, o_custkey AS c FROM orders) WHERE c IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
@@ -450,7 +529,109 @@ def given_urls(spark, sf_dir):
     poor = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("owner"))
     ads = rendered(spark, sf_dir)
     urls = orders(spark, sf_dir).join(poor, "owner").select("url")
-    return collect.listings_of(ads.select("url", "html"), urls).select(F.regexp_extract("url", r"(\d+)/$", 1).cast("long").alias("key"), "titulo")
+    return collect.listings_of(ads.select("url", "html"), urls, fields=["titulo"], parts=parts(spark)).select(F.regexp_extract("url", r"(\d+)/$", 1).cast("long").alias("key"), "titulo")
+
+
+SEARCH_SQL = "SELECT o_orderkey AS key, o_orderpriority AS search, (o_orderkey // 8) % (count(*) OVER (PARTITION BY o_orderpriority) // 50 + 1) + 1 AS page FROM orders WHERE o_orderkey % 4 > 0"
+
+
+def several_searches(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Stored pages of a search for each order priority, and the searches. Their first pages announce how many there are; every thirteenth advert isn't stored.
+
+    Searches without any order in them have a first page without buttons, the search "none" has no stored page.
+    """
+    ads = rendered(spark, sf_dir).where("key % 4 > 0").select("key", "priority", "url", "html")
+    totals = ads.groupBy("priority").agg((F.floor(F.count("*") / 50) + 1).alias("total"))
+    placed = ads.join(F.broadcast(totals), "priority").withColumn("page", F.floor(F.col("key") / 8) % F.col("total") + 1)
+    link = F.concat(F.lit('<a class="olx-core-surface" href="'), "url", F.lit('">ver</a>'))
+    cards = placed.groupBy("priority", "page", "total").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", link.alias("a")))), lambda x: x["a"]), "").alias("as"))
+    every = totals.withColumn("page", F.explode(F.sequence(F.lit(1), "total"))).join(cards.drop("total"), ["priority", "page"], "left")
+    slug = F.regexp_replace("priority", "[^0-9]", "")
+    template = F.concat(F.lit(f"{SITE}/"), slug, F.lit("/{pagina}"))
+    buttons = F.concat(F.lit('<button class="olx-core-pagination__button">1</button><button class="olx-core-pagination__button">'), dotted(F.col("total")), F.lit("</button>"))
+    results = every.select((-F.col("page")).alias("page_id"), F.replace(template, F.lit("{pagina}"), F.col("page").cast("string")).alias("url"), F.concat(F.when(F.col("page") == 1, buttons).otherwise(""), F.lit('<div class="listings-wrapper">'), F.coalesce("as", F.lit("")), F.lit("</div>")).alias("html"))
+    of = totals.select(F.col("priority").alias("search"), template.alias("template"), F.lit(None).cast("int").alias("total")).unionByName(collect.searches(spark, ("none", f"{SITE}/none/{{pagina}}")))
+    return results.unionByName(ads.where("key % 13 > 0").select(F.col("key").alias("page_id"), "url", "html")), of
+
+
+@query(f"SELECT c_custkey AS search, CAST(p AS BIGINT) AS page, '{SITE}/c/' || c_custkey || '?pagina=' || p AS url FROM (SELECT c_custkey, unnest(range(1, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE c_custkey % 5 END + 1)) AS p FROM customer)")
+def search_frontiers(spark, sf_dir):
+    """Search pages of a search for each customer: a third has its total given, the others' stored first pages announce it, some of them none."""
+    k = F.col("c_custkey")
+    of = table(spark, sf_dir, "customer").select(k.cast("string").alias("search"), F.concat(F.lit(f"{SITE}/c/"), k, F.lit("?pagina={pagina}")).alias("template"), F.when(k % 3 == 0, 2).alias("total"))
+    last = F.when(k % 5 > 0, F.concat(F.lit('<b class="olx-core-pagination__button">'), k % 5, F.lit("</b>"))).otherwise("<b>nada</b>")
+    pages = table(spark, sf_dir, "customer").select(k.cast("long").alias("page_id"), F.concat(F.lit(f"{SITE}/c/"), k, F.lit("?pagina=1")).alias("url"), last.alias("html"))
+    found = snapshots.search_frontier(collect.with_totals(pages, of))
+    return found.select(F.col("search").cast("long").alias("search"), "page", "url")
+
+
+@query(f"SELECT search, page, count(*) AS n_records, count(*) FILTER (WHERE key % 13 > 0) AS n_ok FROM ({SEARCH_SQL}) GROUP BY ALL")
+def collect_searches(spark, sf_dir):
+    """Several searches, none with a total given."""
+    pages, of = several_searches(spark, sf_dir)
+    found = collect.collect_listings(pages, of, [], parts(spark))
+    return found.groupBy("search", "page").agg(F.count("*").alias("n_records"), F.count_if(F.col("extract_status") == "ok").alias("n_ok"))
+
+
+@query(f"""SELECT unnest(['n_records', 'n_ok', 'n_no_page', 'n_failed', 'n_pages', 'n_valid']) AS name, unnest([count(*), count(*) FILTER (WHERE key % 13 > 0), count(*) FILTER (WHERE key % 13 = 0), 0, count(DISTINCT search || page), count(*) FILTER (WHERE key % 13 > 0)]) AS n FROM ({SEARCH_SQL})""")
+def collection_counts(spark, sf_dir):
+    """What a whole run, collected and published, counts while it writes."""
+    pages, of = several_searches(spark, sf_dir)
+    counts = collect.write_collection(pages, of, new_path(spark, "collection"), "2025-05-05", parts(spark))
+    return spark.createDataFrame(list(counts.items()), "name string, n long")
+
+
+@query(f"SELECT '{SITE}/imovel/' || key || '/' AS url, row_number() OVER (ORDER BY search, page, key) AS place FROM ({SEARCH_SQL})")
+def ordered_output(spark, sf_dir):
+    """The published files, read by name, have the records in the order of searches, pages and links."""
+    pages, of = several_searches(spark, sf_dir)
+    path = new_path(spark, "collection")
+    collect.write_collection(pages, of, path, "2025-05-05", parts(spark), 8)
+    lines = spark.read.text(f"{path}/snapshot_date=2025-05-05/*").select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    # places from the counts of the files and blocks before, and the place inside
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))  # a row a split
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = lines.join(blocks.withColumn("before", before), ["file", "block"])
+    return placed.select(F.get_json_object("value", "$.url").alias("url"), (F.col("before") + F.col("id") - F.col("first") + 1).alias("place"))
+
+
+@query(f"SELECT search, page, count(*) AS n_records, count(*) FILTER (WHERE key % 13 > 0) AS n_ok FROM ({SEARCH_SQL}) GROUP BY ALL")
+def collect_from_store(spark, sf_dir):
+    """The same counts from pages that are laid out by address, which no join moves."""
+    pages, of = several_searches(spark, sf_dir)
+    path = new_path(spark, "pages")
+    name = f"pages_{path.rsplit('-', 1)[-1]}"
+    page_store.write_pages(pages, name, 8, path)
+    found = collect.collect_listings(page_store.stored_pages(spark, name), of, ["titulo"])
+    return found.groupBy("search", "page").agg(F.count("*").alias("n_records"), F.count("titulo").alias("n_ok"))
+
+
+def _two_runs(spark, sf_dir) -> str:
+    """A collection in two runs: the first finds the even adverts and result pages of even number stored, the second all; nothing is read twice."""
+    pages, of = several_searches(spark, sf_dir)
+    pages, of, path = written(pages, "pages"), written(of, "searches"), new_path(spark, "runs")
+    even = F.when(F.col("page_id") < -1, F.col("page_id") % 2 == 0).otherwise((F.col("page_id") % 2 == 0) | (F.col("page_id") < 0))
+    for stored in (pages.where(even), pages):
+        resume.collect_more(stored, of, path, parts(spark))
+    return path
+
+
+RUNS_SQL = f"SELECT key, search, page, page = 1 OR page % 2 = 0 AS early FROM ({SEARCH_SQL})"
+
+
+@query(f"SELECT search, page, count(*) AS n_records, count(*) FILTER (WHERE key % 13 > 0) AS n_ok FROM ({SEARCH_SQL}) GROUP BY ALL")
+def resumed_collection(spark, sf_dir):
+    found = resume.collected(spark, _two_runs(spark, sf_dir))
+    return found.groupBy("search", "page").agg(F.count("*").alias("n_records"), F.count("titulo").alias("n_ok"))
+
+
+@query(f"""WITH r AS ({RUNS_SQL}), t AS (SELECT o_orderpriority, count(*) // 50 + 1 AS total FROM orders WHERE o_orderkey % 4 > 0 GROUP BY 1), p AS (SELECT unnest(range(1, total + 1)) AS page FROM t)
+SELECT 1 AS run, (SELECT count(*) FROM p WHERE page = 1 OR page % 2 = 0) AS n_result_pages, count(*) FILTER (WHERE early) AS n_links, count(*) FILTER (WHERE early AND key % 13 > 0 AND key % 2 = 0) AS n_adverts FROM r
+UNION ALL SELECT 2, (SELECT count(*) FROM p WHERE page > 1 AND page % 2 = 1), count(*) FILTER (WHERE NOT early), count(*) FILTER (WHERE key % 13 > 0 AND NOT (early AND key % 2 = 0)) FROM r""")
+def resumed_runs(spark, sf_dir):
+    """How many pages each of two runs reads: the second none that the first has read."""
+    runs = resume.runs(spark, _two_runs(spark, sf_dir))
+    return runs.select((F.row_number().over(Window.orderBy("run"))).alias("run"), "n_result_pages", "n_links", "n_adverts")
 
 
 # request log (K1-K4)
@@ -488,4 +669,4 @@ def pending(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search pages to clean listings."""
     pages, total = search_pages(spark, sf_dir)
-    return collect.clean_listings(collect.collect_listings(pages, TEMPLATE, total))
+    return collect.clean_listings(collect.collect_listings(pages, one_search(spark, total), parts=parts(spark)))

@@ -87,7 +87,7 @@ def test_collect_repeated_addresses_and_hot_links(spark):
     pages = [(100 + i, f"http://s/?p={i}", body("http://s/hot", f"/own{i}", "/gone")) for i in range(1, 6)] + [(99, "http://s/?p=1", body("/own2")), (98, "http://s/?p=1", None)]
     pages += [(i, u, f'<h2 class="text-neutral-130 line-clamp-2">{t}</h2>') for i, u, t in ((7, "http://s/hot", "late"), (5, "http://s/hot", "first"), (5, "http://s/hot", "first"), (9, "http://s/own2", "two"))]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    out = collect.collect_listings(df, "http://s/?p={pagina}", 6).collect()
+    out = collect.collect_listings(df, collect.searches(spark, ("s", "http://s/?p={pagina}", 6))).collect()
     assert len(out) == 12 and {(r["page"], r["titulo"]) for r in out if r["url"] == "http://s/hot"} == {(i, "first") for i in range(2, 6)}
     assert [r["extract_status"] for r in out if r["url"] == "http://s/gone"] == ["no_page"] * 4 and [r["titulo"] for r in out if r["url"] == "http://s/own2"] == ["two"]
 
