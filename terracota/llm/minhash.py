@@ -146,15 +146,15 @@ def alike(n: str, m: str) -> Column:
 
 
 def leader_pairs(sets: DataFrame) -> DataFrame:
-    """(leader, key): each member of each bucket with the bucket's leader, once. sets: (key, bands)."""
+    """(a, b) with row, n and sig of both: each member b of each bucket with the bucket's leader a, once. sets: (key, row, n, bands, sig)."""
     keyed = sets.select("key", F.explode("bands").alias("x"))
     buckets = written(keyed.groupBy("x").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     members = written(keyed_join(keyed, buckets, "x", BANDS * sets.count()), "members")
-    company = members.groupBy("key").agg(F.sum("n").alias("company"))
-    leaders = members.join(company, "key").groupBy("x").agg(F.max(F.struct("company", "key")).alias("l"), F.count("*").alias("n"))
-    leaders = written(leaders.select("x", F.col("l.key").alias("leader"), "n"), "leaders")
-    met = keyed_join(members.select("x", "key"), leaders, "x", members.count())
-    return met.where("leader <> key").select("leader", "key").distinct()
+    company = members.groupBy("key").agg(F.sum("n").alias("company")).join(sets.select("key", F.struct("row", "n", "sig").alias("own")), "key")
+    met = written(members.select("x", "key").join(company, "key").select("x", F.struct("company", "key", "own").alias("m")), "met")
+    leaders = written(met.groupBy("x").agg(F.max("m").alias("leader"), F.count("*").alias("n")), "leaders")
+    pairs = keyed_join(met, leaders, "x", met.count()).where("leader.key <> m.key").groupBy(F.col("leader.key").alias("a"), F.col("m.key").alias("b")).agg(F.first("leader.own").alias("a_"), F.first("m.own").alias("b_"))
+    return pairs.select("a", "b", *(F.col(f"{e}_.{c}").alias(f"{e}_{c}") for e in "ab" for c in ("row", "n", "sig")))
 
 
 def _compared(pairs: Iterator[tuple[np.ndarray, np.ndarray]], leaders: bool) -> Iterator[dict]:
@@ -260,25 +260,20 @@ def set_links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, crow
     least = least_matches()
     short = sets.select("key", "row", "n", "sig")
     end = lambda name: short.select(F.col("key").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("row", "n", "sig")))
-    pairs = written(leader_pairs(sets), "leader-pairs")
-    counts = pairs.groupBy("leader").agg(F.count("*").alias("m")).withColumnRenamed("leader", "a")
-    counts = written(counts.join(end("a"), "a").withColumnRenamed("m", "n"), "leader-counts")
-    met = pairs.withColumnsRenamed({"leader": "a", "key": "b"}).join(end("b"), "b")
-    met = keyed_join(met, counts, "a", pairs.count()).withColumnRenamed("n", "m")
     near = alike("a_n", "b_n") & (mismatches("a_sig", "b_sig") <= K - least)
-    met = written(met.withColumn("near", near), "met")
+    met = written(leader_pairs(sets).withColumn("near", near), "leader-pairs")
     needed = lambda df: df.select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("a_row").alias("row")), F.struct(F.col("b").alias("key"), F.col("b_row").alias("row")))).alias("x")).select("x.*").distinct()
     linked = (100 * F.col("inter")) >= (PERCENT * (F.col("a_n") + F.col("b_n") - F.col("inter")))
     close = met.where("near")
     own_sets = written(full_sets(docs, id_col, text_col, written(needed(close), "needed")), "sets")
-    seen = compared(close.select("a", "b", "m", "a_n", "b_n", "b_sig"), own_sets, True).withColumn("linked", linked).drop("inter")
-    far = met.where("not near").select("a", "b", "m", "a_n", "b_n", "b_sig", F.lit(None).cast("binary").alias("bits"), F.lit(False).alias("linked"))
+    seen = compared(close.select("a", "b", "a_n", "b_n", "b_sig"), own_sets, True).withColumn("linked", linked).drop("inter")
+    far = met.where("not near").select("a", "b", "a_n", "b_n", "b_sig", F.lit(None).cast("binary").alias("bits"), F.lit(False).alias("linked"))
     stars = written(seen.unionByName(far), "stars")
 
     # pairs of members of one leader that it doesn't both link
     undecided = stars.groupBy("a").agg(F.count_if(~F.col("linked")).alias("alone"), F.count("*").alias("all")).where("alone > 0 and all > 1").select("a", F.col("all").alias("n"))
     undecided = written(undecided, "undecided")
-    rows = keyed_join(stars.select("a", "b", "b_n", "b_sig", "linked", "bits"), undecided, "a", pairs.count())
+    rows = keyed_join(stars.select("a", "b", "b_n", "b_sig", "linked", "bits"), undecided, "a", met.count())
     rows = written(rows.select(F.col("a").alias("leader"), F.col("n").alias("m"), F.col("b").alias("key"), F.col("b_n").alias("n"), F.col("b_sig").alias("sig"), "linked", "bits"), "undecided-members")
     few = rows.where(F.col("m") <= crowd)
     one, two = (few.select("leader", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "sig", "linked"))) for s in "ab")
