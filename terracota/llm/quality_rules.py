@@ -6,11 +6,14 @@ STARTS random sets of D + 1 vectors and from the medians, by concentration steps
 estimate anew. No step can raise the determinant, so steps go on until it stays. The vectors are those of the rows that pass the base
 rule. Groups with under LEAST of them take their language's estimate, and languages with under LEAST that of all.
 
-Groups of up to SAMPLE rows are settled in one task, exactly. Of larger ones a sample of about SAMPLE rows, chosen by hash, gives the
-BEST starts with the least determinants; from these, steps over all rows go on as aggregates: one for the CORE quantile of the
+Equal vectors are one vector with a weight. Groups of up to SAMPLE different vectors are settled in one task, exactly. Of larger ones a
+sample of about SAMPLE vectors, each taken with a chance in proportion to its rows, gives the
+BEST starts with the least determinants; a vector with many rows is always in it, so no sample is empty. From these, steps over all rows go on as aggregates: one for the CORE quantile of the
 distances, one for the sums of the rows within it. After two steps the start with the least determinant goes on alone. The quantile is
 right to one in ACCURACY of the rows, and rows that tie with it count in part, so the core has CORE of the rows to that
-precision. Estimates stay tables, a row a group; the driver reads only how far the determinants moved.
+precision; as it isn't exact, a step may raise a determinant, and the least one seen is kept. `settled` is false in rows whose estimate still moved
+after STEPS steps. Estimates stay tables, a row a group; the driver reads only how many still move. A group always has an estimate: its own, its
+language's or that of all; a run that lacks one ends with an error rather than keep the group's rows.
 
 RIDGE keeps coordinates apart that are constant in most rows, such as repeated lines: its squares are added to the covariance's
 diagonal before determinants and distances are taken, as in the minimum regularised covariance determinant. The estimates are scaled
@@ -44,6 +47,7 @@ D, CHI_CORE, CHI_CLEAN, CHI_REJECT = 5, 6.6257, 12.8325, 25.7448
 X = [f"x{i}" for i in range(D)]
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
 FIT = "k string, start int, n long, log_det double, mean array<double>, root array<double>, done boolean"
+FIT_COLUMNS = [c.split()[0] for c in FIT.split(", ")]
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> Column:
@@ -121,9 +125,9 @@ def least_determinants(x: np.ndarray, w: np.ndarray, starts: int = STARTS, best:
 
 
 def _starts(rows: pd.DataFrame) -> pd.DataFrame:
-    """FIT rows of one group's sample(k, n, x..., w); done where the sample is the whole group."""
+    """FIT rows of one group's sample(k, n, x..., w, whole); done where the sample is the whole group."""
     n, w = int(rows["n"].iloc[0]), rows["w"].to_numpy()
-    done = n == w.sum()
+    done = bool(rows["whole"].all())
     value, mean, cov = least_determinants(rows[X].to_numpy(), w, best=1 if done else BEST)
     return pd.DataFrame({"k": rows["k"].iloc[0], "start": range(len(value)), "n": n, "log_det": value, "mean": list(mean), "root": [r.reshape(-1) for r in root(cov)], "done": done})
 
@@ -163,34 +167,48 @@ def _sums(rows: DataFrame) -> DataFrame:
 
 def concentrated(points: DataFrame, fits: DataFrame, total: int) -> DataFrame:
     """One concentration step of every fit over all points of its group."""
-    met = _met(points, fits, total)
-    cuts = met.groupBy("k", "start").agg(F.percentile_approx("d2", F.lit(CORE), F.lit(ACCURACY)).alias("cut"))
+    met = _met(points, fits, total).withColumn("fit", F.struct("k", "start")).withColumnRenamed("n", "size")
+    cuts = met.groupBy("fit").agg(F.percentile_approx("d2", F.lit(CORE), F.lit(ACCURACY)).alias("cut"), F.count("*").alias("n"))
     cuts = written(cuts, "cuts")
-    pairs = ["k", "start"]
-    near = met.join(F.broadcast(cuts), pairs) if cuts.count() * 10 <= BROADCAST_ROWS else met.join(cuts, pairs)
-    near = near.where(F.col("d2") <= F.col("cut")).withColumn("edge", F.col("d2") == F.col("cut"))
-    return written(_sums(near).groupBy(*pairs).applyInPandas(_estimator(CORE, consistent(CORE, CHI_CORE)), FIT), "fits")
+    near = met.join(F.broadcast(cuts.drop("n")), "fit") if cuts.count() * 10 <= BROADCAST_ROWS else keyed_join(met, cuts, "fit", BEST * total).drop("n")
+    near = near.where(F.col("d2") <= F.col("cut")).withColumn("edge", F.col("d2") == F.col("cut")).drop("fit").withColumnRenamed("size", "n")
+    return written(_sums(near).groupBy("k", "start").applyInPandas(_estimator(CORE, consistent(CORE, CHI_CORE)), FIT), "fits")
+
+
+def sampled(points: DataFrame) -> DataFrame:
+    """(k, n, x..., w, whole): of each group of points(k, n, x...) all different vectors with their numbers of rows if there are at most SAMPLE of them (whole), else about SAMPLE, taken
+    in proportion to their rows and weighted by what they stand for."""
+    vectors = written(points.groupBy("k", "n", *X).agg(F.count("*").alias("w")), "vectors").withColumnRenamed("n", "size")
+    kinds = written(vectors.groupBy("k").agg(F.count("*").alias("n")), "kinds")
+    met = vectors.join(F.broadcast(kinds), "k") if kinds.count() * 10 <= BROADCAST_ROWS else keyed_join(vectors, kinds, "k", vectors.count())
+    whole = F.col("n") <= SAMPLE
+    share = F.when(whole, 1.0).otherwise(F.least(F.lit(1.0), F.col("w") * SAMPLE / F.col("size")))
+    chosen = F.pmod(F.xxhash64(*X), F.lit(1_000_000)) < 1_000_000 * share
+    return met.where(chosen).select("k", F.col("size").alias("n"), *X, (F.col("w") / share).alias("w"), whole.alias("whole"))
 
 
 def fit(points: DataFrame, total: int) -> DataFrame:
-    """(k, mean, root) of each group of points(k, n, h, x...): n rows in the group, h a hash of the row."""
-    sample = points.where(F.pmod("h", F.lit(1_000_000)) < F.lit(1_000_000) * F.least(F.lit(1.0), SAMPLE / F.col("n")))
-    found = sample.groupBy("k", "n", *X).agg(F.count("*").alias("w")).groupBy("k").applyInPandas(_starts, FIT)
-    found = written(found, "starts")
-    done, now = found.where("done"), found.where("not done")
+    """(k, mean, root, settled) of each group of points(k, n, x...): n rows in the group."""
+    found = written(sampled(points).groupBy("k").applyInPandas(_starts, FIT), "starts")
+    done, now = found.where("done").withColumn("settled", F.lit(True)), found.where("not done")
     if not now.isEmpty():
         open_points = points.select("k", *X).join(F.broadcast(now.select("k").distinct()), "k", "left_semi") if now.count() * 10 <= BROADCAST_ROWS else points.select("k", *X)
         for step in range(STEPS):
             before, now = now, concentrated(open_points, now, total)
             if step == 1:  # the least determinant goes on alone
-                now = written(now.groupBy("k").agg(F.min_by(F.struct(*[c.split()[0] for c in FIT.split(", ")][1:]), F.struct("log_det", "start")).alias("f")).select("k", "f.*"), "fits")
+                now = written(now.groupBy("k").agg(F.min_by(F.struct(*FIT_COLUMNS[1:]), F.struct("log_det", "start")).alias("f")).select("k", "f.*"), "fits")
             elif step > 1:
-                moved = now.select("k", "log_det").join(before.select("k", F.col("log_det").alias("was")), "k").agg(F.max(F.col("was") - F.col("log_det"))).first()[0]
-                if moved <= SETTLED:
+                was = before.select("k", F.struct(*FIT_COLUMNS[1:]).alias("was"))
+                both = now.select("k", F.struct(*FIT_COLUMNS[1:]).alias("f")).join(was, "k").withColumn("moved", F.col("was.log_det") - F.col("f.log_det"))
+                kept = both.select("k", F.when(F.col("moved") >= 0, F.col("f")).otherwise(F.col("was")).alias("f"), (F.col("moved") <= SETTLED).alias("settled"))
+                now = written(kept.select("k", "f.*", "settled"), "fits")
+                if now.where("not settled").isEmpty():
                     break
-    raw = done.unionByName(now)
-    clean = _met(points.select("k", *X), raw, total).where(F.col("d2") <= CHI_CLEAN).withColumn("edge", F.lit(False))
-    return _sums(clean).groupBy("k", "start").applyInPandas(_estimator(1.0, consistent(0.975, CHI_CLEAN)), FIT).select("k", "mean", "root")
+        done = done.unionByName(now)
+    clean = _met(points.select("k", *X), done.select(*FIT_COLUMNS), total).where(F.col("d2") <= CHI_CLEAN).withColumn("edge", F.lit(False))
+    own = _sums(clean).groupBy("k", "start").applyInPandas(_estimator(1.0, consistent(0.975, CHI_CLEAN)), FIT).select("k", "mean", "root")
+    # a core without any row within the clean quantile, as a single point's, keeps its estimate as it is
+    return done.select("k", F.col("mean").alias("raw_mean"), F.col("root").alias("raw_root"), "settled").join(own, "k", "left").select("k", F.coalesce("mean", "raw_mean").alias("mean"), F.coalesce("root", "raw_root").alias("root"), "settled")
 
 
 def levels(good: DataFrame) -> DataFrame:
@@ -213,7 +231,7 @@ def with_statistics(rows: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, d2, kept) for each row."""
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, d2, settled, kept) for each row."""
     group = F.to_json(F.struct(F.col(lang_col).alias("lang"), F.col(source_col).alias("source")))
     found = docs.select(F.col(id_col).alias("doc_id"), group.alias("g"), F.to_json(F.struct(F.col(lang_col).alias("lang"))).alias("l"), statistics(docs, text_col).alias("r")).select("doc_id", "g", "l", "r.*")
     rows = written(with_statistics(found).withColumns(dict(zip(X, vector(), strict=True))), "statistics")
@@ -221,12 +239,14 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = levels(good)
     total, small = good.count(), groups.count() * 10 <= BROADCAST_ROWS
     join = (lambda a, b, how="inner": a.join(F.broadcast(b), "g", how)) if small else (lambda a, b, how="inner": keyed_join(a, b, "g", total, how))
-    points = join(good.select("g", F.xxhash64("doc_id", *X).alias("h"), *X), groups.select("g", "n", "keys")).select("h", *X, F.explode("keys").alias("k")).select("h", *X, "k.*")
+    points = join(good.select("g", *X), groups.select("g", "n", "keys")).select(*X, F.explode("keys").alias("k")).select(*X, "k.*")
     fits = written(fit(points, 3 * total), "estimates").withColumnRenamed("k", "use")
-    known = written(groups.join(F.broadcast(fits) if small else fits, "use").select("g", "n", "mean", "root"), "group-estimates")
+    known = written(groups.join(F.broadcast(fits) if small else fits, "use", "left").select("g", "n", "mean", "root", "settled"), "group-estimates")
+    if not known.where("root is null").isEmpty():
+        raise RuntimeError("a group of rows has no estimate")
     out = join(rows, known, "left").withColumn("d2", distance())
     names = [c.split()[0] for c in STATS.split(", ")]
-    return out.select("doc_id", *names, "base_failed", "d2", (~F.col("base_failed") & F.coalesce(F.col("d2") <= CHI_REJECT * SLACK, F.lit(True))).alias("kept"))
+    return out.select("doc_id", *names, "base_failed", "d2", "settled", (~F.col("base_failed") & (F.col("d2") <= CHI_REJECT * SLACK)).alias("kept"))
 
 
 def chi_square(x: float, degrees: int) -> float:

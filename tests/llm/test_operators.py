@@ -578,3 +578,42 @@ def test_pipeline(spark, docs):
                 assert (new["text"] != r["text"]) == bool(spans) and new["n_chars"] == (len(new["text"]) if spans else r["n_chars"])
         own = spark.createDataFrame(list(kept.values()), own.schema)
     assert corpus_pipeline.run(spark, SF).count() == own.count()
+
+
+def test_copies_of_one_row_dont_hide_junk(spark):
+    """60,000 rows equal in all columns beside 300 others and one of symbols: the group keeps an estimate, and the junk goes."""
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(rng.randint(60, 90)))
+    junk = (-1, "#$% &*| <<>> " * 30 + " ".join(f"w{i}" for i in range(60)), "en", "s")
+    for seed in range(3):
+        rows = [(1 + i, text(), "en", "s") for i in range(300)] + [junk]
+        copies = spark.range(60_000).selectExpr("0L AS doc_id", f"'{text()}' AS text", "'en' AS lang", "'s' AS source")
+        out = quality_rules.quality_rules(copies.union(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).repartition(4 + seed))
+        found = out.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("d2").alias("judged"), F.count_if("kept").alias("kept"), F.min("settled").alias("settled")).collect()
+        by = {r["doc_id"]: r for r in found}
+        assert len(by) == 302 and by[0]["n"] == 60_000 == by[0]["kept"] and all(r["judged"] == r["n"] and r["settled"] for r in found) and not by[-1]["kept"]
+
+
+def test_distances_equal_plain_estimate(spark):
+    """d2 and kept of a whole small table against the least determinant and the reweighting written out in numpy."""
+    Q = quality_rules
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' and doc_id % 4 > 0").withColumn("source", F.lit("one"))
+    out = [r for r in Q.quality_rules(rows).collect() if not r["base_failed"]]
+    n = np.array([r["n_words"] for r in out], float)
+    x = np.stack([np.log1p(n), np.log([max(1, r["word_chars"]) for r in out] / n), *(np.sqrt([r[c] for r in out] / n) for c in ("n_symbols", "n_dup_lines", "n_repeat_words"))], 1)
+    assert 200 < len({tuple(v) for v in x}) <= Q.SAMPLE
+    own, weights = np.unique(x, axis=0, return_counts=True)
+    _, mean, cov = Q.least_determinants(own, weights, best=1)
+    inside = x[np.square((x - mean[0]) @ Q.root(cov[0]).T).sum(1) <= Q.CHI_CLEAN]
+    lower = Q.root(Q.consistent(0.975, Q.CHI_CLEAN) * np.cov(inside.T, bias=True))
+    d2 = np.square((x - inside.mean(0)) @ lower.T).sum(1)
+    assert [r["d2"] for r in out] == pytest.approx(d2, rel=1e-6) and [r["kept"] for r in out] == (d2 <= Q.CHI_REJECT * Q.SLACK).tolist()
+
+
+def test_sample_is_never_empty(spark):
+    """Vectors with many rows are always taken, and weights stand for all rows."""
+    points = spark.range(40_000).selectExpr("'a' AS k", "40000L AS n", "CASE WHEN id < 20000 THEN 0D ELSE CAST(id AS DOUBLE) END AS x0", *(f"0D AS x{i}" for i in range(1, 5)))
+    found = quality_rules.sampled(points).collect()
+    assert 100 < len(found) < 500 and sum(r["w"] for r in found if r["x0"] == 0) == 20_000 and sum(r["w"] for r in found) == pytest.approx(40_000, rel=0.2)
+    few = quality_rules.sampled(points.where("x0 < 20300")).collect()
+    assert all(r["whole"] for r in few) and sum(r["w"] for r in few) == 20_300
