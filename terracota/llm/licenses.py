@@ -1,25 +1,25 @@
-"""Licence families of paragraphs: logistic regression over word n-grams, an unknown class, template comparison.
-
-A paragraph is a run of lines that hold a letter or digit, so hard-wrapped texts and comment blocks are read whole; long ones are
-read in windows of WINDOW words that overlap by half. Documents without any word that licences are written with (SOUGHT) have none;
-of the others, each window with such a word is scored.
-
-A bounded sample trains the classifier. Of each family: its templates, VARIANTS of each with a seventh or a third of the words left out, half
-of them backwards, so that words tell without their neighbours, and up to PER_CLASS different corpus windows that pass the family's test. Of the unknown class: up to NEGATIVES different corpus lines, as
-many windows with a sought word that pass no test, not even a looser one, and two thin variants of each template that keep a quarter of its words. Which corpus
-rows are taken is decided by a hash of their words, once each. Terms are the words and word pairs of the licence rows with a cue, a
-word that under RARE of the negatives have: at most TERMS of either, the commonest first (the templates have fewer; what is cut are
-rare words of corpus windows, which the template comparison doesn't need). A fifth of the corpus rows and one variant of
+"""Licence families of paragraphs: logistic regression over word n-grams, a calibrated unknown class, template comparison.
+
+A paragraph is a run of lines that hold a letter or digit, so hard-wrapped texts and comment blocks are read whole. Documents without any word that
+licences are written with (SOUGHT) have none. Of the others, lines and clauses (CLAUSE words of a paragraph, overlapping by half) with such a word are scored by the
+regression. Neighbouring clauses that it takes for a licence make a span, with half a clause on either side, which it scores anew as a whole: the
+family is the one that it puts first, or unknown where the calibrated probability of any family is below LEAST. The template comparison
+only confirms: a span, or line, has the family that the regression chose if it holds one of that family's templates, i.e. SHARE of the words, within
+SPREAD times the template's length, and the version that the family's name has. Lines are confirmed by short templates (statements of
+one line), spans by all; a reworded span by LOOSE_SHARE of one of the longer ones. No other family is ever looked at.
+
+A bounded sample trains the regression. Of each family: its templates, VARIANTS of each with a seventh or a third of the words left out, half
+of them backwards, so that words tell without their neighbours, three beside or between lines of prose, and up to PER_CLASS different corpus lines that pass the family's test, a regular
+expression that serves for nothing else. Of the unknown class: up to NEGATIVES different corpus lines, as
+many lines and clauses with a sought word that pass no test, not even a looser one, and two thin variants of each template that keep a quarter of its words. Which corpus
+rows are taken is decided by a hash of their words, once each. Features are all words and pairs of neighbouring words, hashed to FEATURES places; none is cut
+off. A fifth of the corpus rows and one variant of
 each kind are held out: on two thirds of those, a second regression maps the classifier's margin of licence over unknown to a
 probability; on the last third its calibration error is measured (`calibration_error`: mean distance of probability and share, by
-tenths). A window is unknown below LEAST.
-
-Templates confirm. A window has each family whose test it passes and one of whose templates it holds: SHARE of the words, within
-SPREAD times the template's length. A reworded text that no test knows has the family that the classifier puts first if it passes that
-family's looser test and holds LOOSE_SHARE of a template.
+tenths).
 
 Cases: null and empty texts have no paragraphs; rows that repeat are answered row by row; very long lines and texts are never cut but
-into windows; families that tie come sorted; a corpus without any licence is trained on the templates alone; an empty table gives an
+into clauses; of families with equal scores the one that is listed first counts, and a document's come sorted; a corpus without any licence is trained on the templates alone; an empty table gives an
 empty result; extra columns are ignored, whatever their names.
 """
 
@@ -30,7 +30,7 @@ import re
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +38,7 @@ from pyspark.sql.window import Window
 
 from terracota.llm.common import BROADCAST_ROWS, bounded_broadcast, keyed_join, row_key, written
 
-PER_CLASS, NEGATIVES, VARIANTS, RARE, TERMS, LEAST, SHARE, LOOSE_SHARE, WINDOW, SPREAD = 300, 3000, 4, 0.01, 2000, 0.5, 0.8, 0.6, 200, 1.5
+PER_CLASS, NEGATIVES, VARIANTS, LEAST, SHARE, LOOSE_SHARE, CLAUSE, SPREAD, FEATURES, SHORT = 300, 3000, 4, 0.5, 0.8, 0.6, 40, 1.5, 1 << 14, 20
 
 
 def _gnu(name: str, version: str) -> str:
@@ -86,10 +86,10 @@ FAMILIES = {
     "lgpl-3.0": (_gnu("lesser general ", "3"), _gnu_texts("Lesser General ", "library", "3", "29 June 2007")),
     "mit": (r" mit license | permission is hereby granted free of charge to any person obtaining a copy of this software (?!.* furnished to do so (?!subject ))", ["Released under the MIT License.", f"MIT License: {_GRANT}", f"{_DEAL}, subject to the following conditions:"]),
     "mit-0": (r" mit no attribution | permission is hereby granted free of charge .* furnished to do so (?!subject )", [f"{_DEAL}.", "Released under the MIT No Attribution License."]),
-    "mpl-2.0": (r" mozilla public license (?:version |v )?v?2 ", ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0"]),
+    "mpl-2.0": (r" mozilla public license (?:version |v )?v?2 ", ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "Mozilla Public License Version 2.0"]),
     "unlicense": (r" free and unencumbered software released into the public domain ", ["This is free and unencumbered software released into the public domain."]),
 }
-#: Looser tests for texts that are known by what they grant rather than by a name. Fixed values.
+#: Looser tests: texts that pass one may be reworded licences, so they aren't taken as examples of the unknown class. Fixed values.
 LOOSE = {
     "bsd": r" source (?:and|or) binary ",
     "bsl-1.0": r" person or organi[sz]ation .* software and accompanying documentation ",
@@ -99,6 +99,8 @@ LOOSE = {
     "mit-0": r" (?:sublicense|sell) (?!.* subject to )",
     "unlicense": r" unencumbered .* public domain ",
 }
+#: Families that may be known without their name or version, by what they grant.
+REWORDED = frozenset(LOOSE)
 #: A licence has one of these, or is "by" after cc or before nc, nd or sa.
 SOUGHT = ("licen", "redistribut", "bsd", "permission", "permitted", "attribution", "creative", "cc0", "waive", "unencumbered")
 #: Lines without a letter or digit part the paragraphs.
@@ -123,12 +125,20 @@ def _sought(text: Column, gap: str = r"[^\p{L}\p{N}]+") -> Column:
     return reduce(lambda a, b: a | b, (text.contains(w) for w in SOUGHT)) | text.rlike(f"by{gap}n[cd]|by{gap}sa|cc{gap}by")
 
 
-def _windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, paragraph, tokens) of the windows with a sought word in docs(doc_id, key, text). Half a window is longer than any template, so each template lies in one whole."""
-    blocks = docs.select("doc_id", "key", F.posexplode(F.transform(F.split("text", PARTED), words)).alias("paragraph", "all")).where(F.size("all") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("all") - WINDOW // 2), F.lit(WINDOW // 2))
-    cut = blocks.select("doc_id", "key", "paragraph", F.explode(F.transform(starts, lambda i: F.slice("all", i, F.lit(WINDOW)))).alias("tokens"))
-    return cut.where(_sought(F.concat_ws(" ", "tokens"), " "))
+def _paragraphs(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, paragraph, lines, all) of docs(doc_id, key, text): the words of each paragraph's lines, and all of them."""
+    lines = lambda x: F.filter(F.transform(F.split(x, "\n"), words), lambda w: F.size(w) > 0)
+    blocks = docs.select("doc_id", "key", F.posexplode(F.transform(F.split("text", PARTED), lines)).alias("paragraph", "lines"))
+    return blocks.where(F.size("lines") > 0).withColumn("all", F.flatten("lines"))
+
+
+def _units(paragraphs: DataFrame) -> DataFrame:
+    """(doc_id, key, paragraph, place, tokens) with a sought word: lines (place -1, where a paragraph has several) and clauses (place from 1)."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("all") - CLAUSE // 2), F.lit(CLAUSE // 2))
+    clauses = F.transform(starts, lambda i: F.struct(i.alias("place"), F.slice("all", i, F.lit(CLAUSE)).alias("tokens")))
+    lines = F.when(F.size("lines") > 1, F.transform("lines", lambda w: F.struct(F.lit(-1).alias("place"), w.alias("tokens")))).otherwise(F.slice(clauses, 1, 0))
+    one = F.when(F.size("lines") == 1, F.array(F.struct(F.lit(-1).alias("place"), F.get("lines", F.lit(0)).alias("tokens")))).otherwise(lines)
+    return paragraphs.select("doc_id", "key", "paragraph", F.explode(F.concat(one, clauses)).alias("u")).select("doc_id", "key", "paragraph", "u.*").where(_sought(F.concat_ws(" ", "tokens"), " "))
 
 
 def _label() -> Column:
@@ -154,16 +164,21 @@ def _variants(given: DataFrame) -> DataFrame:
     return spread.select(thin.alias("tokens"), F.when(F.col("seed") <= VARIANTS, F.col("label")).otherwise(0).alias("label"), F.col("seed").isin(VARIANTS, VARIANTS + 2).alias("held"), F.lit(True).alias("made")).where(F.size("tokens") > 0)
 
 
-def _sample(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(tokens, label, held, made) of the bounded training sample, from docs(key, text) and the windows of all candidates."""
-    known = windows.select("tokens").withColumn("label", _label())
+def _sample(docs: DataFrame, units: DataFrame) -> DataFrame:
+    """(tokens, label, held, made) of the bounded training sample, from docs(key, text) and the units of all candidates."""
+    known = written(units.select("tokens", "place").withColumn("label", _label()), "labelled-units")
     other = (F.col("label") == 0) & ~_joined().rlike("|".join(LOOSE.values()))  # what may be a reworded licence teaches neither
     share = NEGATIVES / max(1, docs.count())
     hashed = F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < share * 1_000_000
     # words are cut inside the generator, so that filters above it don't cut them again
     lines = docs.where(hashed).select(F.explode(F.transform(F.split("text", "\n"), words)).alias("tokens")).where(F.size("tokens") > 0).withColumn("label", _label()).where(other)
     given = docs.sparkSession.createDataFrame([(t, i) for i, (_, ts) in enumerate(FAMILIES.values(), 1) for t in ts], "text string, label int").select(words(F.col("text")).alias("tokens"), "label")
-    return _some(known.where("label > 0"), PER_CLASS).unionByName(_some(known.where(other), NEGATIVES)).unionByName(_some(lines, NEGATIVES)).unionByName(_variants(given))
+    prose = written(_some(lines, NEGATIVES), "license-prose")
+    # templates between lines of prose, as a span may have them
+    numbered = lambda df, by: df.withColumn("i", F.row_number().over(Window.orderBy(by)))  # noqa: E731  bounded rows
+    around = numbered(prose.select(F.slice("tokens", 1, CLAUSE // 2).alias("p"), F.xxhash64("tokens").alias("h")), "h").select("i", "p")
+    padded = numbered(given.withColumn("id", F.explode(F.array(*map(F.lit, range(3))))), F.xxhash64("tokens", "id")).join(around, "i").select(F.when(F.col("id") == 0, F.concat("p", "tokens")).when(F.col("id") == 1, F.concat("tokens", "p")).otherwise(F.concat("p", "tokens", "p")).alias("tokens"), "label", F.lit(False).alias("held"), F.lit(True).alias("made"))
+    return _some(known.where("label > 0 and place = -1"), PER_CLASS).unionByName(_some(known.where(other), NEGATIVES)).unionByName(prose).unionByName(_variants(given)).unionByName(padded)
 
 
 class Classifier:
@@ -172,16 +187,7 @@ class Classifier:
     def __init__(self, sample: DataFrame):
         sample = written(sample.coalesce(1), "license-sample").coalesce(1)  # bounded rows: one task for each step of the fit
         train, held = sample.where(~F.col("held")), sample.where("held")
-        none = train.where("label = 0 and not made")
-        negatives = max(1, none.count())
-        common = none.select(F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").count().where(F.col("count") > RARE * negatives).select("t")
-        named = train.where("label > 0").withColumn("pairs", pairs("tokens"))
-        cues = named.select(F.explode(F.array_distinct("tokens")).alias("t")).join(bounded_broadcast(common), "t", "left_anti").groupBy("t").count().orderBy(F.desc("count"), "t").limit(TERMS)
-        self.cues = sorted(r["t"] for r in cues.collect())  # at most TERMS
-        cued = F.array(*map(F.lit, self.cues))
-        two = named.select(F.explode(F.array_distinct("pairs")).alias("t")).where(F.arrays_overlap(F.split("t", " "), cued)).groupBy("t").count().orderBy(F.desc("count"), "t").limit(TERMS)
-        self.terms = CountVectorizerModel.from_vocabulary([*self.cues, *sorted(r["t"] for r in two.collect())], "terms", "features")
-        self.terms.setBinary(True)
+        self.terms = HashingTF(inputCol="terms", outputCol="features", numFeatures=FEATURES, binary=True)
         # licence rows and others weigh the same in all, however many of either there are
         sizes = train.agg(F.count_if(F.col("label") > 0).alias("some"), F.count_if(F.col("label") == 0).alias("none")).first()
         train = train.withColumn("weight", F.when(F.col("label") > 0, F.lit(sizes["none"] / max(1, sizes["some"]))).otherwise(1.0))
@@ -211,39 +217,55 @@ class Classifier:
         return out.withColumn("margin", F.log(F.greatest(1 - none, F.lit(1e-9)) / none)).withColumn("first", first).drop("terms", "features", "raw", "p", "ps", "best")
 
     def scored(self, rows: DataFrame) -> DataFrame:
-        """rows(tokens) with a cue, with the calibrated probability that they have any family, and the likeliest one (first)."""
-        rows = rows.where(F.arrays_overlap("tokens", F.array(*map(F.lit, self.cues))))
+        """rows(tokens) with the calibrated probability that they have any family, and the likeliest one (first)."""
         return self._margins(rows).withColumn("probability", self._probability()).drop("margin")
 
 
-def _holds(template: str, share: float) -> Column:
-    """True if enough of the template's words stand close together in tokens."""
+def _holds(family: str, template: str, share: float) -> Column:
+    """True if enough of the template's words, and the version in the family's name, stand close together in tokens."""
     t = re.findall(r"[^\W_]+", template.lower())
     least, width = math.ceil(share * len(set(t))), math.ceil(SPREAD * len(t))
-    own, starts = F.array(*map(F.lit, sorted(set(t)))), F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("tokens") - width + 1))
-    near = F.exists(starts, lambda i: F.size(F.array_intersect(F.slice("tokens", i, F.lit(width)), own)) >= least)
-    return (F.size(F.array_intersect("tokens", own)) >= least) & near
+    version = [v for v in re.findall(r"\d+", family.partition("-")[2]) if v != "0" and v in t]
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("tokens") - width + 1))
+    own = lambda ws: F.array(*map(F.lit, sorted(set(ws))))
+
+    def inside(i: Column) -> Column:
+        found = F.array_intersect(F.slice("tokens", i, F.lit(width)), own(t))
+        return (F.size(found) >= least) & (F.size(F.array_intersect(found, own(version))) == len(set(version)) if version else F.lit(True))
+
+    return (F.size(F.array_intersect("tokens", own(t))) >= least) & F.exists(starts, inside)
 
 
 def confirmed() -> Column:
-    """Array of the families that the window's tests and templates confirm; first: the classifier's choice."""
-    any_of = lambda ts, share: reduce(lambda a, b: a | b, (_holds(t, share) for t in ts))
-    strict = lambda test, ts: _joined().rlike(test) & any_of(ts, SHARE)
-    # one-line statements are names alone: only texts of some length can be known when reworded
-    loose = lambda k, ts: (F.col("first") == k) & _joined().rlike(LOOSE[k]) & any_of([t for t in ts if len(t.split()) > 8], LOOSE_SHARE)
-    known = F.filter(F.array(*(F.when(strict(test, ts), k) for k, (test, ts) in FAMILIES.items())), lambda k: k.isNotNull())
-    reworded = F.filter(F.array(*(F.when(loose(k, FAMILIES[k][1]), k) for k in LOOSE)), lambda k: k.isNotNull())
-    return F.when(F.size(known) > 0, known).otherwise(reworded)
-
-
-def license_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, paragraph, family, probability) of the windows with a confirmed licence, a row a family; key tells rows with equal ids apart."""
+    """True if a template of the family that the classifier put first confirms it; whole: the row is a span, and not a line."""
+    any_of = lambda tests: reduce(lambda a, b: a | b, tests, F.lit(False))
+    of = lambda k, ts: any_of(_holds(k, t, SHARE) & (F.lit(len(t.split()) <= SHORT) | F.col("whole")) for t in ts) | (F.col("whole") & any_of(_holds(k, t, LOOSE_SHARE) for t in ts if len(t.split()) > SHORT / 2 and k in REWORDED))
+    return F.coalesce(*(F.when(F.col("first") == k, of(k, ts)) for k, (_, ts) in FAMILIES.items()), F.lit(False))
+
+
+def spans(scored: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """(doc_id, key, paragraph, tokens) of the runs of neighbouring clauses in scored(key, paragraph, place, ...) that are licences, with half a clause on either side."""
+    order = Window.partitionBy("key", "paragraph").orderBy("place")  # the clauses of one paragraph
+    places = scored.where("place > 0").select("key", "paragraph", "place").distinct()
+    runs = places.withColumn("gap", F.col("place") - F.lag("place", 1, -CLAUSE * 2).over(order)).withColumn("run", F.sum((F.col("gap") > CLAUSE // 2).cast("int")).over(order))
+    ends = runs.groupBy("key", "paragraph", "run").agg(F.min("place").alias("from"), F.max("place").alias("to"))
+    begin = F.greatest(F.lit(1), F.col("from") - CLAUSE // 2)
+    found = paragraphs.select("doc_id", "key", "paragraph", "all").join(bounded_broadcast(written(ends, "license-runs")), ["key", "paragraph"])
+    return found.select("doc_id", "key", "paragraph", F.slice("all", begin, F.col("to") + CLAUSE + CLAUSE // 2 - begin).alias("tokens"))
+
+
+def license_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classifier: Classifier | None = None) -> DataFrame:
+    """(doc_id, key, paragraph, family, probability) of the lines and spans with a confirmed licence; key tells rows with equal ids apart. classifier: trained on docs unless given."""
     rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     candidates = rows.where(F.exists(F.array(F.lower("text")), lambda x: _sought(x)))
-    windows = written(_windows(candidates), "license-windows")
-    classifier = Classifier(_sample(rows, windows))
-    found = classifier.scored(windows).where(F.col("probability") >= LEAST)
-    return found.select("doc_id", "key", "paragraph", F.explode(confirmed()).alias("family"), "probability")
+    paragraphs = _paragraphs(candidates)
+    units = written(_units(paragraphs), "license-units")
+    classifier = classifier or Classifier(_sample(rows, units))
+    scored = written(classifier.scored(units).where(F.col("probability") >= LEAST), "license-scores")
+    whole = classifier.scored(written(spans(scored, paragraphs), "license-spans")).where(F.col("probability") >= LEAST)
+    columns = ["doc_id", "key", "paragraph", "tokens", "first", "probability", "whole"]
+    found = whole.withColumn("whole", F.lit(True)).select(columns).unionByName(scored.where("place = -1").withColumn("whole", F.lit(False)).select(columns))
+    return found.where(confirmed()).select("doc_id", "key", "paragraph", F.col("first").alias("family"), "probability")
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -518,7 +518,6 @@ def test_licenses_wrapped_and_variants(spark, docs):
     found = {r["doc_id"]: r for r in licenses.license_scan(docs.select("doc_id", "text").union(df)).where("doc_id < 0").collect()}
     assert [found[-i]["families"] for i in range(1, len(given) + 1)] == [k for _, k in given]
     assert found[-3]["n_paragraphs"] == 2 and found[-12]["n_license"] == 2
-    assert max(len(re.findall(r"[^\W_]+", t)) for _, ts in licenses.FAMILIES.values() for t in ts) <= licenses.WINDOW // 2
     assert all(any(w in t.lower() for w in licenses.SOUGHT) for _, ts in licenses.FAMILIES.values() for t in ts)
     assert all(re.search(test, f" {' '.join(re.findall(r'[^\W_]+', t.lower()))} ") for test, ts in licenses.FAMILIES.values() for t in ts)
 
@@ -549,15 +548,64 @@ def test_license_sample_and_calibration(spark, docs):
     line = "Released under the MIT License."
     many = spark.range(4000).selectExpr("-1 - id AS doc_id", f"concat('word', id, ' of prose\n\n{line}') AS text")
     rows = docs.select("doc_id", "text").union(many).select("doc_id", F.col("doc_id").cast("string").alias("key"), "text")
-    windows = licenses._windows(rows.where(licenses._sought(F.lower("text"))))
-    sample = licenses._sample(rows, windows).cache()
+    units = licenses._units(licenses._paragraphs(rows.where(licenses._sought(F.lower("text")))))
+    sample = licenses._sample(rows, units).cache()
     names = list(licenses.FAMILIES)
     counts = {names[r["label"] - 1]: r["count"] for r in sample.where("label > 0").groupBy("label").count().collect()}
-    own = len(licenses.FAMILIES["mit"][1]) * (licenses.VARIANTS + 1)
-    assert set(counts) == set(names) and own <= counts["mit"] <= own + 20 and all(counts[k] >= (licenses.VARIANTS + 1) * len(licenses.FAMILIES[k][1]) - 2 for k in names)
+    own = len(licenses.FAMILIES["mit"][1]) * (licenses.VARIANTS + 4)
+    assert set(counts) == set(names) and own <= counts["mit"] <= own + 20 and all(counts[k] >= (licenses.VARIANTS + 4) * len(licenses.FAMILIES[k][1]) - 2 for k in names)
     assert licenses.Classifier(sample).calibration_error < 0.05
 
 
+@pytest.fixture(scope="module")
+def license_model(spark, docs):
+    """(paragraphs, units, sample, classifier) of the smallest tables."""
+    rows = docs.select("doc_id", licenses.row_key("doc_id", "text").alias("key"), "text")
+    paragraphs = licenses._paragraphs(rows.where(licenses._sought(F.lower("text"))))
+    units = licenses.written(licenses._units(paragraphs), "units")
+    sample = licenses.written(licenses._sample(rows, units), "sample")
+    return paragraphs, units, sample, licenses.Classifier(sample)
+
+
+def test_license_family_is_the_models_choice(spark, docs, license_model):
+    """A model trained on labels moved to the next family changes the answers: no template confirms what it says, and nothing else is asked."""
+    _, _, sample, model = license_model
+    given = [(-1, "Released under the MIT License."), (-2, "Licensed under CC BY-NC 4.0."), (-3, WRAPPED["gpl-3.0"]), (-4, "prose\n" + WRAPPED["mit"])]
+    df = spark.createDataFrame(given, "doc_id long, text string")
+    found = lambda c: {r["doc_id"]: r["family"] for r in licenses.license_paragraphs(df, classifier=c).collect()}
+    assert found(model) == {-1: "mit", -2: "cc-by-nc", -3: "gpl-3.0", -4: "mit"}
+    n = len(licenses.FAMILIES)
+    moved = licenses.Classifier(sample.withColumn("label", F.when(F.col("label") > 0, (F.col("label") % n + 1).cast("int")).otherwise(0)))
+    assert found(moved) == {}
+    # where the template would confirm, a model that calls all of it unknown finds nothing
+    deaf = licenses.Classifier(sample)
+    deaf.offset -= 1000.0
+    assert found(deaf) == {}
+
+
+def test_license_scores_equal_plain_ones(license_model):
+    _, units, _, model = license_model
+    rows = model.scored(units.orderBy("key", "paragraph", "place", F.xxhash64("tokens")).limit(60)).collect()
+    weights, offsets = model.model.coefficientMatrix.toArray(), model.model.interceptVector.toArray()
+    for r in rows:
+        t = r["tokens"]
+        x = np.zeros(licenses.FEATURES)
+        x[[model.terms.indexOf(w) for w in t + [" ".join(p) for p in zip(t, t[1:], strict=False)]]] = 1
+        z = weights @ x + offsets
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        none = max(p[0], 1e-9)
+        margin = np.log(max(1 - none, 1e-9) / none)
+        assert r["probability"] == pytest.approx(1 / (1 + np.exp(-(model.slope * margin + model.offset))), abs=1e-6)
+        assert r["first"] == list(licenses.FAMILIES)[int(p[1:].argmax())]
+
+
+def test_license_words_are_sought(spark):
+    """No template, and none of the reworded texts of these tests, is lost before it is scored."""
+    texts = [t for _, ts in licenses.FAMILIES.values() for t in ts] + list(WRAPPED.values())
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.where(~licenses._sought(F.lower("t"))).count() == 0
+
+
 def test_licenses_odd_inputs(odd):
     for df in (odd, odd.limit(0)):
         assert len(licenses.license_scan(df).collect()) == df.count()
