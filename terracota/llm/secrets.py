@@ -10,6 +10,9 @@ full length from a walk forward with the rule's own, for the few texts that have
 and don't overlap within a rule, which equals the regular expressions' own greedy matching for rules in
 which no match can lie inside another's fixed prefix, as here. Offsets are code points, ends exclusive.
 
+Of rules with a long body the search automaton holds only the fixed beginning, so the beginnings of all rules share one small trie-like machine: with
+the bodies in it, each set of bodies that may run at once would be a state of its own. The body is read by the rule's own automaton where a beginning was found.
+
 Cases: null and empty texts have no secrets; the separator between texts is a byte that UTF-8 never has; a very long text is read in
 blocks of BLOCK bytes, each from the state that the one before it ended in, so the pass needs some bytes a byte of a block; rows that
 repeat are answered row by row; spans of different rules that tie in their start come in the rules' order; an empty table gives an
@@ -31,15 +34,17 @@ from pyspark.sql import functions as F
 from terracota.llm.common import by_text, shared
 
 LANES, SEPARATOR, BLOCK = 4096, 0xFF, 1 << 22
+ALNUM = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 
 
 @dataclass(frozen=True)
 class Rule:
     kind: str
     pattern: str
-    least: int = 0  # bytes that the part after prefix must have
+    least: int = 1  # bytes that the part after prefix must have
     prefix: str = ""  # cut off before least is applied
     whole: str = ""  # what a match goes on to, if it is more than pattern, which begins it; the search needs pattern alone
+    alone: bool = False  # no letter or digit before it
 
 
 #: A private key: its header, and all up to its END line if no other five dashes come before that; else (a key whose end is
@@ -50,14 +55,70 @@ _BREAK = r"(?:\x20|\t|\r|\n|\\r|\\n)[\x20\t\r\n>#*|]*"
 HEADER = rf"-----BEGIN {_KEY}"
 WHOLE = rf"{HEADER}(?:(?:[\x00-,.-\xFE]|-{{1,4}}[\x00-,.-\xFE])*-----END {_KEY}|(?:(?:{_BREAK})?[A-Za-z0-9+/=]{{16,}})+(?:{_BREAK}[A-Za-z0-9+/]{{1,15}}={{1,2}})?)?"
 
+
+
+_ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]"""
+
+
+def token(kind: str, prefix: str, body: str, first: str = "") -> Rule:
+    """A published token format: a fixed prefix, then body. first: how a body begins, for the search; by default any letter, digit, - or _."""
+    return Rule(kind, prefix + (first or r"[A-Za-z0-9_-]"), whole=prefix + body, alone=True)
+
+
+_URL, _CREDENTIALS = r"(?:https?|ftp|postgres|postgresql|mysql|mongodb|mongodb\+srv|rediss?|amqps?|smtps?|ldaps?|mssql)://", r"[A-Za-z0-9._%+~-]+:[!#-&(-.0-9;=?A-~]+@[A-Za-z0-9]"
+_AWS = r"""[aA][wW][sS]_[sS][eE][cC][rR][eE][tT]_[aA][cC][cC][eE][sS][sS]_[kK][eE][yY]["']?\x20*[:=]?\x20*["']?"""
+
+#: Token formats as their services publish them. Fixed values.
+TOKENS = (
+    token("aws", "ASIA", r"[A-Z0-9]{16,}", "[A-Z0-9]"),
+    token("slack", "xox[abeoprs]-", r"[A-Za-z0-9-]{10,}"),
+    token("slack", "xapp-[0-9]-", r"[A-Za-z0-9-]{20,}"),
+    token("slack", "hooks[.]slack[.]com/services/", r"T[A-Z0-9]{6,}/B[A-Z0-9]{6,}/[A-Za-z0-9]{16,}", "T"),
+    token("stripe", "[rs]k_(?:live|test)_", r"[A-Za-z0-9]{16,}"),
+    token("stripe", "whsec_", r"[A-Za-z0-9+/]{32,}={0,2}", "[A-Za-z0-9+/]"),
+    token("google", "AIza", r"[A-Za-z0-9_-]{35,}"),
+    token("google", "GOCSPX-", r"[A-Za-z0-9_-]{28,}"),
+    token("google", "ya29[.]", r"[A-Za-z0-9_-]{20,}"),
+    token("jwt", "eyJ", r"[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}"),
+    token("gitlab", "gl(?:pat|ptt|dt|rt|cbt|soat)-", r"[A-Za-z0-9_-]{20,}"),
+    token("npm", "npm_", r"[A-Za-z0-9]{36,}"),
+    token("pypi", "pypi-AgE", r"[A-Za-z0-9_-]{50,}"),
+    token("rubygems", "rubygems_", r"[a-f0-9]{48,}"),
+    token("docker", "dckr_pat_", r"[A-Za-z0-9_-]{27,}"),
+    token("digitalocean", "do[opr]_v1_", r"[a-f0-9]{64,}"),
+    token("sendgrid", "SG[.]", r"[A-Za-z0-9_-]{16,}[.][A-Za-z0-9_-]{32,}"),
+    token("huggingface", "hf_", r"[A-Za-z0-9]{34,}"),
+    token("openai", "sk-(?:proj-|svcacct-)?", r"[A-Za-z0-9_-]{32,}"),
+    token("shopify", "shp(?:at|ca|pa|ss)_", r"[a-fA-F0-9]{32,}"),
+    token("square", "sq0(?:atp|csp|idp)-", r"[A-Za-z0-9_-]{22,}"),
+    token("twilio", "SK", r"[0-9a-f]{32,}", "[0-9a-f]"),
+    token("mailgun", "key-", r"[0-9a-f]{32,}", "[0-9a-f]"),
+    token("telegram", "[0-9]{8,10}:AA", r"[A-Za-z0-9_-]{33,}"),
+    token("facebook", "EAACEdEose0cBA", r"[A-Za-z0-9]{10,}"),
+    token("age", "AGE-SECRET-KEY-1", r"[A-Z0-9]{58,}"),
+    token("atlassian", "ATATT3", r"[A-Za-z0-9_=-]{60,}", "[A-Za-z0-9_=-]"),
+    token("linear", "lin_api_", r"[A-Za-z0-9]{40,}"),
+    token("newrelic", "NRAK-", r"[A-Z0-9]{27,}"),
+    token("grafana", "glsa_", r"[A-Za-z0-9]{32,}_[a-fA-F0-9]{8,}"),
+    token("vault", "hv[bs][.]", r"[A-Za-z0-9_-]{24,}"),
+    token("databricks", "dapi", r"[a-f0-9]{32,}", "[a-f0-9]"),
+    token("pulumi", "pul-", r"[a-f0-9]{40,}", "[a-f0-9]"),
+    token("postman", "PMAK-", r"[a-f0-9]{24,}-[a-f0-9]{34,}"),
+    token("figma", "figd_", r"[A-Za-z0-9_-]{40,}"),
+    token("azure", "AccountKey=", r"[A-Za-z0-9+/]{80,}={0,2}", "[A-Za-z0-9+/]"),
+    Rule("aws", _AWS + "[A-Za-z0-9+/]", whole=_AWS + "[A-Za-z0-9+/]{40,}={0,2}"),
+    Rule("url", f"{_URL}[A-Za-z0-9._%+~-]", whole=f"{_URL}{_CREDENTIALS}[A-Za-z0-9.-]*", alone=True),
+)
+
 #: The three base kinds of the contract first; those after it are the method's own. Fixed values.
 RULES = (
-    Rule("assign", r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", 6, r"""[A-Za-z_]+["']?\x20*[:=]\x20*["']?"""),
-    Rule("access", r"AKIA[A-Z0-9]+", 20),
-    Rule("hex", r"[0-9a-f]{24,}", 24),
+    Rule("assign", _ASSIGN, 6, r"""[A-Za-z_]+["']?\x20*[:=]\x20*["']?""", _ASSIGN + "*"),
+    Rule("access", "AKIA[A-Z0-9]", 20, whole="AKIA[A-Z0-9]+"),
+    Rule("hex", "[0-9a-f]{24}", whole="[0-9a-f]{24,}"),
     Rule("pem", HEADER, whole=WHOLE),
-    Rule("github", r"gh[oprsu]_[A-Za-z0-9]+", 40),
-    Rule("github", r"github_pat_[A-Za-z0-9_]+", 93),
+    Rule("github", "gh[oprsu]_[A-Za-z0-9]", 40, whole="gh[oprsu]_[A-Za-z0-9]+"),
+    Rule("github", "github_pat_[A-Za-z0-9_]", 93, whole="github_pat_[A-Za-z0-9_]+"),
+    *TOKENS,
 )
 
 
@@ -129,19 +190,28 @@ class Automaton:
         return frozenset(seen)
 
     def _subsets(self, ends: dict, symbols: list[int], searching: bool) -> None:
-        start = self._closure({0})
+        """States are sets of nodes, as bits of a whole number; each node's steps are worked out once."""
+        bits = lambda nodes: sum(1 << n for n in nodes)
+        start = bits(self._closure({0}))
+        steps: dict[int, list[tuple[list[int], int]]] = {}
+        for n, out in enumerate(self.edges):
+            if own := [([c for c, b in enumerate(symbols) if b in on], bits(self._closure({to}))) for to, on in out if on is not None]:
+                steps[n] = own
+        moving, final = bits(steps), bits(ends)
         numbers, todo, self.next, self.accept = {start: 0}, [start], [], []
-        while todo:
-            state = todo.pop(0)
-            self.accept.append(frozenset(r for n in state for r in ends.get(n, ())))
-            row = []
-            for b in symbols:
-                to = self._closure({x for n in state for x, on in self.edges[n] if on and b in on} | ({0} if searching else set()))
+        nodes = lambda m: [i for i, c in enumerate(reversed(bin(m)[2:])) if c == "1"]
+        for state in todo:  # grows
+            self.accept.append(frozenset(r for n in nodes(state & final) for r in ends[n]))
+            row = [start if searching else 0] * len(symbols)
+            for n in nodes(state & moving):
+                for classes, to in steps[n]:
+                    for c in classes:
+                        row[c] |= to
+            for to in row:
                 if to not in numbers:
                     numbers[to] = len(numbers)
                     todo.append(to)
-                row.append(numbers[to])
-            self.next.append(row)
+            self.next.append([numbers[to] for to in row])
 
     def _minimise(self) -> None:
         """Splits the states by what they accept, then by the groups that their steps lead to, until no group splits."""
@@ -225,7 +295,7 @@ class Scanner:
                     if back.accepts[state]:
                         start = at
                     at -= 1
-                if start is None:
+                if start is None or rule.alone and start and data[start - 1] in ALNUM:
                     continue
                 state, at, done = 0, start, start
                 while at < len(data) and (state := int(ahead.step[state, ahead.of[data[at]]])) != ahead.dead:
