@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import islice
+from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
@@ -46,6 +46,36 @@ def split_words(text: str | None) -> Iterator[str]:
     return (x for w in found for x in ((w,) if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split()))
 
 
+def word_places(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the words of split_words, in code points of the text as it is."""
+    low = text.lower()
+    # a letter's lower case may have more code points than the letter
+    ends = np.cumsum([len(c.lower()) for c in text]) if len(low) != len(text) else None
+    for m in WORD.finditer(low):
+        at = m.start()
+        for alpha, run in groupby(m[0], str.isalpha):
+            n = sum(1 for _ in run)
+            if alpha:
+                yield (at, at + n) if ends is None else (int(np.searchsorted(ends, at, "right")), int(np.searchsorted(ends, at + n - 1, "right")) + 1)
+            at += n
+
+
+def places(text: str, states: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, end, state) of the runs of words with one state; states: one a word."""
+    cuts = np.flatnonzero(states[1:] != states[:-1]) + 1
+    if not len(cuts):  # from the first letter to the last
+        first = next(i for i, c in enumerate(text) if c.lower()[0].isalpha())
+        last = next(i for i in range(len(text), 0, -1) if any(map(str.isalpha, text[i - 1].lower())))
+        return [(first, last, int(states[0]))]
+    begins, out = {0, *cuts.tolist()}, []
+    for i, (s, e) in enumerate(word_places(text)):
+        if i in begins:
+            out.append((s, e, int(states[i])))
+        else:
+            out[-1] = (out[-1][0], e, out[-1][2])
+    return out
+
+
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word number, n-gram bucket) of each n-gram of each word with its ends marked, and each word's script."""
     points = np.frombuffer(("\n" + "\n".join(words) + "\n").encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
@@ -191,21 +221,22 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> dict:
         if not self.langs:
-            return {"lang_pred": ["und"] * len(texts), "score": [0.0] * len(texts), "spans": [0] * len(texts)}
+            return {"lang_pred": ["und"] * len(texts), "score": [0.0] * len(texts), "spans": [0] * len(texts), "languages": [""] * len(texts)}
         ids, states = self._path(texts)
-        out, at = {"lang_pred": [], "score": [], "spans": []}, 0
-        for words in ids:
+        out, at = {"lang_pred": [], "score": [], "spans": [], "languages": []}, 0
+        for text, words in zip(texts, ids, strict=True):
             own = states[at : at + len(words)]
             at += len(words)
             if not len(words):
-                best, score, spans = "und", 0.0, 0
+                best, score, found = "und", 0.0, []
             else:
                 letters = np.bincount(own, weights=self.sizes[words], minlength=len(self.langs))
                 i = int(letters.argmax())
                 total = sum(self.rows[words[x : x + CHUNK]].sum(0, dtype=np.float64) for x in range(0, len(words), CHUNK)) / np.sqrt(len(words))
                 sure = 1 / np.exp(np.minimum(total - total[i], 50)).sum()
-                best, score, spans = self.langs[i], float(letters[i] / letters.sum() * sure), 1 + int((own[1:] != own[:-1]).sum())
-            for key, v in (("lang_pred", best), ("score", score), ("spans", spans)):
+                best, score, found = self.langs[i], float(letters[i] / letters.sum() * sure), places(text, own)
+            languages = ",".join(f"{s}:{e}:{self.langs[k]}" for s, e, k in found)
+            for key, v in (("lang_pred", best), ("score", score), ("spans", len(found)), ("languages", languages)):
                 out[key].append(v)
         return out
 
@@ -242,12 +273,12 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
-    """Struct column (lang_pred, score, spans). The model, bounded by BUCKETS and the languages, is broadcast."""
+    """Struct column (lang_pred, score, spans, languages): languages has the spans as start:end:language by commas, in code points, ends exclusive; spans counts them. The model, bounded by BUCKETS and the languages, is broadcast."""
     own = shared(docs.sparkSession, model)
-    return by_text(docs.sparkSession, lambda: own().predict, "lang_pred string, score double, spans long")(F.col(text_col))
+    return by_text(docs.sparkSession, lambda: own().predict, "lang_pred string, score double, spans long, languages string")(F.col(text_col))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, spans) for each row."""
+    """(doc_id, held_out, lang_pred, score, spans, languages) for each row."""
     found = predicted(docs, learn(docs, id_col, text_col, lang_col, sample), text_col)
     return docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), found.alias("r")).select("doc_id", "held_out", "r.*")

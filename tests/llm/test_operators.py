@@ -537,6 +537,32 @@ for name, query in e.queries().items():
     assert out.stdout.count("ran ") == 11, out.stderr[-3000:]
 
 
+def test_language_spans_and_scores(spark, docs):
+    """Spans cover their words in the text as it is, and equal the plain path's runs; the score is written out."""
+    known = {r["lang"]: r["text"] for r in docs.where("lang is not null and length(text) > 400").orderBy("doc_id").collect()}
+    model = langid.learn(docs)
+    given = [" ".join(known[k][:400] for k in sorted(known)), "İİ " + known["de"][:300] + " … " + known["en"][:300], *(known.values()), "§ 12", "", None, "  x1y²z  "]
+    out = model.predict(given)
+    several = 0
+    for text, spans, best, score in zip(given, out["languages"], out["lang_pred"], out["score"], strict=True):
+        words = list(langid.split_words(text))
+        if not words:
+            assert (spans, best, score) == ("", "und", 0.0)
+            continue
+        where = list(langid.word_places(text))
+        assert ["".join(filter(str.isalpha, text[s:e].lower())) for s, e in where] == words
+        rows = model.scores(words)
+        path = list(plain_path(rows, langid.SWITCH))
+        runs = [list(g) for _, g in itertools.groupby(range(len(words)), key=path.__getitem__)]
+        assert spans == ",".join(f"{where[g[0]][0]}:{where[g[-1]][1]}:{model.langs[path[g[0]]]}" for g in runs)
+        several += len(runs) > 1
+        letters = [sum(len(w) for w, k in zip(words, path, strict=True) if k == i) for i in range(len(model.langs))]
+        i = int(np.argmax(letters))
+        total = rows.sum(0, dtype=np.float64) / np.sqrt(len(words))
+        assert best == model.langs[i] and score == pytest.approx(letters[i] / sum(letters) / np.exp(np.minimum(total - total[i], 50)).sum(), rel=1e-4)
+    assert several >= 2
+
+
 def test_licenses(docs, texts):
     marks = {"apache-2.0": "apache license", "cc-by-nc": "cc by-nc", "gpl-3.0": "gnu general", "mit": "mit license"}
     for r in licenses.license_scan(docs).collect():
