@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terracota.llm import base_sql, bpe, decontaminate, langid, licenses, pii, quality_fm, quality_rules, queries, secrets, simhash, stats, url_model
+from terracota.llm import base_sql, bpe, decontaminate, divergence, hard_negatives, langid, licenses, minhash, pii, quality_fm, quality_rules, queries, secrets, simhash, stats, url_model
 from terracota.operators import joins
 
 SF = "/root/testdata/sf0.001"
@@ -48,7 +48,7 @@ def test_odd_inputs(spark, odd):
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (None, None, None)], "doc_id long, quality int, toxic int")
     for df in (odd, odd.limit(0)):
         n = df.count()
-        for out in (quality_rules.quality_rules(df), decontaminate.contamination(df, bench), decontaminate.contamination(df, bench.limit(0)), secrets.find_secrets(df), quality_fm.quality_scores(df, labels), pii.find_personal_data(df), bpe.round_trip(df, PATH, P.PATTERN), langid.identify(df), simhash.near_duplicates(df)):
+        for out in (quality_rules.quality_rules(df), decontaminate.contamination(df, bench), decontaminate.contamination(df, bench.limit(0)), secrets.find_secrets(df), quality_fm.quality_scores(df, labels), pii.find_personal_data(df), bpe.round_trip(df, PATH, P.PATTERN), langid.identify(df), simhash.near_duplicates(df), minhash.near_duplicates(df)):
             assert len(out.collect()) == n
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, df, SF)
@@ -534,7 +534,7 @@ for name, query in e.queries().items():
 """
     env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
-    assert out.stdout.count("ran ") == 11, out.stderr[-3000:]
+    assert out.stdout.count("ran ") == 14, out.stderr[-3000:]
 
 
 def test_language_spans_and_scores(spark, docs):
