@@ -5,7 +5,7 @@ licences are written with (SOUGHT) have none. Of the others, lines and clauses (
 regression. Neighbouring clauses that it takes for a licence make a span, with half a clause on either side, which it scores anew as a whole: the
 family is the one that it puts first, or unknown where the calibrated probability of any family is below LEAST. The template comparison
 only confirms: a span, or line, has the family that the regression chose if it holds one of that family's templates, i.e. SHARE of the words, within
-SPREAD times the template's length, and the version that the family's name has. Lines are confirmed by short templates (statements of
+SPREAD times the template's length, the version that the family's name has and the words by which near families differ (TELLING). Lines are confirmed by short templates (statements of
 one line), spans by all; a reworded span by LOOSE_SHARE of one of the longer ones. No other family is ever looked at.
 
 A bounded sample trains the regression. Of each family: its templates, VARIANTS of each with a seventh or a third of the words left out, half
@@ -99,6 +99,8 @@ LOOSE = {
     "mit-0": r" (?:sublicense|sell) (?!.* subject to )",
     "unlicense": r" unencumbered .* public domain ",
 }
+#: Words by which near families differ: a template that has one confirms no text without it. Fixed values.
+TELLING = frozenset("affero lesser nc nd sa noncommercial noderivatives sharealike".split())
 #: Families that may be known without their name or version, by what they grant.
 REWORDED = frozenset(LOOSE)
 #: A licence has one of these, or is "by" after cc or before nc, nd or sa.
@@ -222,16 +224,16 @@ class Classifier:
 
 
 def _holds(family: str, template: str, share: float) -> Column:
-    """True if enough of the template's words, and the version in the family's name, stand close together in tokens."""
+    """True if enough of the template's words, among them the version in the family's name and all TELLING ones, stand close together in tokens."""
     t = re.findall(r"[^\W_]+", template.lower())
     least, width = math.ceil(share * len(set(t))), math.ceil(SPREAD * len(t))
-    version = [v for v in re.findall(r"\d+", family.partition("-")[2]) if v != "0" and v in t]
+    told = [v for v in re.findall(r"\d+", family.partition("-")[2]) if v != "0" and v in t] + [w for w in t if w in TELLING]
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("tokens") - width + 1))
     own = lambda ws: F.array(*map(F.lit, sorted(set(ws))))
 
     def inside(i: Column) -> Column:
         found = F.array_intersect(F.slice("tokens", i, F.lit(width)), own(t))
-        return (F.size(found) >= least) & (F.size(F.array_intersect(found, own(version))) == len(set(version)) if version else F.lit(True))
+        return (F.size(found) >= least) & (F.size(F.array_intersect(found, own(told))) == len(set(told)) if told else F.lit(True))
 
     return (F.size(F.array_intersect("tokens", own(t))) >= least) & F.exists(starts, inside)
 
