@@ -40,6 +40,8 @@ def with_totals(pages: DataFrame, of: DataFrame) -> DataFrame:
     Part of the job's own plan: first pages are picked and read by executors, and no total passes through the driver.
     """
     open_ = first_page(of.where("total is null"))
+    if open_.isEmpty():  # no page need be looked at
+        return of.where("total is not null")
     found = count_pages(one_page_each(pages, open_.select("url").distinct()))
     return of.where("total is not null").unionByName(open_.drop("total").join(found, "url", "left").select("search", "template", "total"))
 
