@@ -652,7 +652,7 @@ def license_model(spark, docs):
 
 
 def test_license_family_is_the_models_choice(spark, docs, license_model):
-    """A model trained on labels moved to the next family changes the answers: templates hardly ever confirm what it says, and nothing else is asked."""
+    """A model trained on labels moved to the next family changes every answer: nothing else is asked."""
     _, _, sample, model = license_model
     given = [(-1, "Released under the MIT License."), (-2, "Licensed under CC BY-NC 4.0."), (-3, WRAPPED["gpl-3.0"]), (-4, "prose\n" + WRAPPED["mit"])]
     df = spark.createDataFrame(given, "doc_id long, text string")
@@ -660,7 +660,7 @@ def test_license_family_is_the_models_choice(spark, docs, license_model):
     assert found(model) == {-1: "mit", -2: "cc-by-nc", -3: "gpl-3.0", -4: "mit"}
     n = len(licenses.FAMILIES)
     moved = licenses.Classifier(sample.withColumn("label", F.when(F.col("label") > 0, (F.col("label") % n + 1).cast("int")).otherwise(0)))
-    assert found(moved) in ({}, {-4: "mit-0"})  # all words of the one grant are in the other
+    assert all(found(moved).get(i) != k for i, k in found(model).items())
     # where the template would confirm, a model that calls all of it unknown finds nothing
     deaf = licenses.Classifier(sample)
     deaf.offset -= 1000.0
