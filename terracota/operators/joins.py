@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terracota.sources.shared import written
+
 #: Rows that a broadcast side may have: sides are keys, numbers and short texts, of at most some hundred bytes a row.
 BROADCAST_ROWS = 200_000
 #: A key of over 1 / HOT of all rows is hot; there are fewer than HOT of them.
@@ -26,18 +28,22 @@ def keyed_join(rows: DataFrame, table: DataFrame, key: str, total: int, how: str
     return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
-def salted_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", per_copy: int = 10_000) -> DataFrame:
-    """rows joined (inner or left) with table(key, n, ...), a row a key, whose rows may be wide; n: how many rows have that key.
+def salted_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", per_copy: int = 10_000, sizes: DataFrame | None = None) -> DataFrame:
+    """rows joined (inner or left) with table(key, ...), a row a key, whose rows may be wide; how many of rows have a key is in its column n, or in sizes(key, n).
 
     A row of table is copied for each per_copy of its rows, which are dealt to the copies by their hash; nothing wide is broadcast,
-    and no task gets more than about per_copy rows of a key, unless these rows are equal.
+    and no task gets more than about per_copy rows of a key, unless these rows are equal. Without such keys it is a plain join. With sizes, table moves once.
     """
-    copies, salt, used = (_unused(c, rows, table) for c in ("copies", "salt", "n_used"))
-    sized = table.withColumnRenamed("n", used).withColumn(copies, F.ceil(F.greatest(F.lit(1), used) / per_copy).cast("int"))
-    several = bounded_broadcast(sized.where(F.col(copies) > 1).select(key, copies))
+    if sizes is None:
+        sizes, table = table.select(key, "n"), table.drop("n")
+    copies, salt = (_unused(c, rows, table) for c in ("copies", "salt"))
+    several = written(sizes.where(F.col("n") > per_copy).select(key, F.ceil(F.col("n") / per_copy).cast("int").alias(copies)), "hot-keys")
+    if not (n := several.count()):
+        return rows.join(table, key, how)
+    several = bounded_broadcast(several, n)
     dealt = F.pmod(F.xxhash64(*rows.columns), F.coalesce(copies, F.lit(1))).cast("int")
     ours = rows.join(several, key, "left").withColumn(salt, dealt).drop(copies)
-    theirs = sized.withColumn(salt, F.explode(F.sequence(F.lit(0), F.col(copies) - 1))).drop(copies, used)
+    theirs = table.join(several, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(copies, F.lit(1)) - 1))).drop(copies)
     return ours.join(theirs, [key, salt], how).drop(salt)
 
 

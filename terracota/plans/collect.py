@@ -88,7 +88,7 @@ def adverts_of(pages: DataFrame, urls: DataFrame, fields: list[str] | None = Non
 def with_links(links: DataFrame, adverts: DataFrame) -> DataFrame:
     """Raw listings with search, page and pos: a row for each of links(search, page, pos, link), with its advert. A link without a stored page has its url alone."""
     counts = links.groupBy(F.col("link").alias("url")).agg(F.count("*").alias("n"))
-    out = salted_join(links.withColumnRenamed("link", "url"), adverts.join(counts, "url"), "url", "left")
+    out = salted_join(links.withColumnRenamed("link", "url"), adverts, "url", "left", sizes=counts)
     empty = F.array().cast("array<string>")
     return out.withColumns({"extract_status": F.coalesce("extract_status", F.lit("no_page")), "caracteristicas": F.coalesce("caracteristicas", empty), "fotos": F.coalesce("fotos", empty)})
 

@@ -28,8 +28,8 @@ def new_version() -> str:
 
 
 def commit(spark: SparkSession, path: str, key: str, version: str, **counts: int) -> None:
-    line = spark.createDataFrame([(json.dumps({"key": key, "version": version, "counts": counts}),)], "value string")
-    line.coalesce(1).write.mode("append").text(f"{path}/commits")
+    line = spark.range(0, 1, 1, 1).select(F.lit(json.dumps({"key": key, "version": version, "counts": counts})).alias("value"))
+    line.write.mode("append").text(f"{path}/commits")
 
 
 def commits(spark: SparkSession, path: str) -> DataFrame:

@@ -44,7 +44,8 @@ def _parsed(df: DataFrame) -> DataFrame:
     """df with r, the record in its text, and reason, why it is no listing (null: it is one)."""
     record = F.when(F.ltrim("text").startswith("{"), F.from_json("text", PARSED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}))
     reason = F.when(F.col("r").isNull() | F.col(f"r.{BROKEN}").isNotNull(), "broken").when(F.col("r.url").isNull(), "no url")
-    return df.withColumn("r", record).withColumn("reason", reason)
+    # inside a generator a record is parsed once, however many filters and columns above read it
+    return df.select("*", F.explode(F.array(record)).alias("r")).withColumn("reason", reason)
 
 
 def _dated(df: DataFrame) -> DataFrame:

@@ -78,6 +78,14 @@ def test_quarantine_of_lines(spark, tmp_path):
     assert [(r["url"], str(r["snapshot_date"])) for r in snapshots.read_again(mended).collect()] == [("cut", "2025-01-01")] * 2
 
 
+def test_records_are_parsed_once(spark, tmp_path):
+    """One parse a record, whatever is read of it and filtered by."""
+    snapshots.write_snapshot(spark.createDataFrame([("u1", "a"), ("u2", None)], "url string, titulo string"), str(tmp_path), "2025-01-01")
+    found = snapshots.read_snapshots(spark, str(tmp_path)).where("titulo is not null").select("url", "titulo", "fotos")
+    assert [r["url"] for r in found.collect()] == ["u1"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
 def test_quarantine_of_arrays(spark, tmp_path):
     day = lambda d, t: (tmp_path / f"dados_{d}.json").write_text(t)
     day("2025-01-01", json.dumps([listing(url="u1"), {"titulo": "x"}, None, listing(url="u2", fotos=["a"]), {"url": "v", "fotos": 1}], indent=2))
@@ -161,6 +169,12 @@ def test_salted_join(spark):
         assert out.count() == n == out.select("id").distinct().count() and sorted(out.columns) == ["id", "key", "wide"]
         assert out.where("wide <> concat(key, '!')").count() == 0
     assert joins.salted_join(rows, table, "key", "left", 100).where("wide is null").select("key").distinct().collect() == [("k1",)]
+    # sizes beside the table, with hot keys and without
+    sizes, wide = rows.groupBy("key").agg(F.count("*").alias("n")), table.drop("n")
+    for per_copy in (100, 10_000):
+        out = joins.salted_join(rows, wide, "key", "left", per_copy, sizes)
+        assert out.columns == ["key", "id", "wide"] and out.count() == 5000 == out.select("id").distinct().count()
+        assert out.where("wide is null").select("key").distinct().collect() == [("k1",)] and out.where("wide <> concat(key, '!')").count() == 0
 
 
 def test_page_store_moves_no_page(spark, tmp_path, monkeypatch):

@@ -47,7 +47,7 @@ def test_snapshot_round_trip(spark, tmp_path):
     assert plain(snapshots.read_snapshots(spark, out, "2025-03-01")) == plain(df)
     joined = snapshots.appended(newest, snapshots.read_snapshots(spark, out, "2024-12-31").drop("titulo"), newest)
     assert joined.count() == 20 and joined.where("titulo is not null").count() == 6
-    line = next(p for p in (tmp_path / "out").rglob("part-*.json") if p.read_text()).read_text().splitlines()[0]
+    line = next(p for p in (tmp_path / "out").rglob("part-*.json") if p.read_text()).read_text().split("\n")[0]  # not splitlines: it also parts at U+2028, which titles have
     assert '"metragem":null' in line
 
 
