@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from terracota.operators.crawl_log import pending
-from terracota.operators.html import RESULT_LINKS, extract_listings, select_all
+from terracota.operators.html import RESULT_LINKS, select_all
 from terracota.operators.joins import bounded_broadcast
 from terracota.operators.links import absolute
-from terracota.plans.collect import one_page_each, with_links, with_totals
+from terracota.plans.collect import ADDRESSES, adverts_of, one_page_each, result_pages, with_links, with_totals
 from terracota.schema import RAW
 from terracota.sources.commits import commit, commits, new_version
 from terracota.sources.shared import written
@@ -37,12 +37,13 @@ def collect_more(pages: DataFrame, of: DataFrame, path: str, parts: int | None =
     spark, version = pages.sparkSession, new_version()
     links, adverts = _kept(spark, path, "links", LINKS), _kept(spark, path, "adverts", ADVERTS)
     key = F.concat_ws("\n", F.col("page").cast("string"), "search")
-    frontier = search_frontier(with_totals(pages, of)).withColumn("key", key)
-    open_ = frontier.join(bounded_broadcast(written(pending(frontier, links.where("pos is null").withColumn("key", key), "key"), "open")), "key", "left_semi").drop("key")
+    first = result_pages(pages, of)
+    frontier = search_frontier(with_totals(first, of)).withColumn("key", key)
+    open_ = frontier.join(bounded_broadcast(written(pending(frontier, links.where("pos is null").withColumn("key", key), "key"), "open"), limit=ADDRESSES), "key", "left_semi").drop("key")
     open_ = written(open_, "open-pages")
     seen = Observation()
-    results = select_all(one_page_each(pages, open_.select("url").distinct()), {"links": RESULT_LINKS}, ["url"], parts=parts)
-    results = results.select("url", F.transform("links", lambda x: absolute(x, F.col("url"))).alias("links")).join(bounded_broadcast(open_), "url")
+    results = select_all(one_page_each(first, open_.select("url").distinct(), parts), {"links": RESULT_LINKS}, ["url"])
+    results = results.select("url", F.transform("links", lambda x: absolute(x, F.col("url"))).alias("links")).join(bounded_broadcast(open_, limit=ADDRESSES), "url")
     # a row without pos says that the page was read
     rows = results.select("search", "page", F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "links")).alias("pos", "link"))
     rows = rows.select("search", "page", F.when(F.col("pos") > 0, F.col("pos") - 1).alias("pos"), "link")
@@ -53,7 +54,7 @@ def collect_more(pages: DataFrame, of: DataFrame, path: str, parts: int | None =
     wanted = links.unionByName(new).where("pos is not null").select(F.col("link").alias("url"))
     wanted = written(pending(wanted, adverts, "url"), "wanted-adverts")
     counted = Observation()
-    found = extract_listings(one_page_each(pages, wanted), parts=parts).where("extract_status <> 'no_page'").observe(counted, F.count(F.lit(1)).alias("n_adverts"))
+    found = adverts_of(pages, wanted, parts=parts).where("extract_status <> 'no_page'").observe(counted, F.count(F.lit(1)).alias("n_adverts"))
     found.write.parquet(f"{path}/adverts/version={version}")
     counts = {"n_result_pages": int(seen.get.get("n_result_pages", 0)), "n_links": int(seen.get.get("n_links", 0)), "n_adverts": int(counted.get.get("n_adverts", 0))}
     commit(spark, path, version, version, **counts)

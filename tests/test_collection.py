@@ -234,3 +234,20 @@ def test_two_runs_equal_one(spark, tmp_path):
     plain = lambda df: sorted(map(str, df.select(columns).collect()))
     assert plain(resume.collected(spark, path)) == plain(collect.collect_listings(every, of))
     assert [r["n_adverts"] for r in resume.runs(spark, path).orderBy("run").collect()] == [1, 2, 0]
+
+
+def test_many_small_rows_are_not_broadcast(spark):
+    """Rows whose columns look small to Spark, as most of the table's are null or left out, still meet by a shuffle."""
+    rows = spark.range(300).select(F.col("id").cast("string").alias("url"))
+    for side in (joins.bounded_broadcast(rows, limit=299), rows.withColumn("n", F.lit(1))):
+        out = rows.join(side, "url") if "n" not in side.columns else joins.salted_join(rows, side, "url", "left", total=joins.BROADCAST_ROWS + 1)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan and out.count() == 300
+    assert joins.dealt(rows, 10 * joins.TASK_ROWS + 1, 4, "url").rdd.getNumPartitions() == 11 and joins.dealt(rows, 5, 4, "url").rdd.getNumPartitions() == 4
+
+
+def test_adverts_take_no_part_in_the_search_for_result_pages(spark):
+    pages = spark.createDataFrame([("http://a/s?p=1",), ("http://a/imovel/1/",), ("http://b/2",), (None,)], "url string")
+    found = lambda *t: sorted(r[0] for r in collect.result_pages(pages, collect.searches(spark, *(("s", x, 1) for x in t))).collect() if r[0])
+    assert found("http://a/s?p={pagina}", None) == ["http://a/s?p=1"] and found("http://b/{pagina}", "http://a/s?p=1") == ["http://a/s?p=1", "http://b/2"] and found(None) == []
+    assert len(found(*(f"http://{i}/" for i in range(collect.BEGINNINGS + 1)))) == 3
