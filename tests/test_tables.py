@@ -1,11 +1,13 @@
 import json
 
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
+from terracota import queries
 from terracota.functions import clean
 from terracota.operators import profile
-from terracota.operators.html import CARD_LINKS, OLD_FIELDS, Page, Rule, characteristics, extract_listings
+from terracota.operators.html import CARD_LINKS, FIELDS, OLD_FIELDS, Page, Reader, Rule, characteristics, extract_listings
 from terracota.plans import collect
 from terracota.schema import RAW, RAW_COLUMNS
 from terracota.sources import shared, snapshots
@@ -123,3 +125,23 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "u1", ADVERT)], "page_id long, url string, html string").write.parquet(str(tmp_path / "in"))
     write_listings(page_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).first()["titulo"] == "Casa"
+
+
+def test_pages_of_one_shape(spark):
+    """Pages that differ in texts and addresses share a shape and what was found in it; others, and pages that can't be cut at each tag, are read as alone."""
+    made = lambda n, more="": f'<script>if (a<b) {{}}</script><h2 class="text-neutral-130 line-clamp-2">t{n}</h2><div><p>{"Vagas" if n % 2 else "Quartos"}</p><div><p>{n}</p></div></div><iframe data-testid="map-iframe" src="/{n}">{more}'
+    reader = Reader(FIELDS.values())
+    for n in range(20):
+        page = reader.read(made(n))
+        assert [page.get(FIELDS[k]) for k in ("titulo", "vagas", "quartos", "link_maps")] == [f"t{n}", str(n) if n % 2 else None, None if n % 2 else str(n), f"/{n}"]
+    assert len(reader.shapes) == 1
+    for more in ("<!-- <p>", '<i title="a>b<c">d</i>', "<3", "<p", "<style><p></style><p>x", "<!doctype html><br/>", "<b data-testid='iptu'>1</b>"):
+        page, alone = reader.read(made(1, more)), Page(made(1, more))
+        assert page.tags == alone.tags and page.text == alone.text and [page.get(r) for r in FIELDS.values()] == [alone.get(r) for r in FIELDS.values()]
+    rule = Rule("i[data-x=1]", "all", "data-x")
+    assert Reader([rule]).read("<i data-x=1></i><i data-x=2>").get(rule) == ["1"]
+
+
+def test_rendered_pages_do_not_move(spark):
+    plan = queries.listing_extract(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(key" in plan and "RoundRobin" not in plan and plan.index("<iframe") < plan.index("Exchange")
