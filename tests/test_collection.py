@@ -251,3 +251,12 @@ def test_adverts_take_no_part_in_the_search_for_result_pages(spark):
     found = lambda *t: sorted(r[0] for r in collect.result_pages(pages, collect.searches(spark, *(("s", x, 1) for x in t))).collect() if r[0])
     assert found("http://a/s?p={pagina}", None) == ["http://a/s?p=1"] and found("http://b/{pagina}", "http://a/s?p=1") == ["http://a/s?p=1", "http://b/2"] and found(None) == []
     assert len(found(*(f"http://{i}/" for i in range(collect.BEGINNINGS + 1)))) == 3
+
+
+def test_many_given_addresses_sort_no_page(spark, monkeypatch):
+    monkeypatch.setattr(collect, "ADDRESSES", 3)
+    pages = spark.createDataFrame([(f"http://x/{i}", advert(i)) for i in range(9)], "url string, html string")
+    out = collect.listings_of(pages, pages.where("url > 'http://x/3'").select("url"), fields=["titulo"], parts=4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort " not in plan and "RoundRobin" not in plan
+    assert sorted(r["titulo"] for r in out.collect()) == [str(i) for i in range(4, 9)]
