@@ -7,11 +7,12 @@ their places, c = 2^-B for chance; a pair whose agreeing places, counted by bits
 probability below RISK isn't looked at further. All others are confirmed, or not, on their full sets.
 
 A bucket is not paired out. Its leader, the member with the most company in all of its buckets, meets each member, and those
-pairs are confirmed on full sets. Members that the leader links are connected. A member that it doesn't link may still link to
+pairs are compared on full sets. Members that the leader links are connected. A member that it doesn't link may still link to
 another: such pairs are compared inside tasks by size, signature and a bound from the leader, |x & y| <= |x & y & leader| + min(|x - leader|,
-|y - leader|), and only survivors become rows and are confirmed. Crowds are cut into blocks for that, a task for each pair of blocks. This
-compares every open pair of a crowd, at some nanoseconds each, so time grows with the square of the members of one bucket that their
-leader doesn't link; memory doesn't.
+|y - leader|), and what survives is confirmed there, on the leader's shingles that both have and those outside it, unless links found before already
+connect the two. So a task gives fewer rows than it has members, however many pairs it looks at. Crowds are cut into blocks for that, a task for each
+pair of blocks. This compares every open pair of a crowd, at some nanoseconds each, so time grows with the square of the members of one bucket
+that their leader doesn't link; memory and rows don't.
 
 Cases: documents without words, or with a null text, have empty sets and link with nothing; fewer words than a shingle has are one
 shingle; rows that repeat, and rows with equal sets, share a component; a null id takes part, but is never the smallest, and such a
@@ -37,8 +38,8 @@ from terracota.llm.simhash import components
 
 SHINGLE, PERCENT, BANDS, ROWS, B, RISK = 5, 85, 32, 5, 2, 1e-9
 K = BANDS * ROWS
-#: Members of a group that is paired in a join; the least and greatest number of members in a block of a larger one; pairs of a hot leader that share a copy of its set.
-CROWD, LEAST_BLOCK, MOST_BLOCK, COPY = 48, 128, 4096, 256
+#: The least and greatest number of members in a block of a crowd, and bytes of its sets; pairs of a hot leader that share a copy of its set.
+CROWD, MOST_BLOCK, BLOCK_BYTES, COPY = 512, 4096, 64_000_000, 256
 #: Words that a worker remembers, bytes of a text read at once, hashes that meet all functions at once.
 WORDS, SLICE, CHUNK = 300_000, 4_000_000, 4096
 _odd = random.Random(42)
@@ -131,20 +132,6 @@ def _row(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
 
 
-def mismatches(a: str, b: str) -> Column:
-    """Places in which two packed signatures differ."""
-    one = lambda x: F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(LOW_BITS)))
-    total = F.lit(0)
-    for j in range(K * B // 64):
-        total = total + one(F.get(a, F.lit(j)).bitwiseXOR(F.get(b, F.lit(j))))
-    return total
-
-
-def alike(n: str, m: str) -> Column:
-    """Sizes that a link may have."""
-    return (100 * F.least(n, m)) >= (PERCENT * F.greatest(n, m))
-
-
 def leader_pairs(sets: DataFrame) -> DataFrame:
     """(a, b) with row, n and sig of both: each member b of each bucket with the bucket's leader a, once. sets: (key, row, n, bands, sig)."""
     keyed = sets.select("key", F.explode("bands").alias("x"))
@@ -157,13 +144,15 @@ def leader_pairs(sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b", *(F.col(f"{e}_.{c}").alias(f"{e}_{c}") for e in "ab" for c in ("row", "n", "sig")))
 
 
-def _compared(pairs: Iterator[tuple[np.ndarray, np.ndarray]], leaders: bool) -> Iterator[dict]:
+def _compared(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[dict]:
     for a, b in pairs:
         a, b = a.view(np.uint64), b.view(np.uint64)
         found = np.searchsorted(b, a)
         found[found == len(b)] = 0
-        both = b[found] == a if len(b) else np.zeros(len(a), bool)
-        yield {"inter": int(both.sum()), "bits": np.packbits(both).tobytes() if leaders else None}
+        both = b[found] == a
+        alone = np.ones(len(b), bool)
+        alone[found[both]] = False
+        yield {"inter": int(both.sum()), "bits": np.packbits(both).tobytes(), "rest": b[alone].tobytes()}
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, needed: DataFrame) -> DataFrame:
@@ -185,18 +174,18 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, needed: DataFrame) ->
     return found.join(bounded_broadcast(needed), ["row", "key"], "left_semi").drop("row")
 
 
-def compared(pairs: DataFrame, sets: DataFrame, leaders: bool) -> DataFrame:
-    """pairs(a, b, ...) with inter, the size of the intersection of their full sets, and for leaders the bits of a's shingles that b has."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs(a, b, ...) with inter, the size of the intersection of their full sets, bits, which of a's shingles b has, and rest, b's other ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 both = ((np.frombuffer(a.as_py(), np.int64), np.frombuffer(b.as_py(), np.int64)) for a, b in zip(part["sa"], part["sb"], strict=True))
-                found = list(_compared(both, leaders))
-                extra = [pa.array([f["inter"] for f in found], pa.int64()), pa.array([f["bits"] for f in found], pa.binary())]
+                found = list(_compared(both))
+                extra = [pa.array([f[c] for f in found], t) for c, t in (("inter", pa.int64()), ("bits", pa.binary()), ("rest", pa.binary()))]
                 kept = [c for c in part.schema.names if c not in ("sa", "sb")]
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), *extra], [*kept, "inter", "bits"])
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), *extra], [*kept, "inter", "bits", "rest"])
 
     # a leader's set is copied for each COPY of its pairs, so none of them meet in one task
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / COPY).cast("int").alias("copies"))
@@ -204,7 +193,7 @@ def compared(pairs: DataFrame, sets: DataFrame, leaders: bool) -> DataFrame:
     copies = copies.select("a", "sa", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     ours = pairs.join(bounded_broadcast(counts), "a").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int")).drop("copies")
     met = ours.join(sets.withColumnsRenamed({"key": "b", "set": "sb"}), "b").join(copies, ["a", "copy"]).drop("copy")
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema), "inter long, bits binary"])
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema), "inter long, bits binary, rest binary"])
     return met.select(*pairs.columns, "sa", "sb").mapInArrow(run, schema)
 
 
@@ -229,62 +218,52 @@ def _cell(key, rows):  # Spark takes hints here for another kind of function
     n, side, linked = t["n"].to_numpy(), t["side"].to_numpy(), np.asarray(t["linked"].to_pylist(), bool)
     sig = np.asarray(t["sig"].combine_chunks().flatten(), np.int64).reshape(len(n), -1)
     raw = t["bits"].to_pylist()
-    width = max((len(x) for x in raw if x), default=1)
-    bits = np.zeros((len(n), width), np.uint8)
-    for i, x in enumerate(raw):
-        if x:
-            bits[i, : len(x)] = np.frombuffer(x, np.uint8)
-    # how many shingles lie outside the leader; a member that wasn't compared with it may have all of them anywhere
-    own = n - np.bitwise_count(bits).sum(1, dtype=np.int64)
-    bits[[x is None for x in raw]] = 255
+    bits = np.frombuffer(b"".join(x.ljust(max(map(len, raw)), b"\0") for x in raw), np.uint8).reshape(len(n), -1)
+    rest = [np.frombuffer(x, np.uint64) for x in t["rest"].to_pylist()]
+    own = np.array([len(x) for x in rest], np.int64)  # how many shingles lie outside the leader
     keys, a, b = t["key"].to_pylist(), [], []
     within = key[1].as_py() == key[2].as_py()
+    root = np.where(linked, np.argmax(linked), np.arange(len(n)))  # what the leader links is connected
+
+    def confirmed(i, j):
+        x, y = sorted((rest[i], rest[j]), key=len)
+        at = np.searchsorted(y, x)
+        at[at == len(y)] = 0
+        both = int(np.bitwise_count(bits[i] & bits[j]).sum(dtype=np.int64)) + (int((y[at] == x).sum()) if len(x) else 0)
+        return 100 * both >= PERCENT * (n[i] + n[j] - both)
+
     for i, js in open_pairs(n, sig, linked, bits, own, least_matches()):
-        for j in js:
-            if within or side[i] != side[j]:
+        for j in js if within else js[side[js] != side[i]]:
+            if root[i] != root[j] and confirmed(i, j):
                 a.append(min(keys[i], keys[j]))
                 b.append(max(keys[i], keys[j]))
+                root[root == root[j]] = root[i]
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
-def crowd_pairs(members: DataFrame) -> DataFrame:
-    """(a, b) that may link among members(leader, m, key, n, sig, linked, bits) of one leader; m: how many it has."""
-    blocks = F.greatest(F.ceil(F.col("m") / MOST_BLOCK), F.least(F.ceil(F.col("m") / LEAST_BLOCK), F.lit(32))).cast("int")
+def crowd_links(members: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(a, b): links that connect what is linked among members(leader, m, bytes, key, n, sig, linked, bits, rest) of one leader; m and bytes: how many it has, and those of their sets."""
+    blocks = F.greatest(F.ceil(F.col("m") / MOST_BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES), F.least(F.ceil(F.col("m") / crowd), F.lit(32))).cast("int")
     rows = members.withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "key", "n", "sig", "linked", "bits")
+    rows = rows.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "key", "n", "sig", "linked", "bits", "rest")
     return rows.groupBy("leader", "i", "j").applyInArrow(_cell, "a binary, b binary")
 
 
 def set_links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, crowd: int = CROWD) -> DataFrame:
     """(a, b): links between distinct sets(key, row, n, bands, sig) that connect all that are linked."""
-    least = least_matches()
-    short = sets.select("key", "row", "n", "sig")
-    end = lambda name: short.select(F.col("key").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("row", "n", "sig")))
-    near = alike("a_n", "b_n") & (mismatches("a_sig", "b_sig") <= K - least)
-    met = written(leader_pairs(sets).withColumn("near", near), "leader-pairs")
-    needed = lambda df: df.select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("a_row").alias("row")), F.struct(F.col("b").alias("key"), F.col("b_row").alias("row")))).alias("x")).select("x.*").distinct()
+    met = written(leader_pairs(sets), "leader-pairs")
+    ends = [met.select(F.col(c).alias("key"), F.col(f"{c}_row").alias("row")).distinct() for c in "ab"]
+    own_sets = written(full_sets(docs, id_col, text_col, written(ends[0].unionByName(ends[1]).distinct(), "needed")), "sets")
     linked = (100 * F.col("inter")) >= (PERCENT * (F.col("a_n") + F.col("b_n") - F.col("inter")))
-    close = met.where("near")
-    own_sets = written(full_sets(docs, id_col, text_col, written(needed(close), "needed")), "sets")
-    seen = compared(close.select("a", "b", "a_n", "b_n", "b_sig"), own_sets, True).withColumn("linked", linked).drop("inter")
-    far = met.where("not near").select("a", "b", "a_n", "b_n", "b_sig", F.lit(None).cast("binary").alias("bits"), F.lit(False).alias("linked"))
-    stars = written(seen.unionByName(far), "stars")
-
-    # pairs of members of one leader that it doesn't both link
-    undecided = stars.groupBy("a").agg(F.count_if(~F.col("linked")).alias("alone"), F.count("*").alias("all")).where("alone > 0 and all > 1").select("a", F.col("all").alias("n"))
-    undecided = written(undecided, "undecided")
-    rows = keyed_join(stars.select("a", "b", "b_n", "b_sig", "linked", "bits"), undecided, "a", met.count())
-    rows = written(rows.select(F.col("a").alias("leader"), F.col("n").alias("m"), F.col("b").alias("key"), F.col("b_n").alias("n"), F.col("b_sig").alias("sig"), "linked", "bits"), "undecided-members")
-    few = rows.where(F.col("m") <= crowd)
-    one, two = (few.select("leader", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "sig", "linked"))) for s in "ab")
-    small = one.join(two, (one["leader"] == two["leader"]) & (F.col("key_a") < F.col("key_b")) & ~(F.col("linked_a") & F.col("linked_b")) & alike("n_a", "n_b") & (mismatches("sig_a", "sig_b") <= K - least))
-    more = small.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).unionByName(crowd_pairs(rows.where(F.col("m") > crowd)))
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(more.distinct().join(tested, ["a", "b"], "left_anti"), "open-pairs")
-    more = written(more.join(end("a"), "a").join(end("b"), "b"), "open-ends")
-    more_sets = written(full_sets(docs, id_col, text_col, written(needed(more), "needed")), "sets")
-    late = compared(more.select("a", "b", "a_n", "b_n"), more_sets, False).where(linked)
-    return stars.where("linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(late.select("a", "b")).distinct()
+    stars = written(compared(met.select("a", "b", "a_n", "b_n", "b_sig"), own_sets).withColumn("linked", linked).drop("inter"), "stars")
+
+    # members of one leader that it doesn't all link
+    size = F.length("bits") + F.length("rest")
+    undecided = stars.groupBy("a").agg(F.count_if(~F.col("linked")).alias("alone"), F.count("*").alias("n"), F.sum(size).alias("bytes")).where("alone > 0 and n > 1").drop("alone")
+    rows = keyed_join(stars.select("a", "b", "b_n", "b_sig", "linked", "bits", "rest"), written(undecided, "undecided"), "a", met.count())
+    rows = rows.select(F.col("a").alias("leader"), F.col("n").alias("m"), "bytes", F.col("b").alias("key"), F.col("b_n").alias("n"), F.col("b_sig").alias("sig"), "linked", "bits", "rest")
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    return stars.where("linked").select(*ends).unionByName(crowd_links(rows, crowd)).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 
 from terracota.llm import divergence, hard_negatives, minhash, queries
+from terracota.sources.shared import written
 
 SF = "/root/testdata/sf0.001"
 
@@ -187,6 +188,24 @@ def test_minhash_equals_all_pairs(spark):
         assert found == {i: (n, c, i == c) for i, (n, c) in expected.items()}
 
 
+def test_minhash_rows_grow_with_members(spark, monkeypatch):
+    """A crowd whose members are nearly, but not, linked: no step has a row for each two of them."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    base, texts = [word() for _ in range(300)], []
+    for _ in range(120):
+        own = list(base)
+        for at in rng.sample(range(300), 6):
+            own[at] = word()
+        texts.append(" ".join(own))
+    rows = list(enumerate(texts, 1))
+    counts = {}
+    monkeypatch.setattr(minhash, "written", lambda df, name: counts.update({name: (out := written(df, name)).count()}) or out)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == plain_components(rows) and len({c for _, c in found.values()}) > 40
+    assert max(counts.values()) <= minhash.BANDS * len(rows) and "open-pairs" not in counts and counts["links"] < len(rows) * 2
+
+
 def test_minhash_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, "p q r s t u v"), (None, None), (3, None), (4, "w " * 100_000)]
     out = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
