@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from terracota.operators.crawl_log import pending
 from terracota.operators.html import RESULT_LINKS, select_all
-from terracota.operators.joins import bounded_broadcast
+from terracota.operators.joins import bounded_broadcast, dealt_if_many
 from terracota.operators.links import absolute
 from terracota.plans.collect import ADDRESSES, adverts_of, one_page_each, result_pages, with_links, with_totals
 from terracota.schema import RAW
@@ -52,6 +52,7 @@ def collect_more(pages: DataFrame, of: DataFrame, path: str, parts: int | None =
 
     new = spark.read.schema(LINKS).parquet(f"{path}/links/version={version}")
     wanted = links.unionByName(new).where("pos is not null").select(F.col("link").alias("url"))
+    wanted = dealt_if_many(wanted, wanted.count(), "url")
     wanted = written(pending(wanted, adverts, "url"), "wanted-adverts")
     counted = Observation()
     found = adverts_of(pages, wanted, parts=parts).where("extract_status <> 'no_page'").observe(counted, F.count(F.lit(1)).alias("n_adverts"))

@@ -260,3 +260,28 @@ def test_many_given_addresses_sort_no_page(spark, monkeypatch):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "Sort " not in plan and "RoundRobin" not in plan
     assert sorted(r["titulo"] for r in out.collect()) == [str(i) for i in range(4, 9)]
+
+
+def test_large_days_have_more_files(spark, tmp_path, monkeypatch):
+    """A day of many records is sorted in more tasks than the files asked for, and read by name has the same order; places are counted without moving lines."""
+    monkeypatch.setattr(snapshots, "TASK_ROWS", 10)
+    pages = stored(spark, (1, "http://a/1", result(*(f"http://x/{i}" for i in range(40)), total=2)), (2, "http://a/2", result("http://x/1")))
+    collect.write_collection(pages, collect.searches(spark, ("a", "http://a/{pagina}")), str(tmp_path), "2025-01-01", files=2)
+    files = sorted((tmp_path / "snapshot_date=2025-01-01").rglob("part-*.json"))
+    urls = [[json.loads(line)["url"] for line in f.read_text().splitlines()] for f in files]
+    assert sum(urls, []) == [f"http://x/{i}" for i in range(40)] + ["http://x/1"] and sum(map(bool, urls)) >= 4
+    lines = spark.read.text(f"{tmp_path}/snapshot_date=*/*").select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    placed = snapshots.with_places(lines, lines)
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert [json.loads(r["value"])["url"] for r in sorted(placed.collect(), key=lambda r: r["place"])] == sum(urls, [])
+
+
+def test_many_links_are_dealt_before_they_are_counted(spark, monkeypatch):
+    """No task counts the addresses of a whole split; the pages of the queries are drawn in tasks of bounded rows."""
+    links = spark.range(100).select(F.concat(F.lit("u"), F.col("id") % 7).alias("link"))
+    plan = lambda: collect.counted_links(links, 100)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION" not in plan()
+    monkeypatch.setattr(joins, "TASK_ROWS", 5)
+    assert "hashpartitioning(url" in plan() and ", 20), REPARTITION_BY_NUM" in plan() and plan().count("Exchange") == 1
+    assert {r["url"]: r["n"] for r in collect.counted_links(links, 100).collect()} == {f"u{i}": 15 if i < 2 else 14 for i in range(7)}
