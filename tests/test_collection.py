@@ -11,6 +11,7 @@ from terracota.operators.html import FIELDS, LAST_PAGE, OLD_FIELDS, Page, Rule,
 from terracota.plans import collect, resume
 from terracota.schema import RAW_COLUMNS
 from terracota.sources import commits, page_store, snapshots
+from terracota.sources.shared import written
 
 LINK = '<a class="olx-core-surface" href="{}">v</a>'
 BUTTON = '<b class="olx-core-pagination__button">{}</b>'
@@ -285,3 +286,29 @@ def test_many_links_are_dealt_before_they_are_counted(spark, monkeypatch):
     monkeypatch.setattr(joins, "TASK_ROWS", 5)
     assert "hashpartitioning(url" in plan() and ", 20), REPARTITION_BY_NUM" in plan() and plan().count("Exchange") == 1
     assert {r["url"]: r["n"] for r in collect.counted_links(links, 100).collect()} == {f"u{i}": 15 if i < 2 else 14 for i in range(7)}
+
+
+def test_compressed_days(spark, tmp_path, monkeypatch):
+    """Compressed lines are a part of the plain ones' bytes, in files of bounded length, and read the same."""
+    monkeypatch.setattr(snapshots, "FILE_ROWS", 300)
+    rows = spark.range(0, 1000, 1, 1).select(F.concat(F.lit("http://x/"), "id").alias("url"), F.lit("São").alias("titulo"))
+    size, found = {}, {}
+    for kind in (None, "gzip"):
+        path = tmp_path / str(kind)
+        assert snapshots.write_snapshot(rows, str(path), "2025-01-01", compression=kind) == {"n_records": 1000}
+        files = [f for f in (path / "snapshot_date=2025-01-01").rglob("part-*")]
+        size[kind], found[kind] = sum(f.stat().st_size for f in files), sorted(map(str, snapshots.read_snapshots(spark, str(path)).collect()))
+        assert len(files) == (4 if kind else 1)
+    assert found[None] == found["gzip"] and size["gzip"] * 5 < size[None] and snapshots.quarantined(spark, str(tmp_path / "gzip")).count() == 0
+
+
+def test_keys_meet_in_dealt_tasks(spark, monkeypatch):
+    """Of many addresses, keys are dealt before they meet, and repeats among the wanted ones give no second page."""
+    monkeypatch.setattr(collect, "ADDRESSES", 3)
+    met = []
+    monkeypatch.setattr(collect, "written", lambda df, name: met.append((name, df._jdf.queryExecution().executedPlan().toString())) or written(df, name))
+    pages = stored(spark, *((i, f"http://x/{i}", advert(i)) for i in range(9)))
+    urls = pages.select("url").where("page_id > 2").union(pages.select("url").where("page_id = 5"))
+    found = collect.one_page_each(pages.union(pages.limit(0)), urls, 4)
+    assert sorted(r["url"] for r in found.collect()) == [f"http://x/{i}" for i in range(3, 9)]
+    assert "LeftSemi" not in dict(met)["wanted"] and "REPARTITION_BY_NUM" in dict(met)["wanted"]
